@@ -321,10 +321,24 @@ def where_template(df: DataFrame, text: str, subject: Subject) -> DataFrame:
     return df.sparkSession.sql(f"SELECT * FROM {{source}} WHERE {bound}", args, source=df)
 
 
+_TUPLE_IN = re.compile(r"\(([\w.,\s]+,[\w.,\s]+)\)\s+IN\s*\(\s*((?:\([^()]*\)\s*,?\s*)+)\)", re.IGNORECASE)
+
+
+def _expanded(match: re.Match) -> str:
+    """``(a, b) IN ((1, 2), ...)`` as a disjunction of equalities, whatever the types."""
+    names = [n.strip() for n in match.group(1).split(",")]
+    rows = re.findall(r"\(([^()]*)\)", match.group(2))
+    cells = [re.findall(r"'(?:[^']|'')*'|[^,\s]+", row) for row in rows]
+    if any(len(c) != len(names) for c in cells):
+        raise GovernanceError("tuple of another length")
+    tests = (" AND ".join(f"{n} = {v}" for n, v in zip(names, c)) for c in cells)
+    return "(" + " OR ".join(f"({x})" for x in tests) + ")"
+
+
 def where_text(df: DataFrame, text: str) -> DataFrame:
     """Residual filter given as text; anything that is not a plain predicate keeps no row."""
     try:
-        filtered = df.where(check_predicate(text))
+        filtered = df.where(_TUPLE_IN.sub(_expanded, check_predicate(text)))
         filtered.schema
     except Exception:  # noqa: BLE001 - every failure closes the gate
         return df.where(F.lit(False))

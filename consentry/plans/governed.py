@@ -19,6 +19,7 @@ from consentry.model import CLEAR, DENY, MASK, Consent, Subject, TableMeta
 from consentry.operators.consent import Decision, columns_of, resolve
 from consentry.operators.predicates import (
     GovernanceError,
+    check_predicate,
     equality_arguments,
     filter_tree,
 )
@@ -329,12 +330,11 @@ def odata(
 
     top, skip = number("$top"), number("$skip") or 0
     if options.get("$filter"):
-        from consentry.operators.predicates import check_predicate
-
-        text = options["$filter"]
+        # Words become signs outside quoted text only.
+        pieces = re.split(r"('(?:[^']|'')*')", options["$filter"])
         for word, sign in _ODATA_OPERATORS.items():
-            text = re.sub(rf"\b{word}\b", sign, text)
-        df = df.where(check_predicate(text))
+            pieces[::2] = [re.sub(rf"\b{word}\b", sign, p) for p in pieces[::2]]
+        df = df.where(check_predicate("".join(pieces)))
     total = None
     if (options.get("$count") or "").lower() == "true":
         total = df.agg(F.count("*").alias("count"))

@@ -48,7 +48,7 @@ DERIVED: dict[str, str] = {
                END AS role_name,
                CAST(NULL AS STRING) AS role_id,
                ts AS valid_from,
-               ts + (CAST(value AS INT) - 1) * INTERVAL '1' DAY AS valid_to,
+               ts + (CAST(floor(value) AS INT) - 1) * INTERVAL '1' DAY AS valid_to,
                event_id % 11 = 0 AS is_revoked,
                'tenant-' || CAST(event_id % 2 AS STRING) AS tenant_id,
                CASE WHEN event_id % 5 < 3 THEN NULL
@@ -86,7 +86,7 @@ DERIVED: dict[str, str] = {
         SELECT event_id, ts AS at, 'tenant-' || CAST(user_id % 4 AS STRING) AS tenant,
                'user-' || CAST(user_id AS STRING) AS principal, event_type AS operation,
                CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'AI-' || event_type END AS category,
-               CASE WHEN event_type = 'view' THEN 0 ELSE CAST(value * 100 AS BIGINT) END AS prompt_tokens,
+               CASE WHEN event_type = 'view' THEN 0 ELSE CAST(floor(value * 100) AS BIGINT) END AS prompt_tokens,
                CASE WHEN event_type = 'view' THEN 0 ELSE CAST(event_id % 4000 AS BIGINT) END AS completion_tokens,
                CAST(event_id % 977 AS BIGINT) AS compute_ms
         FROM {events}""",

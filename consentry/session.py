@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 import uuid
@@ -28,6 +29,7 @@ def build_session(
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL)
     return spark
 
 
