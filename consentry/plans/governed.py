@@ -48,7 +48,7 @@ ALLOWED_FUNCTIONS = frozenset(
 # Names the plan text shows for syntax rather than for a function call.
 _SYNTAX = frozenset(
     """cast windowspecdefinition specifiedwindowframe unresolvedalias exists in inset not and or
-    array struct named_struct distinct listquery outer between""".split()
+    array struct named_struct distinct listquery outer between decimal char varchar""".split()
 )
 
 
