@@ -15,12 +15,9 @@ from consentry.functions.shapes import coerce_parameter
 from consentry.model import GOVERNANCE_SCHEMAS, Subject
 
 
-def governance_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The governance catalog from Parquet, each table with its declared schema."""
-    return {
-        name: spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}")
-        for name, schema in GOVERNANCE_SCHEMAS.items()
-    }
+def governance_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One table of the governance catalog, with its declared schema."""
+    return spark.read.schema(GOVERNANCE_SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
 
 
 def write_governance_table(df: DataFrame, root: str, name: str) -> None:

@@ -288,18 +288,18 @@ def subscription_payload(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*columns))
 
 
-def advance_watermarks(spark: SparkSession, path: str, batch: DataFrame, table: str, version: str) -> None:
-    """Stores the highest change version per table, replacing the former value."""
-    from pyspark.errors import AnalysisException
+def advance_watermarks(
+    spark: SparkSession, root: str, number: int, batch: DataFrame, table: str, version: str
+) -> None:
+    """Appends the highest change version per table of one batch.
 
-    new = batch.groupBy(table).agg(F.max(version).cast("long").alias("watermark"))
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
-        new.write.parquet(path)
-        return
-    merged = old.unionByName(new).groupBy(table).agg(F.max("watermark").alias("watermark"))
-    from consentry.session import durable
+    Each batch has its own folder, so a batch that runs again replaces only itself.
+    """
+    high = batch.groupBy(table).agg(F.max(version).cast("long").alias("watermark"))
+    high.write.mode("overwrite").parquet(f"{root}/versions/batch={number}")
 
-    durable(merged).write.mode("overwrite").parquet(path)
 
+def read_watermarks(spark: SparkSession, root: str, table: str) -> DataFrame:
+    return (
+        spark.read.parquet(f"{root}/versions").groupBy(table).agg(F.max("watermark").alias("watermark"))
+    )
