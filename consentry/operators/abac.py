@@ -70,38 +70,51 @@ def prefixes(target: Column) -> Column:
     )
 
 
-def match_rules(requests: DataFrame, rules: DataFrame, grouping: DataFrame) -> DataFrame:
-    """(request_id, rule columns) for every rule whose subject and object match.
+def _candidates(requests: DataFrame, grouping: DataFrame) -> DataFrame:
+    """Every request with its possible rule subjects and object prefixes, one pair a row.
 
-    ``requests``: request_id, actor, tenant, object, action. Subjects and literal object
-    prefixes meet in an equi join; the regex only checks the candidates. There is no
-    nested-loop join, and Spark splits a rule everybody matches at run time.
+    An actor's roles are listed once per actor (there are few), so requests meet them
+    in one join and fan out without another shuffle.
     """
-    roles = grouping.select(F.lower("sid").alias("_actor"), F.lower("role").alias("_sub")).distinct()
-    actor = F.lower("actor")
-    own = requests.select("request_id", actor.alias("_sub"))
-    every = requests.select("request_id", F.lit("*").alias("_sub"))
-    inherited = (
-        requests.select("request_id", actor.alias("_actor"))
-        .join(roles, "_actor")
-        .select("request_id", "_sub")
+    roles = (
+        grouping.select(F.lower("sid").alias("_actor"), F.lower("role").alias("_role"))
+        .groupBy("_actor")
+        .agg(F.collect_set("_role").alias("_roles"))
     )
-    subjects = own.unionByName(every).unionByName(inherited).distinct()
-    keyed = (
-        requests.select("request_id", "object", F.explode(prefixes(F.col("object"))).alias("_prefix"))
-        .join(subjects, "request_id")
+    known = requests.withColumn("_actor", F.lower("actor")).join(roles, "_actor", "left")
+    none = F.array().cast("array<string>")
+    subjects = F.array_distinct(
+        F.concat(F.array(F.lit("*"), F.col("_actor")), F.coalesce("_roles", none))
     )
+    return known.select(
+        *requests.columns, F.explode(subjects).alias("_sub"), prefixes(F.col("object")).alias("_all")
+    ).select(*requests.columns, "_sub", F.explode("_all").alias("_prefix"))
+
+
+def _with_rules(requests: DataFrame, rules: DataFrame, grouping: DataFrame, how: str) -> DataFrame:
+    keyed = _candidates(requests, grouping)
     ready = rules.select(
-        F.lower("sub").alias("_sub"),
-        literal_prefix(F.col("obj")).alias("_prefix"),
+        F.lower("sub").alias("_rule_sub"),
+        literal_prefix(F.col("obj")).alias("_rule_prefix"),
         pattern_regex(F.col("obj")).alias("_regex"),
         *[F.col(c) for c in rules.columns],
     )
-    return (
-        keyed.join(ready, ["_sub", "_prefix"])
-        .where(F.expr("object rlike _regex"))
-        .drop("_sub", "_prefix", "_regex")
+    on = (
+        (F.col("_sub") == F.col("_rule_sub"))
+        & (F.col("_prefix") == F.col("_rule_prefix"))
+        & F.expr("object rlike _regex")
     )
+    return keyed.join(ready, on, how).drop("_sub", "_prefix", "_rule_sub", "_rule_prefix", "_regex")
+
+
+def match_rules(requests: DataFrame, rules: DataFrame, grouping: DataFrame) -> DataFrame:
+    """(request columns, rule columns) for every rule whose subject and object match.
+
+    ``requests``: actor, object and more. Subjects and literal object prefixes
+    meet in an equi join; the regex only checks the candidates. There is no nested-loop
+    join, and Spark splits a rule everybody matches at run time.
+    """
+    return _with_rules(requests, rules, grouping, "inner")
 
 
 def evaluate(
@@ -110,15 +123,14 @@ def evaluate(
     grouping: DataFrame,
     conditions: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """(request_id, allowed). Any matching deny wins; no allow means denied.
+    """Requests with ``allowed``. Any matching deny wins; no allow means denied.
 
-    ``conditions`` maps the condition text of a rule to a predicate over the request.
-    A condition that is unknown or NULL counts as met for a deny and as unmet for an
-    allow. Deny rules ignore action and tenant, allow rules need both.
+    ``requests``: actor, tenant, object, action and what conditions need;
+    ``rules`` call their tenant ``rule_tenant``. ``conditions`` maps the condition text of a
+    rule to a predicate over the request. A condition that is unknown or NULL counts as
+    met for a deny and as unmet for an allow. Deny rules ignore action and tenant, allow
+    rules need both.
     """
-    matched = match_rules(requests, rules, grouping).join(
-        requests.drop("object"), "request_id"
-    )
     met: Column = F.when(F.coalesce(F.trim("sub_rule"), F.lit("true")).isin("", "true"), True)
     for text, predicate in (conditions or {}).items():
         met = met.when(F.col("sub_rule") == text, predicate)
@@ -128,14 +140,17 @@ def evaluate(
         & (F.col("rule_tenant") == F.col("tenant"))
         & ((F.col("act") == "*") | (F.lower("act") == F.lower("action")))
     )
-    verdict = matched.groupBy("request_id").agg(
-        F.bool_or(deny & F.coalesce(met, F.lit(True))).alias("denied"),
-        F.bool_or(allow & F.coalesce(met, F.lit(False))).alias("granted"),
-    )
-    return requests.join(verdict, "request_id", "left").select(
-        "request_id",
-        F.coalesce(F.col("granted") & ~F.col("denied"), F.lit(False)).alias("allowed"),
+    # A left join keeps requests no rule matches, so the verdict needs no join back.
+    verdict = (
+        _with_rules(requests, rules, grouping, "left")
+        .groupBy(*requests.columns)
+        .agg(
+            F.bool_or(deny & F.coalesce(met, F.lit(True))).alias("_denied"),
+            F.bool_or(allow & F.coalesce(met, F.lit(False))).alias("_granted"),
+        )
     )
+    granted = F.coalesce("_granted", F.lit(False)) & ~F.coalesce("_denied", F.lit(False))
+    return verdict.select(*requests.columns, granted.alias("allowed"))
 
 
 def replay(audit: DataFrame, rules: DataFrame, grouping: DataFrame) -> DataFrame:
@@ -158,10 +173,9 @@ def replay(audit: DataFrame, rules: DataFrame, grouping: DataFrame) -> DataFrame
         F.coalesce(action, F.lit("read")).alias("action"),
         F.when(F.upper(F.trim("decision")) == "DENY", "DENY").otherwise("ALLOW").alias("recorded"),
     )
-    distinct = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    distinct = distinct.withColumn("request_id", F.sha2(F.to_json(F.struct(*keys)), 256))
+    distinct = rows.select(*keys).distinct()
     verdict = evaluate(distinct, rules.withColumnRenamed("tenant", "rule_tenant"), grouping)
-    simulated = distinct.join(verdict, "request_id").select(
+    simulated = verdict.select(
         *[F.col(k).alias(f"_{k}") for k in keys],
         F.when(F.col("allowed"), "ALLOW").otherwise("DENY").alias("simulated"),
     )

@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 from consentry.session import durable
 
 
+# Up to this many rows per key Spark limits each window group before the shuffle.
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """First ``n`` rows per key.
 
     ``row_number() <= n`` lets Spark keep only ``n`` rows per key in every map task
     (window group limit), so a hot key shuffles ``n`` rows per task, not all of them.
+    For a larger ``n`` the same cut is made per (key, salt) first.
     """
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(part))
+        df = df.where(F.col("_rank") <= n).drop("_rank", "_salt")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
@@ -23,11 +34,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 def numbered(
     df: DataFrame, chains: Sequence[str], order: Sequence[str], name: str = "seq"
 ) -> DataFrame:
-    """Gap-free 1, 2, 3... per chain, whatever the size of a chain.
+    """Gap-free 1, 2, 3... per chain (or overall), whatever the size of a chain.
 
     A window per chain would sort a hot chain in one task. Here rows are range-partitioned
     by (chain, order), counted per partition, and numbered from their partition's offset.
-    ``order`` must make rows distinct. The sorted rows are checkpointed, because the
+    ``order`` must make rows distinct. The sorted rows are written down, because the
     offsets are only valid for exactly this partitioning.
     """
     keys = [*chains, *order]
@@ -36,22 +47,26 @@ def numbered(
     placed = durable(
         placed.withColumn("_part", F.shiftright(pos, 33)).withColumn(
             "_pos", pos.bitwiseAND(F.lit((1 << 33) - 1))
-        )
+        ),
+        "numbered",
     )
     # One row per partition: bounded by the number of tasks, not by the data.
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    where = (
-        placed.groupBy(*chains, "_part")
-        .agg(F.min("_pos").alias("_pos"))
-        .join(offsets, "_part")
-        .groupBy(*chains)
-        .agg(F.min(F.col("_off") + F.col("_pos")).alias("_start"))
-    )
-    full = placed.join(offsets, "_part").join(where, list(chains))
-    number = F.col("_off") + F.col("_pos") - F.col("_start") + 1
-    return full.withColumn(name, number).drop("_part", "_pos", "_off", "_start")
+    full = placed.join(F.broadcast(offsets), "_part")
+    number = F.col("_off") + F.col("_pos") + 1
+    if chains:
+        where = (
+            placed.groupBy(*chains, "_part")
+            .agg(F.min("_pos").alias("_pos"))
+            .join(F.broadcast(offsets), "_part")
+            .groupBy(*chains)
+            .agg(F.min(F.col("_off") + F.col("_pos")).alias("_start"))
+        )
+        full = full.join(where, list(chains))
+        number = number - F.col("_start")
+    return full.withColumn(name, number).select(*[c for c in df.columns if c != name], name)
 
 
 def salted(key_id: Column, salts: Column) -> Column:

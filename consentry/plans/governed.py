@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from consentry.functions.masks import DEFAULT_MASTER_KEY, is_effective_hmac, mask_column
 from consentry.model import CLEAR, DENY, MASK, Consent, Subject, TableMeta
 from consentry.operators.consent import Decision, columns_of, resolve
+from consentry.operators.ordering import numbered
 from consentry.operators.predicates import (
     GovernanceError,
     check_predicate,
@@ -301,6 +302,10 @@ class _LazyTables(Mapping):
         return len(self._governor._tables)
 
 
+# Beyond this offset a page is found by row numbers instead of a top-k.
+DEEP_OFFSET = 100_000
+
+
 def page(
     df: DataFrame,
     order: Sequence[str],
@@ -308,14 +313,34 @@ def page(
     after: int = 0,
     max_page: int = MAX_PAGE,
 ) -> DataFrame:
-    """Ordered page; becomes a top-k, so only ``after + first`` rows leave each task."""
+    """Ordered page.
+
+    A shallow page is a top-k: ``after + first`` rows leave each task. A deep one would
+    carry the whole offset through one task, so rows are numbered in parallel instead;
+    ``page_after`` is cheaper still where the caller knows the last key.
+    """
     if after < 0:
         raise GovernanceError("offset must not be negative")
     size = max(1, min(DEFAULT_PAGE if first is None else first, max_page))
     keys = [k for k in order if k in df.columns] or df.columns[:1]
+    if after > DEEP_OFFSET:
+        rows = numbered(df, [], keys, "_row")
+        return rows.where(F.col("_row").between(after + 1, after + size)).orderBy(*keys).drop("_row")
     return df.orderBy(*keys).offset(after).limit(size)
 
 
+def page_after(df: DataFrame, order: Sequence[str], last: Sequence[Any], first: int | None = None) -> DataFrame:
+    """The page that follows a known last key; the key range is pushed to the files."""
+    size = max(1, min(DEFAULT_PAGE if first is None else first, MAX_PAGE))
+    later = None
+    for i in range(len(order)):
+        test = F.col(order[i]) > F.lit(last[i])
+        for j in range(i):
+            test = test & (F.col(order[j]) == F.lit(last[j]))
+        later = test if later is None else later | test
+    return df.where((F.col(order[0]) >= F.lit(last[0])) & later).orderBy(*order).limit(size)
+
+
 def odata(
     df: DataFrame, order: Sequence[str], options: Mapping[str, str]
 ) -> tuple[DataFrame, DataFrame | None]:

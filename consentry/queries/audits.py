@@ -249,14 +249,12 @@ MATCHED = """req AS (SELECT id, actor_sid, tenant_id, event_type, decision, targ
 
 
 def _requests(t: Frames):
-    keys = ["actor", "tenant", "object", "action"]
-    rows = t.audit.select(
+    return t.audit.select(
         F.col("actor_sid").alias("actor"),
         F.col("tenant_id").alias("tenant"),
         F.when(F.trim("target_table") == "", "*").otherwise(F.col("target_table")).alias("object"),
         F.when(F.lower("event_type").contains("write"), "write").otherwise("read").alias("action"),
     ).distinct()
-    return rows.withColumn("request_id", F.sha2(F.to_json(F.struct(*keys)), 256))
 
 
 @query(
@@ -267,7 +265,7 @@ def _requests(t: Frames):
 def patterns(t: Frames):
     # Every object against every pattern, with the subject left open.
     objects = _requests(t).select("object").distinct()
-    requests = objects.withColumn("request_id", F.col("object")).withColumn("actor", F.lit("anyone"))
+    requests = objects.withColumn("actor", F.lit("anyone"))
     rules = t.policy.select("obj").distinct().withColumn("sub", F.lit("*"))
     matched = B.match_rules(requests, rules, t.grouping)
     return matched.select("object", "obj")
@@ -278,9 +276,7 @@ def patterns(t: Frames):
     f"""WITH {MATCHED} SELECT actor_sid AS actor, tenant_id AS tenant, object, action, allowed FROM verdict""",
 )
 def decisions(t: Frames):
-    requests = _requests(t)
-    verdict = B.evaluate(requests, t.policy.withColumnRenamed("tenant", "rule_tenant"), t.grouping)
-    return requests.join(verdict, "request_id").drop("request_id")
+    return B.evaluate(_requests(t), t.policy.withColumnRenamed("tenant", "rule_tenant"), t.grouping)
 
 
 @query(

@@ -70,12 +70,16 @@ def _principals(t: Frames):
     return C.subject_principals(t.subjects, t.subject_groups, t.subject_roles)
 
 
-def _profiles(t: Frames):
-    return C.subject_profiles(_principals(t), _live(t))
+def _by_profile(t: Frames):
+    """(members, holders): resolved per profile, spread to the subjects at the end."""
+    members, parts = C.subject_profiles(_principals(t), _live(t))
+    return members, parts.withColumnRenamed("profile", "holder")
 
 
-def _holders(t: Frames):
-    return _principals(t).withColumnRenamed("sid", "holder")
+def _per_subject(members, rows):
+    return rows.join(members, F.col("holder") == F.col("profile")).drop("holder", "profile").withColumnRenamed(
+        "sid", "holder"
+    )
 
 
 @query(
@@ -94,7 +98,8 @@ def subject_match(t: Frames):
 
 @query("a1_column_levels", f"WITH {MATRIX} SELECT sid AS holder, table_id, column_name, level FROM matrix")
 def column_levels(t: Frames):
-    return C.access_matrix(_live(t), _rules(t), _holders(t))
+    members, holders = _by_profile(t)
+    return _per_subject(members, C.access_matrix(_live(t), _rules(t), holders))
 
 
 @query(
@@ -103,7 +108,8 @@ def column_levels(t: Frames):
           WHEN NOT any_allow THEN 'NO_CONSENT' ELSE 'ALLOWED' END AS outcome FROM outcome""",
 )
 def table_outcome(t: Frames):
-    return C.table_outcomes(_live(t), _rules(t), _holders(t))
+    members, holders = _by_profile(t)
+    return _per_subject(members, C.table_outcomes(_live(t), _rules(t), holders))
 
 
 @query(
@@ -112,8 +118,8 @@ def table_outcome(t: Frames):
 )
 def matrix(t: Frames):
     """Computed per profile; subjects are only counted, never paired with tables."""
-    members, parts = _profiles(t)
-    levels = C.access_matrix(_live(t), _rules(t), parts.withColumnRenamed("profile", "holder"))
+    members, holders = _by_profile(t)
+    levels = C.access_matrix(_live(t), _rules(t), holders)
     sizes = members.groupBy(F.col("profile").alias("holder")).agg(F.count("*").alias("n"))
     return (
         levels.join(sizes, "holder")
@@ -130,7 +136,8 @@ def matrix(t: Frames):
           max(level) FILTER (column_name = '*') AS other_columns FROM matrix GROUP BY ALL""",
 )
 def visible(t: Frames):
-    return C.visible_catalog(_live(t), _rules(t), _holders(t))
+    members, holders = _by_profile(t)
+    return _per_subject(members, C.visible_catalog(_live(t), _rules(t), holders))
 
 
 @query(

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(
@@ -29,7 +30,8 @@ def build_session(
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL)
+    for name in ("SQLQueryContextLogger", "DataFrameQueryContextLogger"):
+        logging.getLogger(name).setLevel(logging.CRITICAL)
     return spark
 
 
@@ -54,7 +56,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors and cuts the lineage."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Writes a frame to the shared folder and reads it back.
+
+    The plan behind it is cut, a lost executor repeats nothing, and the next joins plan
+    with the real size of the files.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A broadcast hint for a frame that was counted and found small; else the frame.
+
+    ``df`` should be cheap to count, such as the result of ``durable``.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df

@@ -23,6 +23,12 @@ TENANT_KEYS = ("tenant_id", "tenantid", "tenant", "mandant_id")
 OPERATIONS = {"c": "INSERT", "u": "UPDATE", "d": "DELETE", "r": "SNAPSHOT"}
 
 
+_CHANGE = (
+    "op string, before map<string,string>, after map<string,string>, ts_ms string, tenant_id string, "
+    "source struct<db: string, schema: string, table: string, ts_ms: string>"
+)
+
+
 def parse_envelope(df: DataFrame, payload: str, default_tenant: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Change events of a plain or an enveloped JSON message.
 
@@ -30,18 +36,18 @@ def parse_envelope(df: DataFrame, payload: str, default_tenant: str | None = Non
     that are not JSON or carry no operation are dropped.
     """
 
+    # One parse per message; both forms are read by the same schema.
+    message = F.from_json(payload, f"{_CHANGE}, payload struct<{_CHANGE}>")
+
     def at(path: str) -> Column:
-        return F.coalesce(
-            F.get_json_object(payload, f"$.payload.{path}"), F.get_json_object(payload, f"$.{path}")
-        )
+        return F.coalesce(F.col(f"_m.payload.{path}"), F.col(f"_m.{path}"))
 
-    image = "map<string,string>"
-    rows = df.select(
+    rows = df.select(*keep, message.alias("_m")).select(
         *keep,
         F.concat_ws(".", at("source.db"), at("source.schema"), at("source.table")).alias("table_name"),
         F.lower(at("op")).alias("_op"),
-        F.from_json(at("before"), image).alias("before"),
-        F.from_json(at("after"), image).alias("after"),
+        at("before").alias("before"),
+        at("after").alias("after"),
         F.coalesce(at("ts_ms"), at("source.ts_ms")).try_cast("long").alias("ts_ms"),
         at("tenant_id").alias("_tenant"),
     )
