@@ -52,26 +52,60 @@ def pattern_regex(pattern: Column) -> Column:
     return F.when(pattern == "*", F.lit("(?s)^.*$")).otherwise(exact)
 
 
-def literal_prefix(pattern: Column) -> Column:
-    """Leading segments of a pattern that contain no wildcard, lower case."""
-    segments = F.split(F.lower(pattern), r"\.")
-    wild = F.transform(segments, lambda s: s.contains("*") | s.startswith(":"))
-    first = F.array_position(wild, True)
-    taken = F.when(first == 0, F.size(segments)).otherwise(first.cast("int") - 1)
-    return F.array_join(F.slice(segments, F.lit(1), taken), ".")
-
-
-def prefixes(target: Column) -> Column:
-    """Every leading run of segments of a name, from the empty one to the whole name."""
-    segments = F.split(F.lower(target), r"\.")
-    return F.transform(
-        F.sequence(F.lit(0), F.size(segments)),
-        lambda n: F.array_join(F.slice(segments, F.lit(1), n), "."),
-    )
+def _segments(name: Column) -> Column:
+    return F.split(F.lower(name), r"\.")
+
+
+def _is_wild(segment: Column) -> Column:
+    return segment.contains("*") | segment.rlike(r"^:[a-z0-9_]+")
+
+
+def pattern_shape(pattern: Column) -> Column:
+    """Which segments are literal (L) or hold a wildcard (W); ``>`` marks a trailing ``.*``.
+
+    There are as many shapes as ways to write a pattern, a handful, however many rules.
+    """
+    body = F.regexp_replace(pattern, r"\.\*$", "")
+    letters = F.transform(_segments(body), lambda s: F.when(_is_wild(s), "W").otherwise("L"))
+    tail = F.when(pattern.endswith(".*"), ">").otherwise("")
+    return F.when(pattern == "*", "any").otherwise(F.concat(F.array_join(letters, ""), tail))
+
+
+def pattern_key(pattern: Column) -> Column:
+    """The pattern with its shape, every wildcard segment replaced by ``*``."""
+    body = F.regexp_replace(pattern, r"\.\*$", "")
+    plain = F.transform(_segments(body), lambda s: F.when(_is_wild(s), "*").otherwise(s))
+    return F.concat_ws("|", pattern_shape(pattern), F.when(pattern != "*", F.array_join(plain, ".")))
 
 
-def _candidates(requests: DataFrame, grouping: DataFrame) -> DataFrame:
-    """Every request with its possible rule subjects and object prefixes, one pair a row.
+def pattern_needs_regex(pattern: Column) -> Column:
+    """Whether a segment holds more than a lone ``*``, so that the key does not decide."""
+    body = F.regexp_replace(pattern, r"\.\*$", "")
+    return (pattern != "*") & F.exists(_segments(body), lambda s: _is_wild(s) & (s != "*"))
+
+
+def object_keys(name: Column, shapes: Sequence[str]) -> Column:
+    """The keys under which patterns of these shapes would match an object name."""
+    segments = _segments(name)
+    keys = []
+    for shape in shapes:
+        if shape == "any":
+            keys.append(F.lit("any"))
+            continue
+        letters = shape.rstrip(">")
+        body = [F.try_element_at(segments, F.lit(i + 1)) for i in range(len(letters))]
+        used = F.concat_ws(".", *body)
+        if shape.endswith(">"):
+            fits = (F.size(segments) > len(letters)) & (F.length(name) > F.length(used) + 1)
+        else:
+            fits = F.size(segments) == len(letters)
+        plain = [F.lit("*") if x == "W" else b for x, b in zip(letters, body)]
+        keys.append(F.when(fits, F.concat(F.lit(f"{shape}|"), F.concat_ws(".", *plain))))
+    return F.array_compact(F.array(*keys))
+
+
+def _candidates(requests: DataFrame, grouping: DataFrame, shapes: Sequence[str]) -> DataFrame:
+    """Every request with its possible rule subjects and object keys, one pair a row.
 
     An actor's roles are listed once per actor (there are few), so requests meet them
     in one join and fan out without another shuffle.
@@ -87,32 +121,38 @@ def _candidates(requests: DataFrame, grouping: DataFrame) -> DataFrame:
         F.concat(F.array(F.lit("*"), F.col("_actor")), F.coalesce("_roles", none))
     )
     return known.select(
-        *requests.columns, F.explode(subjects).alias("_sub"), prefixes(F.col("object")).alias("_all")
-    ).select(*requests.columns, "_sub", F.explode("_all").alias("_prefix"))
+        *requests.columns, F.explode(subjects).alias("_sub"), object_keys(F.col("object"), shapes).alias("_all")
+    ).select(*requests.columns, "_sub", F.explode_outer("_all").alias("_key"))
 
 
-def _with_rules(requests: DataFrame, rules: DataFrame, grouping: DataFrame, how: str) -> DataFrame:
-    keyed = _candidates(requests, grouping)
+def _with_rules(
+    requests: DataFrame,
+    rules: DataFrame,
+    grouping: DataFrame,
+    how: str,
+    also: Column | None = None,
+) -> DataFrame:
+    shapes = sorted(r[0] for r in rules.select(pattern_shape(F.col("obj"))).distinct().collect())
+    keyed = _candidates(requests, grouping, shapes or ["any"])
+    obj = F.col("obj")
     ready = rules.select(
         F.lower("sub").alias("_rule_sub"),
-        literal_prefix(F.col("obj")).alias("_rule_prefix"),
-        pattern_regex(F.col("obj")).alias("_regex"),
+        pattern_key(obj).alias("_rule_key"),
+        F.when(pattern_needs_regex(obj), pattern_regex(obj)).alias("_regex"),
         *[F.col(c) for c in rules.columns],
     )
-    on = (
-        (F.col("_sub") == F.col("_rule_sub"))
-        & (F.col("_prefix") == F.col("_rule_prefix"))
-        & F.expr("object rlike _regex")
-    )
-    return keyed.join(ready, on, how).drop("_sub", "_prefix", "_rule_sub", "_rule_prefix", "_regex")
+    # A regex is compiled per candidate; it is left to the patterns a key cannot decide.
+    fits = F.when(F.col("_regex").isNull(), True).otherwise(F.expr("object rlike _regex"))
+    on = (F.col("_sub") == F.col("_rule_sub")) & (F.col("_key") == F.col("_rule_key"))
+    on = on & (fits if also is None else also & fits)
+    return keyed.join(ready, on, how).drop("_sub", "_key", "_rule_sub", "_rule_key", "_regex")
 
 
 def match_rules(requests: DataFrame, rules: DataFrame, grouping: DataFrame) -> DataFrame:
     """(request columns, rule columns) for every rule whose subject and object match.
 
-    ``requests``: actor, object and more. Subjects and literal object prefixes
-    meet in an equi join; the regex only checks the candidates. There is no nested-loop
-    join, and Spark splits a rule everybody matches at run time.
+    ``requests``: actor, object and more. Subjects and object keys meet in an equi join;
+    there is no nested-loop join, and Spark splits a rule everybody matches at run time.
     """
     return _with_rules(requests, rules, grouping, "inner")
 
@@ -142,7 +182,7 @@ def evaluate(
     )
     # A left join keeps requests no rule matches, so the verdict needs no join back.
     verdict = (
-        _with_rules(requests, rules, grouping, "left")
+        _with_rules(requests, rules, grouping, "left", deny | allow)
         .groupBy(*requests.columns)
         .agg(
             F.bool_or(deny & F.coalesce(met, F.lit(True))).alias("_denied"),
