@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from consentry.operators.ordering import numbered
+from consentry.session import durable
 
 # Documentation sources, strongest first.
 DOCUMENTATION_ORDER = ("manual", "datacatalog", "dbt", "openapi", "database", "default")
@@ -209,6 +210,8 @@ def schema_diff(base: DataFrame, target: DataFrame) -> DataFrame:
     changes = both.select(
         "element", "path", "parent", F.explode(F.array_compact(F.array(first, second))).alias("change")
     )
+    # Read three times below; the comparison itself runs once.
+    changes = durable(changes, "changes")
     # A change inside a parent that was itself added, removed or re-kinded is implied.
     settled = (
         changes.where(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from consentry.model import CLEAR, DENY, MASK, Consent, Subject, TableMeta
 from consentry.model import Column as MetaColumn
 from consentry.operators.predicates import combined_row_filter
+from consentry.session import durable
 
 
 @dataclass
@@ -154,8 +155,8 @@ def subject_profiles(principals: DataFrame, consents: DataFrame) -> tuple[DataFr
     per_subject = held.groupBy("sid").agg(
         F.array_sort(F.collect_set(F.struct("kind", "principal"))).alias("held")
     )
-    keyed = per_subject.select(
-        "sid", F.sha2(F.to_json("held"), 256).alias("profile"), "held"
+    keyed = durable(
+        per_subject.select("sid", F.sha2(F.to_json("held"), 256).alias("profile"), "held"), "profiles"
     )
     parts = (
         keyed.groupBy("profile")
@@ -197,8 +198,10 @@ def access_matrix(consents: DataFrame, rules: DataFrame, holders: DataFrame) ->
         .agg(F.max("access_level").alias("hi"), F.min("access_level").alias("lo"))
     )
     hk = ["holder", "table_id", "effect", "filter_key"]
-    grants = (
-        grants.join(holders, ["kind", "principal"]).groupBy(*hk).agg(F.bool_or("full").alias("full"))
+    # Read twice below, so it is computed once and written down.
+    grants = durable(
+        grants.join(holders, ["kind", "principal"]).groupBy(*hk).agg(F.bool_or("full").alias("full")),
+        "grants",
     )
     levels = (
         levels.join(holders, ["kind", "principal"])

@@ -50,23 +50,16 @@ def numbered(
         ),
         "numbered",
     )
-    # One row per partition: bounded by the number of tasks, not by the data.
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    full = placed.join(F.broadcast(offsets), "_part")
-    number = F.col("_off") + F.col("_pos") + 1
-    if chains:
-        where = (
-            placed.groupBy(*chains, "_part")
-            .agg(F.min("_pos").alias("_pos"))
-            .join(F.broadcast(offsets), "_part")
-            .groupBy(*chains)
-            .agg(F.min(F.col("_off") + F.col("_pos")).alias("_start"))
-        )
-        full = full.join(where, list(chains))
-        number = number - F.col("_start")
-    return full.withColumn(name, number).select(*[c for c in df.columns if c != name], name)
+    # A chain is contiguous inside a partition, so one row per (chain, partition) tells
+    # where it starts there and how many of its rows lie in earlier partitions.
+    spans = placed.groupBy(*chains, "_part").agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    earlier = Window.partitionBy(*chains).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
+    spans = spans.select(*chains, "_part", shift.alias("_shift"))
+    kept = [c for c in df.columns if c != name]
+    return placed.join(spans, [*chains, "_part"]).select(
+        *kept, (F.col("_pos") + F.col("_shift")).alias(name)
+    )
 
 
 def salted(key_id: Column, salts: Column) -> Column:

@@ -13,6 +13,7 @@ from consentry.operators import audit as A
 from consentry.operators import lineage as L
 from consentry.operators.ordering import latest_per_key
 from consentry.queries.base import Frames, query
+from consentry.session import durable
 
 KEY = b"audit-key-for-registered-queries"
 SEGMENT = 64
@@ -58,12 +59,13 @@ CHAIN = f"""RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY ten
 
 
 def _chained(t: Frames):
-    return A.append_chain(t.audit, KEY, segment_rows=SEGMENT)
+    """The log as it lies on disk."""
+    return durable(A.append_chain(t.audit, KEY, segment_rows=SEGMENT), "log")
 
 
 @query("k6_append_chain", f"WITH {CHAIN} SELECT tenant_id, n AS seq, id, prev_hash, entry_hash FROM links")
 def append(t: Frames):
-    return _chained(t).select("tenant_id", "seq", "id", "prev_hash", "entry_hash")
+    return A.append_chain(t.audit, KEY, segment_rows=SEGMENT).select("tenant_id", "seq", "id", "prev_hash", "entry_hash")
 
 
 @query(
@@ -265,7 +267,7 @@ def _requests(t: Frames):
 def patterns(t: Frames):
     # Every object against every pattern, with the subject left open.
     objects = _requests(t).select("object").distinct()
-    requests = objects.withColumn("actor", F.lit("anyone"))
+    requests = objects.withColumn("actor", F.concat(F.lit("reader of "), "object"))
     rules = t.policy.select("obj").distinct().withColumn("sub", F.lit("*"))
     matched = B.match_rules(requests, rules, t.grouping)
     return matched.select("object", "obj")

@@ -325,13 +325,12 @@ def failures(t: Frames):
 
 @query(
     "g4_quarantine_gate",
-    f"""WITH {HEALTH}, tables AS (SELECT DISTINCT 'revenue_' || user_id AS table_name FROM events UNION SELECT 'monthly')
+    f"""WITH {HEALTH}, tables AS (SELECT DISTINCT 'revenue_' || user_id AS table_name FROM events)
         SELECT table_name FROM tables WHERE table_name NOT IN (SELECT model FROM health WHERE health = 'Quarantined')""",
 )
 def gate(t: Frames):
     names = t.events.select(F.concat(F.lit("revenue_"), F.col("user_id").cast("string")).alias("table_name"))
-    names = names.unionByName(t.region.limit(1).select(F.lit("monthly").alias("table_name"))).distinct()
-    return Q.refuse_quarantined(names, Q.model_health(t.results), "table_name")
+    return Q.refuse_quarantined(names.distinct(), Q.model_health(t.results), "table_name")
 
 
 @query(

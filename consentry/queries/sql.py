@@ -146,10 +146,21 @@ def parquet_export(t: Frames):
     return t.spark.read.parquet(path)
 
 
-@query("k1_truncation", "SELECT TRUE AS is_truncated, CAST(500 AS BIGINT) AS n")
+@query(
+    "k1_truncation",
+    """SELECT 'lineitem' AS name, count(*) > 500 AS is_truncated FROM lineitem
+       UNION ALL SELECT 'region', count(*) > 500 FROM region
+       UNION ALL SELECT 'rows', FALSE""",
+)
 def truncation(t: Frames):
     rows, more = capped(t.lineitem, 500, 100_000)
-    return more.join(rows.agg(F.count("*").alias("n")))
+    _, fits = capped(t.region, 500, None)
+    n = rows.agg((F.count("*") != 500).alias("is_truncated"))
+    named = [
+        df.select(F.lit(name).alias("name"), "is_truncated")
+        for name, df in (("lineitem", more), ("region", fits), ("rows", n))
+    ]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 @query(

@@ -74,15 +74,18 @@ def database_table(
 def scan_report(df: DataFrame, filtered: DataFrame) -> DataFrame:
     """Files of a table and how many of them hold rows that pass a filter."""
     name = F.col("_metadata.file_path")
-    total = df.select(name.alias("f")).agg(F.count_distinct("f").alias("files_total"))
-    hit = filtered.select(name.alias("f")).agg(F.count_distinct("f").alias("files_scanned"))
-    both = total.join(hit)
-    pruned = F.col("files_total") - F.col("files_scanned")
-    return both.select(
-        "files_total",
-        "files_scanned",
-        pruned.alias("files_pruned"),
-        F.round(pruned * 100.0 / F.col("files_total"), 2).alias("pruned_percent"),
+    files = (
+        df.select(name.alias("f"), F.lit(0).alias("hit"))
+        .unionByName(filtered.select(name.alias("f"), F.lit(1).alias("hit")))
+        .groupBy("f")
+        .agg(F.max("hit").alias("hit"))
+    )
+    total, scanned = F.count("*"), F.count_if(F.col("hit") == 1)
+    return files.agg(
+        total.alias("files_total"),
+        scanned.alias("files_scanned"),
+        (total - scanned).alias("files_pruned"),
+        F.round((total - scanned) * 100.0 / total, 2).alias("pruned_percent"),
     )
 
 
