@@ -63,13 +63,19 @@ def payload(prev_hash: Column) -> Column:
     )
 
 
+def _anchor(chain: Sequence[str], key: bytes) -> Column:
+    """Where the segment of a row starts from; bound to its chain and number."""
+    names = [F.col(c).cast("string") for c in chain]
+    return hmac_text(F.concat_ws("|", F.lit("anchor"), *names, F.col("segment")), key)
+
+
 def append_chain(
     events: DataFrame,
     key: bytes,
     chain: Sequence[str] = ("tenant_id",),
     order: Sequence[str] = ("occurred_at", "id"),
     segment_rows: int = SEGMENT_ROWS,
-    sequenced: bool = False,
+    tails: DataFrame | None = None,
 ) -> DataFrame:
     """Adds seq, segment, prev_hash and entry_hash.
 
@@ -77,29 +83,36 @@ def append_chain(
     therefore cut into segments of ``segment_rows`` entries; each starts from an anchor
     bound to its chain and number, so segments are hashed in parallel and a hot chain
     spreads over many tasks. ``segment_heads`` links the segments to each other.
+
+    ``tails``: (chain..., last_seq, last_hash) of entries written before; new entries go
+    on from there, inside a segment that is not yet full.
     """
-    rows = events if sequenced else numbered(events, chain, order)
+    rows = numbered(events, chain, order)
+    anchor = _anchor(chain, key)
+    if tails is not None:
+        rows = rows.join(tails, list(chain), "left").withColumn(
+            "seq", F.col("seq") + F.coalesce("last_seq", F.lit(0))
+        )
+        same = F.floor((F.col("last_seq") - 1) / segment_rows) == F.col("segment")
+        anchor = F.when(same, F.col("last_hash")).otherwise(anchor)
     rows = rows.withColumn("segment", F.floor((F.col("seq") - 1) / segment_rows))
-    anchor = hmac_text(
-        F.concat_ws("|", F.lit("anchor"), *[F.col(c).cast("string") for c in chain], F.col("segment")),
-        key,
-    )
     # The payload in front of and behind the previous hash; only the hash is serial.
     cut = F.split(payload(F.lit("\x00")), "\x00", 2)
-    rows = rows.withColumn("_head", cut[0]).withColumn("_tail", cut[1]).withColumn("_anchor", anchor)
-    shape = rows.drop("_head", "_tail", "_anchor").schema.add("prev_hash", "string").add(
+    rows = rows.withColumn("_head", cut[0]).withColumn("_tail", cut[1]).withColumn("_start", anchor)
+    rows = rows.drop("last_seq", "last_hash")
+    shape = rows.drop("_head", "_tail", "_start").schema.add("prev_hash", "string").add(
         "entry_hash", "string"
     )
     group = [*chain, "segment"]
     kept = [f.name for f in shape]
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        anchor_now, last = None, None
+        current, last = None, None
         for batch in batches:
             prev, entry = [], []
-            for start, before, after in zip(batch["_anchor"], batch["_head"], batch["_tail"]):
-                if start != anchor_now:
-                    anchor_now, last = start, start
+            for start, before, after in zip(batch["_start"], batch["_head"], batch["_tail"]):
+                if start != current:
+                    current, last = start, start
                 prev.append(last)
                 last = hmac.new(key, f"{before}{last}{after}".encode(), hashlib.sha256).hexdigest().upper()
                 entry.append(last)
@@ -110,6 +123,45 @@ def append_chain(
     )
 
 
+def chain_tails(chained: DataFrame, chain: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """(chain..., last_seq, last_hash): where the next append goes on."""
+    return chained.groupBy(*chain).agg(
+        F.max("seq").alias("last_seq"), F.max_by("entry_hash", "seq").alias("last_hash")
+    )
+
+
+def append_stream(
+    stream: DataFrame,
+    root: str,
+    key: bytes,
+    chain: Sequence[str] = ("tenant_id",),
+    order: Sequence[str] = ("occurred_at", "id"),
+    segment_rows: int = SEGMENT_ROWS,
+):
+    """Appends a stream of events to a log under ``root``, batch by batch.
+
+    Every batch writes its own folder and the tails after it, and starts from the tails of
+    the batch before; a batch that runs again after a failure writes the same entries.
+    """
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{root}/tails/batch={number - 1}") if number else None
+        linked = append_chain(batch, key, chain, order, segment_rows, before)
+        linked.write.mode("overwrite").parquet(f"{root}/log/batch={number}")
+        after = chain_tails(spark.read.parquet(f"{root}/log/batch={number}"), chain)
+        if before is not None:
+            after = after.unionByName(before.join(after, list(chain), "left_anti"))
+        after.write.mode("overwrite").parquet(f"{root}/tails/batch={number}")
+
+    return (
+        stream.writeStream.foreachBatch(each)
+        .option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def segment_heads(chained: DataFrame, chain: Sequence[str] = ("tenant_id",)) -> DataFrame:
     """One row per segment: first and last sequence, last hash. Input of the next level."""
     last = F.max(F.struct("seq", "entry_hash"))
@@ -131,10 +183,7 @@ def verify_chain(
     The predecessor comes from an equi join on (chain, seq), not from a window over the
     chain, so one long chain is no bottleneck.
     """
-    anchor = hmac_text(
-        F.concat_ws("|", F.lit("anchor"), *[F.col(c).cast("string") for c in chain], F.col("segment")),
-        key,
-    )
+    anchor = _anchor(chain, key)
     before = chained.select(
         *chain, (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_before")
     )

@@ -12,8 +12,9 @@ from consentry.operators import abac as B
 from consentry.operators import audit as A
 from consentry.operators import lineage as L
 from consentry.operators.ordering import latest_per_key
-from consentry.queries.base import Frames, query
-from consentry.session import durable
+from consentry.queries.base import DERIVED, Frames, query
+from consentry.session import durable, scratch_path
+from consentry.sources.tables import stream_files
 
 KEY = b"audit-key-for-registered-queries"
 SEGMENT = 64
@@ -68,6 +69,15 @@ def append(t: Frames):
     return A.append_chain(t.audit, KEY, segment_rows=SEGMENT).select("tenant_id", "seq", "id", "prev_hash", "entry_hash")
 
 
+@query("k6_append_stream", f"WITH {CHAIN} SELECT tenant_id, n AS seq, id, prev_hash, entry_hash FROM links")
+def append_stream(t: Frames):
+    events = stream_files(t.spark, t.path("events"))
+    log = t.sql(DERIVED["audit"], events=events)
+    root = scratch_path(t.spark, "audit-log")
+    A.append_stream(log, root, KEY, segment_rows=SEGMENT).awaitTermination()
+    return t.spark.read.parquet(f"{root}/log").select("tenant_id", "seq", "id", "prev_hash", "entry_hash")
+
+
 @query(
     "w1_verify_chain",
     """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY occurred_at, id) AS n FROM audit),

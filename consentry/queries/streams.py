@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from consentry.model import CLEAR, DENY, MASK, Column, MaskRule, TableMeta
 from consentry.operators.consent import Decision
+from consentry.operators.limits import first_request_windows
 from consentry.operators.ordering import latest_per_key
 from consentry.queries.base import Frames, query
 from consentry.session import scratch_path
@@ -261,6 +262,19 @@ def breaches(t: Frames):
     return _ntz(S.session_breaches(rows, "user_id", "ts", 4, 86400), "window_start")
 
 
+@query(
+    "st12_first_request_windows",
+    """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id
+         UNION ALL SELECT w.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 6 HOUR)
+           FROM w WHERE w.s IS NOT NULL)
+       SELECT w.user_id, w.s AS window_start, count(*) AS requests FROM w JOIN events e ON e.user_id = w.user_id
+         AND e.ts >= w.s AND e.ts < w.s + INTERVAL 6 HOUR WHERE w.s IS NOT NULL GROUP BY ALL""",
+)
+def first_request(t: Frames):
+    rows = first_request_windows(t.events, "user_id", "ts", 6 * 3600)
+    return _ntz(rows, "window_start")
+
+
 @query(
     "st13_running_spend",
     """SELECT date_trunc('day', ts) AS period_start, event_type AS tenant, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from consentry.operators import abac, lineage, privacy, relevance
 from consentry.operators import audit as A
 from consentry.operators import joins as J
+from consentry.operators.limits import first_request_windows
 from consentry.operators.ordering import GROUP_LIMIT, latest_per_key, numbered
+from consentry.sources.tables import stream_files
 
 HOT = 0.5
 
@@ -115,6 +117,34 @@ def test_ledger_equals_serial_run(spark, amounts):
     assert privacy.privacy_ledger(frame).count() == len(requests)
 
 
+def brute_windows(rows, size):
+    out, start = {}, {}
+    for client, at in sorted(rows):
+        if client not in start or at >= start[client] + size:
+            start[client] = at
+        key = (client, start[client])
+        out[key] = out.get(key, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize(("size", "spread"), [(60, 5000), (60, 400), (7, 90000), (3000, 900), (5, 40)])
+def test_first_request_windows(spark, size, spread):
+    """One client spans many partitions, some smaller than a window."""
+    rng = random.Random(size)
+    rows = [("hot" if rng.random() < 0.7 else f"c{rng.randrange(3)}", rng.randrange(spread)) for _ in range(1500)]
+    frame = spark.createDataFrame(rows, "client string, s long").withColumn("at", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        out = first_request_windows(frame, "client", "at", size)
+        out = out.select("client", F.unix_seconds("window_start").alias("s"), "requests").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = {(r.client, r.s): r.requests for r in out}
+    assert got == brute_windows(rows, size)
+
+
 def closure(edges, root):
     seen, frontier, d, out = {root}, [root], 0, {}
     while frontier:
@@ -186,6 +216,27 @@ def test_chain_append_verify_and_report(spark):
     chained.unpersist()
 
 
+def test_chain_goes_on_over_batches(spark, tmp_path):
+    """Three batches of a stream give one unbroken chain."""
+    source, n = str(tmp_path / "in"), 0
+    for size in (50, 7, 40):
+        rows = [(n + i, f"2024-01-01 00:00:{(n + i) % 60:02}", "hot" if i % 3 else f"t{n}") for i in range(size)]
+        n += size
+        df = spark.createDataFrame(rows, "id long, at string, tenant_id string")
+        df = df.withColumn("occurred_at", F.col("at").cast("timestamp_ntz")).drop("at")
+        for c in ("event_type", "actor_sid", "target_table", "target_column", "decision", "trace_id", "details_json"):
+            df = df.withColumn(c, F.lit("x"))
+        df.coalesce(1).write.mode("append").parquet(source)
+    root = str(tmp_path / "log")
+    stream = stream_files(spark, source, files_per_trigger=1)
+    A.append_stream(stream, root, b"k", segment_rows=16).awaitTermination()
+    log = spark.read.parquet(f"{root}/log")
+    assert log.count() == n and log.select("batch").distinct().count() == 3
+    assert A.verify_chain(log.drop("batch"), b"k", segment_rows=16).count() == 0
+    per = log.groupBy("tenant_id").agg(F.max("seq").alias("m"), F.count("*").alias("n"), F.count_distinct("seq").alias("d"))
+    assert all(r.m == r.n == r.d for r in per.collect())
+
+
 PATTERNS = ["*", "sales.dbo.*", "sales.*.t1", "sales.dbo.t1*", "sales.:schema.t2", "Sales.DBO.T3", "*.dbo.*", "sa*s.dbo.t4",
             "sales.dbo.:table", "sales.d.t1", "a+b.c.d"]
 TARGETS = ["sales.dbo.t1", "sales.dbo.t12", "sales.hr.t2", "SALES.dbo.t3", "sales.dbo_hr.t1", "sales.dbo.t4",
