@@ -196,6 +196,26 @@ def rule_for_name(name: str) -> MaskRule | None:
     return None
 
 
+def _mask_by_key(key: Column, value: Column) -> Column:
+    """Masks a text by the name it is stored under; names are known at run time only."""
+    name = F.lower(key)
+
+    def has(parts: tuple[str, ...]) -> Column:
+        found = F.lit(False)
+        for p in parts:
+            found = found | name.contains(p)
+        return found
+
+    return (
+        F.when(value.isNull(), value)
+        .when(has(_EMAIL_PARTS) | name.endswith("mail"), mask_email(value))
+        .when(has(_IBAN_PARTS), mask_iban(value))
+        .when(has(_PHONE_PARTS), mask_phone(value))
+        .when(has(_REDACT_PARTS) | name.isin(*_REDACT_NAMES), F.lit("REDACTED"))
+        .otherwise(value)
+    )
+
+
 def mask_nested(
     df: DataFrame,
     aliases: dict[str, str] | None = None,
@@ -224,6 +244,10 @@ def mask_nested(
             return F.when(c.isNotNull(), F.struct(*fields))
         if isinstance(dtype, T.ArrayType):
             return F.transform(c, lambda x: inside(x, dtype.elementType, path))
+        if isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+            if isinstance(dtype.valueType, T.StringType):
+                return F.transform_values(c, _mask_by_key)
+            return F.transform_values(c, lambda k, v: inside(v, dtype.valueType, path))
         return c
 
     return df.select(

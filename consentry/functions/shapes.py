@@ -130,9 +130,9 @@ def coerce_parameter(value, kind: str, required: bool = False, default=None, nam
             case "double" | "float":
                 return float(text)
             case "bool" | "boolean":
-                if text.lower() not in ("true", "false", "1", "0"):
+                if text.lower() not in ("true", "false"):
                     raise ValueError("not a boolean")
-                return text.lower() in ("true", "1")
+                return text.lower() == "true"
             case "datetime" | "timestamp" | "date":
                 return dt.datetime.fromisoformat(text.replace("Z", "+00:00"))
             case "guid" | "uuid":

@@ -368,15 +368,27 @@ def snapshot(
 
 
 def approval_status(
-    requests: DataFrame, steps: DataFrame, four_eyes: str = "four_eyes"
+    requests: DataFrame,
+    steps: DataFrame,
+    four_eyes: str = "four_eyes",
+    authorised: DataFrame | None = None,
 ) -> DataFrame:
     """Status of access requests from their approval steps.
 
     A requester cannot approve, a second vote of one approver does not count, and
-    tables under four eyes need two approvers.
+    tables under four eyes need two approvers. With ``authorised`` (table_id,
+    approver_sid; no table for admins) only votes of authorised approvers count.
     """
+    owners = ["request_id", "requester_sid"]
+    if authorised is not None:
+        asked = requests.select("request_id", "table_id")
+        admins = authorised.where(F.col("table_id").isNull()).select("approver_sid").distinct()
+        own = steps.join(asked, "request_id").join(
+            authorised.select("table_id", "approver_sid"), ["table_id", "approver_sid"], "left_semi"
+        )
+        steps = own.select(*steps.columns).union(steps.join(admins, "approver_sid", "left_semi").select(*steps.columns))
     votes = (
-        steps.join(requests.select("request_id", "requester_sid"), "request_id")
+        steps.join(requests.select(*owners), "request_id")
         .where(F.col("approver_sid") != F.col("requester_sid"))
         .groupBy("request_id", "approver_sid")
         .agg(

@@ -23,9 +23,12 @@ def enrich(
     as_name: str,
     keep_key: bool = True,
     latest: Sequence[Column] = (),
+    hidden: Sequence[str] = (),
 ) -> DataFrame:
     """N:1 left outer join; the joined row nests under ``as_name``, NULL without a match.
 
+    ``hidden``: columns of the joined row that are not shown.
+
     Keys compare as case-insensitive text. Of duplicate right keys the last one (first in
     ``latest`` order) wins. ``joined=None`` stands for a refused table: all NULL.
     The right side is reduced to one row per key before the join, so the join cannot
@@ -35,10 +38,10 @@ def enrich(
         out = primary.withColumn(as_name, F.lit(None).cast("string"))
         return out if keep_key else out.drop(left_key)
     key = F.lower(F.col(right_key).cast("string"))
-    fields = F.struct(*joined.columns)
+    fields = F.struct(*[c for c in joined.columns if c not in hidden])
     if latest:
         one = latest_per_key(joined.withColumn("_rk", key), ["_rk"], latest, 1)
-        one = one.select("_rk", F.struct(*joined.columns).alias(as_name))
+        one = one.select("_rk", fields.alias(as_name))
     else:
         one = joined.groupBy(key.alias("_rk")).agg(F.max(fields).alias(as_name))
     out = primary.withColumn("_rk", F.lower(F.col(left_key).cast("string"))).join(one, "_rk", "left")

@@ -104,11 +104,11 @@ def filter_tree(
             raise GovernanceError(f"filter deeper than {MAX_DEPTH}")
         parts: list[Column] = []
         for key, body in node.items():
-            if key in ("and", "or"):
+            if key.lower() in ("and", "or"):
                 branches = body if isinstance(body, Sequence) else [body]
                 found = [p for p in (build(b, depth + 1) for b in branches) if p is not None]
                 if found:
-                    parts.append(all_of(found) if key == "and" else any_of(found))
+                    parts.append(all_of(found) if key.lower() == "and" else any_of(found))
                 continue
             if levels is not None and levels.get(key.lower()) != CLEAR:
                 raise GovernanceError(f"no clear access to filter column {key!r}")
@@ -127,10 +127,11 @@ def filter_tree(
 def equality_arguments(
     args: Mapping[str, Any], schema: T.StructType, levels: Mapping[str, int]
 ) -> list[Column]:
-    """``argument = column`` for columns in clear; paging arguments and nulls do not count."""
+    """``argument = column`` for columns in clear; paging arguments, nulls and names that
+    are no columns do not count."""
     found = []
     for name, value in args.items():
-        if name.lower() in ("limit", "offset") or value is None:
+        if name.lower() in ("limit", "offset") or value is None or name.lower() not in levels:
             continue
         if levels.get(name.lower()) != CLEAR:
             raise GovernanceError(f"no clear access to argument column {name!r}")

@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 from consentry.model import LEGACY_TENANT
 
 
+# Roles whose members approve everywhere.
+ADMIN_ROLES = ("GovernanceAdmin", "ClusterAdmin")
+
+
+def admin_members(roles: DataFrame, members: DataFrame) -> DataFrame:
+    admins = roles.where(F.col("role_name").isin(*ADMIN_ROLES)).select("role_id")
+    return members.join(admins, "role_id", "left_semi").select("member_sid").distinct()
+
+
 def approvers(
     owners: DataFrame, table_owners: DataFrame, delegations: DataFrame, admins: DataFrame, now: Column
 ) -> DataFrame:
-    """(table_id, approver_sid): active owners, their delegates in time, and admins (``*``)."""
+    """(table_id, approver_sid): active owners, delegates in time, and admins (no table)."""
     active = owners.where("is_active").select("owner_id", "owner_sid")
-    owned = table_owners.join(active, "owner_id")
-    live = delegations.where((F.col("valid_from") <= now) & (now <= F.col("valid_to")))
-    by_owner = owned.select("table_id", F.col("owner_sid").alias("approver_sid"))
-    by_delegate = owned.join(live, "owner_id").select(
+    live = delegations.where((F.col("valid_from") <= now) & (now < F.col("valid_to")))
+    live = live.select("owner_id", "delegate_sid").distinct()
+    by_owner = table_owners.join(active, "owner_id").select(
+        "table_id", F.col("owner_sid").alias("approver_sid")
+    )
+    by_delegate = table_owners.join(live, "owner_id").select(
         "table_id", F.col("delegate_sid").alias("approver_sid")
     )
-    by_role = admins.select(F.lit(None).cast(dict(table_owners.dtypes)["table_id"]).alias("table_id"),
-                            F.col("member_sid").alias("approver_sid"))
+    everywhere = F.lit(None).cast(dict(table_owners.dtypes)["table_id"])
+    by_role = admins.select(everywhere.alias("table_id"), F.col("member_sid").alias("approver_sid"))
     return by_owner.union(by_delegate).union(by_role).distinct()
 
 

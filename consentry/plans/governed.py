@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from consentry.functions.masks import DEFAULT_MASTER_KEY, is_effective_hmac, mask_column
 from consentry.model import CLEAR, DENY, MASK, Consent, Subject, TableMeta
 from consentry.operators.consent import Decision, columns_of, resolve
+from consentry.operators.joins import enrich
 from consentry.operators.ordering import numbered
 from consentry.operators.predicates import (
     GovernanceError,
@@ -59,9 +60,13 @@ def masked_projection(
     decision: Decision,
     columns: Sequence[str],
     master_key: bytes = DEFAULT_MASTER_KEY,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Selects catalog columns only; denied ones vanish, masked ones are masked."""
-    out = []
+    """Selects catalog columns only; denied ones vanish, masked ones are masked.
+
+    ``carry``: helper columns a later step needs and drops.
+    """
+    out = [F.col(c) for c in carry]
     for name in columns:
         column = meta.column(name)
         level = decision.level(column) if column else DENY
@@ -142,16 +147,15 @@ class Governor:
             )
         return decision
 
-    def table(
+    def _rows(
         self,
         name: str,
         subject: Subject,
-        columns: Sequence[str] | None = None,
         where: Mapping[str, Any] | None = None,
         equals: Mapping[str, Any] | None = None,
         session: SparkSession | None = None,
-    ) -> DataFrame:
-        """The table as this subject may see it."""
+    ) -> tuple[DataFrame, Decision]:
+        """Rows this subject may see, with every column still raw; never handed out."""
         session = session or self.spark
         decision = self.decide(name, subject, session)
         if not decision.allowed:
@@ -174,9 +178,57 @@ class Governor:
                 tests.append(tree)
         for test in tests:
             df = df.where(test)
-        return masked_projection(
-            df, meta, decision, columns_of(meta, decision, columns), self.master_key
+        return df, decision
+
+    def table(
+        self,
+        name: str,
+        subject: Subject,
+        columns: Sequence[str] | None = None,
+        where: Mapping[str, Any] | None = None,
+        equals: Mapping[str, Any] | None = None,
+        session: SparkSession | None = None,
+    ) -> DataFrame:
+        """The table as this subject may see it."""
+        df, decision = self._rows(name, subject, where, equals, session)
+        meta = self.meta(name)
+        shown = columns_of(meta, decision, columns)
+        return masked_projection(df, meta, decision, shown, self.master_key)
+
+    def enrich(
+        self,
+        name: str,
+        subject: Subject,
+        key: str,
+        other: str,
+        other_key: str,
+        as_name: str,
+        columns: Sequence[str] | None = None,
+        other_columns: Sequence[str] | None = None,
+        **request: Any,
+    ) -> DataFrame:
+        """A table with the matching row of another one nested under ``as_name``.
+
+        Both sides are governed on their own. Rows meet on the stored keys and are masked
+        after that, so a masked key still finds its row but is never shown. A refused or
+        absent other row is NULL.
+        """
+        df, decision = self._rows(name, subject, **request)
+        meta = self.meta(name)
+        shown = columns_of(meta, decision, columns)
+        left = masked_projection(
+            df.withColumn("_key", F.col(key)), meta, decision, shown, self.master_key, ("_key",)
+        )
+        try:
+            found, rights = self._rows(other, subject)
+        except GovernanceError:
+            return enrich(left, None, "_key", other_key, as_name, keep_key=False)
+        other_meta = self.meta(other)
+        keyed = found.withColumn("_key", F.col(other_key))
+        inner = masked_projection(
+            keyed, other_meta, rights, columns_of(other_meta, rights, other_columns), self.master_key, ("_key",)
         )
+        return enrich(left, inner, "_key", "_key", as_name, keep_key=False, hidden=("_key",))
 
     def page(
         self,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from consentry.operators import finops as C
 from consentry.operators import privacy as P
 from consentry.queries.base import Frames, query
+from consentry.sinks.export import focus_lines
 
 # Half-even rounding in whole millionths, in integers: prices are whole hundred-millionths.
 COST = """cost AS (SELECT *, prompt_tokens * 300 + completion_tokens * 1500 + compute_ms * 10 AS h FROM usage),
@@ -35,6 +36,27 @@ def billed(t: Frames):
     )
 
 
+@query(
+    "k3_focus_csv",
+    f"""WITH {COST} SELECT event_id, '"' || strftime("at", '%Y-%m-%dT%H:%M:%S.%f') || 'Z",' || printf('%.6f', micros / 1e6) || ','
+          || printf('%.6f', micros / 1e6) || ',"EUR",' || CASE WHEN prompt_tokens + completion_tokens > 0
+          THEN prompt_tokens + completion_tokens ELSE compute_ms END || ',"'
+          || CASE WHEN prompt_tokens + completion_tokens > 0 THEN 'Tokens' ELSE 'Milliseconds' END || '","' || tenant || '","''=' || operation
+          || '","DataGateway","' || coalesce(category, CASE WHEN prompt_tokens + completion_tokens > 0 THEN 'AI-Inference'
+          ELSE 'DatabaseCompute' END) || '"' AS line FROM billed""",
+)
+def focus_csv(t: Frames):
+    # The operation starts like a formula; the first column is compared elsewhere.
+    usage = t.usage.withColumn("operation", F.concat(F.lit("="), "operation"))
+    rows = C.cost_records(usage.withColumn("tags", F.create_map(F.lit("id"), F.col("event_id").cast("string"))))
+    named = rows.withColumn("ChargePeriodStart", F.col("Tags")["id"])
+    lines = focus_lines(named)
+    return lines.select(
+        F.regexp_extract("line", r'^"(\d+)"', 1).cast("long").alias("event_id"),
+        F.regexp_replace("line", r'^"\d+",', "").alias("line"),
+    )
+
+
 @query(
     "a12_budget_status",
     f"""WITH {COST}, s AS (SELECT tenant, CAST(sum(micros) / 1e6 AS DOUBLE) AS spend FROM billed GROUP BY tenant),

@@ -15,13 +15,19 @@ from consentry.queries.metas import ANALYST, CUSTOMER, ORDERS, ORDERS_ROWS, gove
     "j1_enrichment",
     f"""SELECT o.o_orderkey, o.o_custkey, c.c_mktsegment AS segment, c.c_custkey AS matched FROM
           (SELECT * FROM orders WHERE {ORDERS_ROWS}) o
-          LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 12) c ON o.o_custkey = c.c_custkey""",
+          LEFT JOIN customer c ON o.o_custkey = c.c_custkey""",
 )
 def enrichment(t: Frames):
-    g = governor(t)
-    primary = g.table(ORDERS.name, ANALYST, columns=["o_orderkey", "o_custkey"])
-    joined = g.table(CUSTOMER.name, ANALYST, columns=["c_custkey", "c_mktsegment", "c_nationkey"])
-    rows = J.enrich(primary, joined.where("c_nationkey < 12"), "o_custkey", "c_custkey", "customer")
+    rows = governor(t).enrich(
+        ORDERS.name,
+        ANALYST,
+        "o_custkey",
+        CUSTOMER.name,
+        "c_custkey",
+        "customer",
+        columns=["o_orderkey", "o_custkey"],
+        other_columns=["c_custkey", "c_mktsegment"],
+    )
     return rows.select(
         "o_orderkey",
         "o_custkey",

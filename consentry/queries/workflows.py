@@ -30,17 +30,26 @@ def _authorised(t: Frames):
         F.col("o_orderdate").alias("valid_from"),
         (F.col("o_orderdate") + F.expr("INTERVAL '20' DAY")).alias("valid_to"),
     )
-    admins = t.region.select(F.concat(F.lit("admin-"), "r_name").alias("member_sid"))
-    return W.approvers(owners, owned, delegations, admins, now())
+    role = (
+        F.when(F.col("r_name") == "ASIA", "GovernanceAdmin")
+        .when(F.col("r_name") == "EUROPE", "ClusterAdmin")
+        .otherwise(F.col("r_name"))
+    )
+    roles = t.region.select(F.col("r_regionkey").alias("role_id"), role.alias("role_name"))
+    members = t.nation.select(
+        F.col("n_regionkey").alias("role_id"), F.concat(F.lit("member-"), "n_name").alias("member_sid")
+    )
+    return W.approvers(owners, owned, delegations, W.admin_members(roles, members), now())
 
 
 APPROVERS = f"""owned AS (SELECT DISTINCT l_partkey % 701 AS table_id, l_suppkey AS owner_id FROM lineitem
       WHERE (l_partkey % 701) % 10 = l_suppkey % 10),
    act AS (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0),
    approvers AS (SELECT table_id, s_name AS approver_sid FROM owned JOIN act ON s_suppkey = owner_id
-     UNION SELECT table_id, 'deputy-' || o_custkey FROM owned JOIN act ON s_suppkey = owner_id JOIN orders ON o_custkey % 100 = owner_id
-       WHERE o_orderdate <= {NOW_SQL} AND {NOW_SQL} <= o_orderdate + INTERVAL 20 DAY
-     UNION SELECT NULL, 'admin-' || r_name FROM region)"""
+     UNION SELECT table_id, 'deputy-' || o_custkey FROM owned JOIN orders ON o_custkey % 100 = owner_id
+       WHERE o_orderdate <= {NOW_SQL} AND {NOW_SQL} < o_orderdate + INTERVAL 20 DAY
+     UNION SELECT NULL, 'member-' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey
+       WHERE r_name IN ('ASIA', 'EUROPE'))"""
 
 
 @query("j10_approvers", f"WITH {APPROVERS} SELECT table_id, approver_sid FROM approvers")
@@ -86,6 +95,22 @@ def approval(t: Frames):
     return A.approval_status(requests, t.steps).drop("requester_sid")
 
 
+@query(
+    "w3_authorised_approvals",
+    f"""WITH {APPROVERS}, {VOTES.replace("WHERE s.approver_sid <> r.requester_sid",
+          "WHERE s.approver_sid <> r.requester_sid AND (r.table_id, s.approver_sid) IN (SELECT table_id, replace(approver_sid, 'deputy-', 'user-') FROM approvers WHERE table_id IS NOT NULL)")}
+        SELECT CASE WHEN coalesce(rejected, FALSE) THEN 'REJECTED'
+          WHEN coalesce(approvals, 0) >= CASE WHEN four_eyes THEN 2 ELSE 1 END THEN 'APPROVED'
+          WHEN coalesce(approvals, 0) > 0 THEN 'PENDING_SECOND_APPROVAL' ELSE 'PENDING' END AS status, count(*) AS n
+        FROM requests r LEFT JOIN n ON n.request_id = r.request_id GROUP BY 1""",
+)
+def authorised_approvals(t: Frames):
+    # Votes of people who may not approve the table do not count.
+    may = _authorised(t).withColumn("approver_sid", F.replace("approver_sid", F.lit("deputy-"), F.lit("user-")))
+    requests = t.requests.select("request_id", "requester_sid", "four_eyes", "table_id")
+    return A.approval_status(requests, t.steps, authorised=may).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query(
     "w3_approval_steps",
     """WITH f AS (SELECT request_id, approver_sid, min(decided_at) AS decided_at FROM steps GROUP BY ALL)

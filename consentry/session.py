@@ -74,3 +74,12 @@ def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Shares costly row work among all cores when the files give too few splits.
+
+    A table with at least as many splits as cores is left alone, so nothing big moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

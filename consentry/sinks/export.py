@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +81,43 @@ def csv_line(*columns: Column) -> Column:
     return F.concat_ws(",", *quoted)
 
 
+# Columns of the cost export, in order; those in the second list are bare.
+FOCUS_COLUMNS = (
+    "ChargePeriodStart", "ChargePeriodEnd", "BilledCost", "EffectiveCost", "Currency",
+    "ConsumedQuantity", "ConsumedUnit", "SubAccountId", "ResourceId", "ServiceName",
+    "PricingCategory",
+)
+FOCUS_NUMBERS = ("BilledCost", "EffectiveCost", "ConsumedQuantity")
+
+
+def focus_lines(records: DataFrame) -> DataFrame:
+    """Cost records as CSV lines; text is quoted, numbers are not."""
+    types = {f.name: f.dataType for f in records.schema}
+
+    def cell(name: str) -> Column:
+        if name in FOCUS_NUMBERS:
+            return F.col(name).cast("string")
+        return csv_line(normalised(F.col(name), types[name]))
+
+    return records.select(F.concat_ws(",", *[cell(c) for c in FOCUS_COLUMNS]).alias("line"))
+
+
+def write_focus_csv(records: DataFrame, path: str) -> None:
+    """One folder of part files; each starts with the header, as readers of folders expect."""
+    header = ",".join(FOCUS_COLUMNS)
+    lines = focus_lines(records)
+
+    def with_header(batches):
+        first = True
+        for batch in batches:
+            if first:
+                batch = pd.concat([pd.DataFrame({"line": [header]}), batch], ignore_index=True)
+                first = False
+            yield batch
+
+    lines.mapInPandas(with_header, "line string").write.text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     safe = df.select(*[csv_safe(F.col(f.name)).alias(f.name) for f in df.schema])
     safe.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

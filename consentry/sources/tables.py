@@ -30,19 +30,29 @@ def write_governance_table(df: DataFrame, root: str, name: str) -> None:
     df.select(*columns).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
 
 
-# URL prefixes of the databases a source may name.
+# Names a source type may have, and the URL prefix of each database.
+DIALECTS = {
+    "sqlserver": ("mssql", "sqlserver", "sql_server", "microsoft sql server"),
+    "sqlite": ("sqlite", "sqlite3"),
+    "postgresql": ("postgres", "postgresql", "pgsql", "npgsql"),
+    "databricks": ("databricks", "spark", "sparksql"),
+    "oracle": ("oracle", "oracledb", "odp"),
+}
 DATABASE_URLS = {
     "sqlserver": "jdbc:sqlserver:",
+    "sqlite": "jdbc:sqlite:",
     "postgresql": "jdbc:postgresql:",
-    "mysql": "jdbc:mysql:",
+    "databricks": "jdbc:databricks:",
     "oracle": "jdbc:oracle:",
-    "sqlite": "jdbc:sqlite:",
-}
-DATABASE_ALIASES = {
-    "mssql": "sqlserver", "postgres": "postgresql", "npgsql": "postgresql", "mariadb": "mysql",
 }
 
 
+def dialect_of(source_type: str | None) -> str:
+    """Database of a source type; an unknown or empty one is PostgreSQL."""
+    name = (source_type or "").strip().lower()
+    return next((d for d, names in DIALECTS.items() if name in names), "postgresql")
+
+
 def database_table(
     spark: SparkSession,
     url: str,
@@ -142,41 +152,76 @@ class Endpoint:
 
     def run(self, governor, subject: Subject, values: Mapping[str, object] | None = None, **options) -> DataFrame:
         """Runs over governed views, with values bound as parameters."""
-        text = re.sub(r"(?<![\w@])@(\w+)", r":\1", self.sql)
+        pieces = re.split(r"('(?:[^']|'')*')", self.sql)
+        pieces[::2] = [re.sub(r"(?<![\w@])@(\w+)", r":\1", p) for p in pieces[::2]]
+        text = "".join(pieces)
         return governor.sql(text, subject, args=self.bind(values or {}), **options)
 
 
+# Spellings of parameter types.
+PARAMETER_TYPES = {
+    "int": ("int", "integer", "int32"),
+    "long": ("long", "bigint", "int64"),
+    "decimal": ("decimal", "numeric", "money"),
+    "double": ("float", "double", "real"),
+    "bool": ("bool", "boolean"),
+    "datetime": ("date", "datetime", "timestamp"),
+    "guid": ("guid", "uuid"),
+}
+
+
+def _parameter(text: str) -> Parameter:
+    """``name type [required] [default=x]``."""
+    words = text.replace(":", " ").split()
+    kind = words[1].lower() if len(words) > 1 else "string"
+    kind = next((k for k, names in PARAMETER_TYPES.items() if kind in names), "string")
+    default = re.search(r"default\s*=\s*(.+)$", text, re.IGNORECASE)
+    return Parameter(
+        words[0].lstrip("@"),
+        kind,
+        "required" in [w.lower() for w in words[2:]],
+        default.group(1).strip(" \"'") if default else None,
+    )
+
+
 def parse_endpoint(text: str, name: str = "endpoint") -> Endpoint:
     """Reads ``-- @name``, ``@summary``, ``@datasource``, ``@method``, ``@timeout`` and
-    ``@param name type [required] [default=x]`` headers; the rest is the query."""
+    ``@param`` headers; the rest is the query.
+
+    Without a summary the other leading comments serve. A parameter the query uses but
+    no header declares is a required text.
+    """
     end = Endpoint(name, "")
-    body = []
+    body, comments, declared = [], [], {}
     for line in text.splitlines():
-        header = re.match(r"\s*--\s*@(\w+)\s*(.*)$", line)
+        header = re.match(r"\s*--\s*@(\w+)\s*:?\s*(.*)$", line)
         if not header:
-            body.append(line)
+            remark = re.match(r"\s*--\s*(.+)$", line)
+            (comments if remark else body).append(remark.group(1).strip() if remark else line)
             continue
-        key, rest = header.group(1).lower(), header.group(2).strip().lstrip(":").strip()
+        key, rest = header.group(1).lower(), header.group(2).strip()
         if key == "name":
-            end.name = rest
-        elif key == "summary":
+            end.name = rest or end.name
+        elif key in ("summary", "description"):
             end.summary = rest
-        elif key == "datasource":
+        elif key in ("datasource", "data_source"):
             end.source = rest
-        elif key == "method":
+        elif key in ("method", "http_method"):
             end.method = rest.upper()
-        elif key == "timeout":
+        elif key == "timeout" and rest.isdigit():
             end.timeout = int(rest)
-        elif key == "param":
-            words = rest.split()
-            default = next((w[8:] for w in words if w.startswith("default=")), None)
-            end.parameters.append(
-                Parameter(words[0].lstrip("@"), words[1] if len(words) > 1 else "string",
-                          "required" in words[2:], default)
-            )
+        elif key == "param" and rest:
+            p = _parameter(rest)
+            declared[p.name.lower()] = p
     end.sql = "\n".join(body).strip()
     if not end.sql:
         raise ValueError("the endpoint has no query")
+    end.summary = end.summary or " ".join(comments)
+    bare = re.sub(r"'(?:[^']|'')*'", "''", end.sql)
+    for used in dict.fromkeys(re.findall(r"(?<![\w@])@(\w+)", bare)):
+        found = declared.get(used.lower())
+        kind = found or Parameter(used, required=True)
+        end.parameters.append(Parameter(used, kind.kind, kind.required, kind.default))
     return end
 
 

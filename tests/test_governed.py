@@ -290,3 +290,39 @@ def test_denied_column_never_comes_back(spark):
     grant = Consent(STAFF.name, grantee="me", columns={"id": CLEAR, "ssn": DENY, "tenant_id": CLEAR})
     gov = Governor(spark, [grant], now=NOW).register(load, STAFF)
     assert gov.table(STAFF.name, ME, columns=["ssn"]).columns == ["id", "tenant_id"]
+
+
+def test_enrichment_meets_on_stored_keys(spark):
+    """The key is masked on one side and dropped on the other, yet rows find each other."""
+    notes = TableMeta("x.y.notes", (Column("who"), Column("note")), ("who",), tenant_column=None)
+    grants = [
+        Consent(STAFF.name, grantee="me", columns={"id": CLEAR, "ssn": MASK, "tenant_id": CLEAR}),
+        Consent(notes.name, grantee="me", columns={"who": DENY, "note": CLEAR}),
+    ]
+
+    def load_notes(session):
+        return session.createDataFrame([("111", "first"), ("444", "fourth"), ("999", "none")], "who string, note string")
+
+    gov = Governor(spark, grants, now=NOW).register(load, STAFF).register(load_notes, notes)
+    rows = gov.enrich(STAFF.name, ME, "ssn", notes.name, "who", "memo", columns=["id", "ssn"]).collect()
+    assert {(r.id, r.ssn, r.memo and r.memo.note) for r in rows} == {
+        (1, "REDACTED", "first"), (2, "REDACTED", None), (4, "REDACTED", "fourth")
+    }
+    assert rows[0].asDict().keys() == {"id", "ssn", "memo"}
+    closed = Governor(spark, grants[:1], now=NOW).register(load, STAFF).register(load_notes, notes)
+    assert all(r.memo is None for r in closed.enrich(STAFF.name, ME, "ssn", notes.name, "who", "memo").collect())
+
+
+def test_undeclared_parameters_are_required():
+    end = parse_endpoint("-- Lists things\n-- @param n int32 default = 5\nSELECT a FROM t WHERE b = @b AND c = @n AND d = '@x'")
+    assert end.summary == "Lists things"
+    assert [(p.name, p.kind, p.required, p.default) for p in end.parameters] == [
+        ("b", "string", True, None), ("n", "int", False, "5")
+    ]
+
+
+def test_dialects():
+    from consentry.sources.tables import dialect_of
+
+    names = {"MSSQL": "sqlserver", "npgsql": "postgresql", " Spark ": "databricks", "odp": "oracle", None: "postgresql", "x": "postgresql"}
+    assert all(dialect_of(k) == v for k, v in names.items())

@@ -145,3 +145,13 @@ def test_nested_names(spark):
     assert row.u.id == 1 and row.u.workEmail == "***@***"
     assert row.u.pay.mobile == "*" and row.u.pay.salary == 0.0
     assert [x.mail for x in row.l] == ["***@***", None]
+
+
+def test_nested_maps(spark):
+    df = spark.createDataFrame(
+        [({"Email": "joe@x.org", "SSN": "1", "note": "n", "phoneNo": None}, {"a": ("b@c.de",)})],
+        "m map<string,string>, n map<string,struct<mail:string>>",
+    )
+    row = M.mask_nested(df).first()
+    assert row.m == {"Email": "j***@***.org", "SSN": "REDACTED", "note": "n", "phoneNo": None}
+    assert row.n["a"].mail == "***@***"

@@ -209,6 +209,17 @@ def test_csv(spark, tmp_path):
     assert {r.x for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()} == {"'=1+1", "ok"}
 
 
+def test_focus_folder(spark, tmp_path):
+    usage = spark.sql(
+        "SELECT 't' AS tenant, 'p' AS principal, '=op' AS operation, CAST(NULL AS STRING) AS category, 0L AS prompt_tokens, "
+        "0L AS completion_tokens, 500L AS compute_ms, TIMESTAMP_NTZ '2024-01-01 00:00:01' AS at"
+    )
+    E.write_focus_csv(finops.cost_records(usage).coalesce(1), str(tmp_path / "focus"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "focus")).collect()
+    assert len(rows) == 1 and rows[0].ResourceId == "'=op" and rows[0].BilledCost == "0.000050"
+    assert rows[0].PricingCategory == "DatabaseCompute" and rows[0].ChargePeriodStart == "2024-01-01T00:00:00.500000Z"
+
+
 def test_json_arrays(spark):
     df = spark.createDataFrame([(1, 'q"x', None, [1, 2])], "a int, b string, c string, d array<int>")
     assert E.json_rows(df, "arrays").first()[0] == '[1,"q\\"x",null,[1,2]]'
