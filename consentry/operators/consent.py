@@ -143,6 +143,11 @@ def matched_consents(consents: DataFrame, principals: DataFrame) -> DataFrame:
     return _principal_of(consents).join(principals, ["kind", "principal"])
 
 
+def grants_per_principal(consents: DataFrame) -> DataFrame:
+    """(kind, principal, consents): how many consents name each principal."""
+    return _principal_of(consents).groupBy("kind", "principal").agg(F.count("*").alias("consents"))
+
+
 def subject_profiles(principals: DataFrame, consents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Subjects that hold the same granted principals share one profile.
 

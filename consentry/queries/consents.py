@@ -57,6 +57,16 @@ MATRIX = f"""{PAIRS}, {RULES},
              FROM low l LEFT JOIN deny d ON d.sid = l.sid AND d.table_id = l.table_id
                AND d.column_name = l.column_name)"""
 
+# Subjects that hold the same granted principals, named by the first of them.
+MEMBERS = """held AS (
+    SELECT s.sid, 'SELF ' || s.sid AS p FROM subjects s WHERE s.sid IN (SELECT grantee_sid FROM live
+      WHERE grantee_type IN ('USER', 'SERVICE_PRINCIPAL'))
+    UNION SELECT sid, 'GROUP ' || group_sid FROM subject_groups WHERE group_sid IN (SELECT grantee_sid FROM live WHERE grantee_type = 'GROUP')
+    UNION SELECT sid, 'ROLE ' || role_name FROM subject_roles WHERE role_name IN (SELECT role_name FROM live WHERE grantee_type = 'ROLE')),
+  folded AS (SELECT sid, string_agg(p, ',' ORDER BY p) AS h FROM held GROUP BY sid),
+  members AS (SELECT sid, min(sid) OVER (PARTITION BY h) AS holder FROM folded)"""
+PROFILES = f"{LIVE}, {MEMBERS}"
+
 
 def _live(t: Frames):
     return C.active_consents(t.consents, now(), "tenant-1")
@@ -76,10 +86,10 @@ def _by_profile(t: Frames):
     return members, parts.withColumnRenamed("profile", "holder")
 
 
-def _per_subject(members, rows):
-    return rows.join(members, F.col("holder") == F.col("profile")).drop("holder", "profile").withColumnRenamed(
-        "sid", "holder"
-    )
+def _represented(members, rows):
+    """Names each profile by its first subject. Subjects are never multiplied by tables."""
+    first = members.groupBy(F.col("profile").alias("holder")).agg(F.min("sid").alias("first"))
+    return rows.join(first, "holder").drop("holder").withColumnRenamed("first", "holder")
 
 
 @query(
@@ -91,25 +101,45 @@ def active(t: Frames):
     return _live(t).select("consent_id", "table_id", "effect")
 
 
-@query("j9_subject_match", f"WITH {PAIRS} SELECT sid, consent_id FROM pairs")
+@query("j9_subject_match", f"WITH {PAIRS} SELECT consent_id, count(*) AS subjects FROM pairs GROUP BY consent_id")
 def subject_match(t: Frames):
-    return C.matched_consents(_live(t), _principals(t)).select("sid", "consent_id").distinct()
+    """Holders are counted per principal, so a group everybody is in makes no pairs."""
+    sizes = _principals(t).groupBy("kind", "principal").agg(F.count("*").alias("subjects"))
+    return C.matched_consents(_live(t), sizes).select("consent_id", "subjects")
+
+
+@query("j9_consents_per_subject", f"WITH {PAIRS} SELECT sid, count(*) AS consents FROM pairs GROUP BY sid")
+def consents_per_subject(t: Frames):
+    grants = C.grants_per_principal(_live(t))
+    held = _principals(t).join(grants, ["kind", "principal"])
+    return held.groupBy("sid").agg(F.sum("consents").alias("consents"))
 
 
-@query("a1_column_levels", f"WITH {MATRIX} SELECT sid AS holder, table_id, column_name, level FROM matrix")
+@query("j9_subject_profiles", f"WITH {PROFILES} SELECT sid, holder FROM members")
+def profiles(t: Frames):
+    members, _ = _by_profile(t)
+    first = members.groupBy("profile").agg(F.min("sid").alias("holder"))
+    return members.join(first, "profile").select("sid", "holder")
+
+
+@query(
+    "a1_column_levels",
+    f"WITH {MATRIX}, {MEMBERS} SELECT sid AS holder, table_id, column_name, level FROM matrix WHERE sid IN (SELECT holder FROM members)",
+)
 def column_levels(t: Frames):
     members, holders = _by_profile(t)
-    return _per_subject(members, C.access_matrix(_live(t), _rules(t), holders))
+    return _represented(members, C.access_matrix(_live(t), _rules(t), holders))
 
 
 @query(
     "a2_table_outcome",
-    f"""WITH {MATRIX} SELECT sid AS holder, table_id, CASE WHEN bare_deny THEN 'DENIED'
-          WHEN NOT any_allow THEN 'NO_CONSENT' ELSE 'ALLOWED' END AS outcome FROM outcome""",
+    f"""WITH {MATRIX}, {MEMBERS} SELECT sid AS holder, table_id, CASE WHEN bare_deny THEN 'DENIED'
+          WHEN NOT any_allow THEN 'NO_CONSENT' ELSE 'ALLOWED' END AS outcome FROM outcome
+        WHERE sid IN (SELECT holder FROM members)""",
 )
 def table_outcome(t: Frames):
     members, holders = _by_profile(t)
-    return _per_subject(members, C.table_outcomes(_live(t), _rules(t), holders))
+    return _represented(members, C.table_outcomes(_live(t), _rules(t), holders))
 
 
 @query(
@@ -130,14 +160,15 @@ def matrix(t: Frames):
 
 @query(
     "u8_visible_catalog",
-    f"""WITH {MATRIX} SELECT sid AS holder, table_id,
+    f"""WITH {MATRIX}, {MEMBERS} SELECT sid AS holder, table_id,
           count(*) FILTER (column_name <> '*' AND level = 2) AS clear_columns,
           count(*) FILTER (column_name <> '*' AND level = 1) AS masked_columns,
-          max(level) FILTER (column_name = '*') AS other_columns FROM matrix GROUP BY ALL""",
+          max(level) FILTER (column_name = '*') AS other_columns FROM matrix
+        WHERE sid IN (SELECT holder FROM members) GROUP BY ALL""",
 )
 def visible(t: Frames):
     members, holders = _by_profile(t)
-    return _per_subject(members, C.visible_catalog(_live(t), _rules(t), holders))
+    return _represented(members, C.visible_catalog(_live(t), _rules(t), holders))
 
 
 @query(

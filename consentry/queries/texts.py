@@ -246,16 +246,28 @@ SCORES = """qt AS (SELECT DISTINCT item_id AS query, lower(w) AS w FROM (SELECT
    nq AS (SELECT query, count(*) AS n FROM qt GROUP BY query)"""
 
 
-@query(
-    "l5_relevance_scores",
-    f"""WITH {SCORES} SELECT pt.query, pt.item, least(1.0, (pts + CASE WHEN item % 50 = 0 THEN 5 ELSE 0 END) / (n * 3.0))
-          AS score, greatest(10, length(d.text) // 4) AS tokens, item % 50 = 0 AS boosted
-        FROM pt JOIN nq ON nq.query = pt.query JOIN documents d ON d.doc_id = pt.item""",
-)
+SCORED = """sc AS (SELECT pt.query, pt.item, least(1.0, (pts + CASE WHEN item % 50 = 0 THEN 5 ELSE 0 END) / (n * 3.0))
+       AS score, greatest(10, length(d.text) // 4) AS tokens, item % 50 = 0 AS boosted
+     FROM pt JOIN nq ON nq.query = pt.query JOIN documents d ON d.doc_id = pt.item)"""
+
+
+@query("l5_relevance_scores", f"WITH {SCORES}, {SCORED} SELECT * FROM sc")
 def relevance(t: Frames):
     return _scored(t)
 
 
-@query("l5_pick_within_budget")
+@query(
+    "l5_pick_within_budget",
+    f"""WITH RECURSIVE {SCORES}, {SCORED},
+          rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rn FROM sc),
+          w AS (SELECT query, rn, item, score, tokens AS used, 1 AS n, TRUE AS taken FROM rk WHERE rn = 1
+            UNION ALL
+            SELECT x.query, x.rn, x.item, x.score, CASE WHEN x.ok THEN x.used + x.tokens ELSE x.used END,
+              CASE WHEN x.ok THEN x.n + 1 ELSE x.n END, x.ok
+            FROM (SELECT rk.query, rk.rn, rk.item, rk.score, rk.tokens, w.used, w.n,
+                    (rk.boosted OR rk.score >= 0.25 OR w.n < 3) AND w.used + rk.tokens <= 4000 AS ok
+                  FROM w JOIN rk ON rk.query = w.query AND rk.rn = w.rn + 1 WHERE w.n < 8) x)
+        SELECT query, CAST(n - 1 AS INT) AS position, item, score FROM w WHERE taken""",
+)
 def pick(t: Frames):
     return R.pick_within_budget(_scored(t))
