@@ -246,10 +246,12 @@ MATCHED = """req AS (SELECT id, actor_sid, tenant_id, event_type, decision, targ
       WHEN obj LIKE 'sales.*.%' THEN 'sales\\.[^.]*\\.' || split_part(obj, '.', 3)
       ELSE replace(obj, '.', '\\.') END AS pattern FROM policy),
    dr AS (SELECT DISTINCT actor_sid, tenant_id, object, action FROM req),
-   m AS (SELECT d.*, p.sub, p.tenant, p.obj, p.act, p.sub_rule, p.eft FROM dr d JOIN rx p
-      ON (p.sub = '*' OR lower(p.sub) = lower(d.actor_sid)
-          OR (p.sub = 'readers' AND d.actor_sid IN (SELECT sid FROM grouping)))
-      AND regexp_full_match(lower(d.object), p.pattern)),
+   fit AS (SELECT object, pattern FROM (SELECT DISTINCT object FROM dr) o JOIN (SELECT DISTINCT pattern FROM rx) x
+      ON regexp_full_match(lower(o.object), x.pattern)),
+   who AS (SELECT DISTINCT actor_sid, lower(actor_sid) AS sub FROM dr UNION SELECT DISTINCT actor_sid, '*' FROM dr
+      UNION SELECT sid, 'readers' FROM grouping),
+   m AS (SELECT d.*, p.sub, p.tenant, p.obj, p.act, p.sub_rule, p.eft FROM dr d JOIN fit f ON f.object = d.object
+      JOIN who w ON w.actor_sid = d.actor_sid JOIN rx p ON p.pattern = f.pattern AND lower(p.sub) = w.sub),
    verdict AS (SELECT d.actor_sid, d.tenant_id, d.object, d.action,
       coalesce(bool_or(m.eft = 'allow' AND m.tenant = d.tenant_id AND (m.act = '*' OR m.act = d.action)
           AND m.sub_rule = 'true') AND NOT bool_or(m.eft = 'deny'), FALSE) AS allowed

@@ -17,7 +17,7 @@ TABLES = {
     "orders": ORDERS.name, "customer": CUSTOMER.name, "nation": NATION.name, "lineitem": LINEITEM.name,
 }
 REVENUE = """
-SELECT n_name, count(*) AS lines, round(sum(CAST(l_extendedprice AS DECIMAL(18,2))), 2) AS revenue,
+SELECT n_name, count(*) AS lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
        count(DISTINCT o_orderkey) AS orders
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
      JOIN lineitem ON l_orderkey = o_orderkey
@@ -30,7 +30,7 @@ def revenue_by_nation(t: Frames):
 
 @query(
     "j6_governed_join",
-    f"""SELECT n_name, count(*) AS lines, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS revenue,
+    f"""SELECT n_name, count(*) AS lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
           count(DISTINCT o_orderkey) AS orders
         FROM (SELECT * FROM orders WHERE {ORDERS_ROWS}) JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey JOIN lineitem ON l_orderkey = o_orderkey
