@@ -74,7 +74,8 @@ def aggregates(t: Frames):
 )
 def ranking(t: Frames):
     text = """SELECT * FROM (SELECT c_custkey, c_nationkey,
-        row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos FROM customer) WHERE pos <= 3"""
+        CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS pos FROM customer)
+        WHERE pos <= 3"""
     return governor(t).sql(text, ANALYST, tables=TABLES)
 
 

@@ -59,7 +59,7 @@ CHANGES = """ch AS (SELECT event_id, user_id, event_type,
     CASE WHEN event_type = 'error' THEN 'T-1' WHEN user_id % 4 = 0 THEN 'fallback' WHEN user_id % 4 = 1 THEN 't-1' ELSE 't-2' END AS tenant_id,
     'dbo.' || CASE WHEN event_id % 5 = 0 THEN 'Other' ELSE 'People' END AS table_name,
     CASE WHEN event_type = 'error' THEN 'Gone' WHEN user_id % 3 = 0 THEN 'Ann' WHEN user_id % 3 = 1 THEN 'BOB' ELSE 'eve' END AS name,
-    CASE WHEN event_type = 'error' THEN NULL ELSE user_id % 10 END AS level,
+    CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id % 10 AS INT) END AS level,
     CASE WHEN event_type = 'error' THEN NULL WHEN user_id < 0 THEN '' ELSE 'u***@***.com' END AS email
   FROM events WHERE event_type <> 'signup')"""
 
