@@ -12,7 +12,6 @@ from consentry.session import durable
 
 # Up to this many rows per key Spark limits each window group before the shuffle.
 GROUP_LIMIT = 1000
-SALTS = 64
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -20,13 +19,13 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     ``row_number() <= n`` lets Spark keep only ``n`` rows per key in every map task
     (window group limit), so a hot key shuffles ``n`` rows per task, not all of them.
-    For a larger ``n`` the same cut is made per (key, salt) first.
+    For a larger ``n`` the same cut is made per (key, input split) first.
     """
     if n > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(part))
-        df = df.where(F.col("_rank") <= n).drop("_rank", "_salt")
+        part = Window.partitionBy(*keys, "_split").orderBy(*order)
+        df = df.withColumn("_split", F.spark_partition_id())
+        df = df.withColumn("_rank", F.row_number().over(part))
+        df = df.where(F.col("_rank") <= n).drop("_rank", "_split")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 

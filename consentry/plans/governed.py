@@ -100,18 +100,25 @@ class Governor:
         self.health = {k.lower(): v for k, v in (health or {}).items()}
         self.on_access = on_access
         self._tables: dict[str, tuple[Source, TableMeta]] = {}
+        self._lookups: dict[str, Source] = {}
 
     def register(self, source: Source, meta: TableMeta) -> Governor:
         self._tables[meta.name.lower()] = (source, meta)
         return self
 
+    def lookup(self, name: str, source: Source) -> Governor:
+        """A table row filters may look into, but nobody can read."""
+        self._lookups[name.lower()] = source
+        return self
+
     def meta(self, name: str) -> TableMeta:
         if name.lower() not in self._tables:
             raise GovernanceError(f"table {name!r} is not registered")
         return self._tables[name.lower()][1]
 
     def _load(self, name: str, session: SparkSession) -> DataFrame:
-        source = self._tables[name.lower()][0]
+        key = name.lower()
+        source = self._tables[key][0] if key in self._tables else self._lookups[key]
         return session.read.parquet(source) if isinstance(source, str) else source(session)
 
     def decide(self, name: str, subject: Subject, session: SparkSession | None = None) -> Decision:
@@ -348,10 +355,10 @@ class _LazyTables(Mapping):
         return self._governor._load(name, self._session)
 
     def __iter__(self):
-        return iter(self._governor._tables)
+        return iter({**self._governor._tables, **self._governor._lookups})
 
     def __len__(self) -> int:
-        return len(self._governor._tables)
+        return len({**self._governor._tables, **self._governor._lookups})
 
 
 # Beyond this offset a page is found by row numbers instead of a top-k.

@@ -12,7 +12,8 @@ from consentry.plans.governed import Governor, masked_projection, odata, page
 from consentry.queries.base import Frames, query
 from consentry.queries.metas import ANALYST, CUSTOMER, NOW, ORDERS, ORDERS_ROWS, governor
 from consentry.sources.documents import payload_fields, payload_rows, result_rows
-from consentry.sources.tables import changes_since, next_watermark
+from consentry.session import scratch_path
+from consentry.sources.tables import changes_since, next_watermark, scan_report
 
 
 @query(
@@ -429,6 +430,22 @@ def pruned_scan(t: Frames):
     return day.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query(
+    "s5_scan_report",
+    """SELECT count(DISTINCT CAST(ts AS DATE)) AS files_total,
+              count(DISTINCT CAST(ts AS DATE)) FILTER (CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12') AS files_scanned,
+              count(DISTINCT CAST(ts AS DATE)) FILTER (CAST(ts AS DATE) NOT BETWEEN DATE '2024-01-10' AND DATE '2024-01-12') AS files_pruned,
+              round(count(DISTINCT CAST(ts AS DATE)) FILTER (CAST(ts AS DATE) NOT BETWEEN DATE '2024-01-10' AND DATE '2024-01-12')
+                * 100.0 / count(DISTINCT CAST(ts AS DATE)), 2) AS pruned_percent FROM events""",
+)
+def report(t: Frames):
+    # A table laid out by day, one file each; the filter leaves three partitions.
+    path = scratch_path(t.spark, "by-day")
+    t.events.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    table = t.spark.read.parquet(path)
+    return scan_report(table, table.where("day BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'"))
+
+
 @query(
     "s13_changes_since",
     "SELECT event_id, event_type FROM events WHERE event_id > 400 ORDER BY event_id LIMIT 500",

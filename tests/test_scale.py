@@ -63,7 +63,7 @@ def test_latest_per_key_cuts_before_the_shuffle(df):
     text = plan(latest_per_key(df, ["k"], [F.desc("v")], 50))
     assert text.count("WindowGroupLimit") == 2
     big = plan(latest_per_key(df, ["k"], [F.desc("v")], GROUP_LIMIT + 1))
-    assert "_salt" in big
+    assert "_split" in big
 
 
 def test_child_lists_bound_every_list(spark, df, rows):
