@@ -121,7 +121,10 @@ class Governor:
         source = self._tables[key][0] if key in self._tables else self._lookups[key]
         return session.read.parquet(source) if isinstance(source, str) else source(session)
 
-    def decide(self, name: str, subject: Subject, session: SparkSession | None = None) -> Decision:
+    def decide(
+        self, name: str, subject: Subject, session: SparkSession | None = None, record: bool = True
+    ) -> Decision:
+        """Decision for one table; recorded before anything is read."""
         meta = self.meta(name)
         session = session or self.spark
         status = self.health.get(name.lower(), "HEALTHY").upper()
@@ -142,7 +145,7 @@ class Governor:
                 decision = Decision(False, "denied by policy")
             else:
                 decision = decision.restricted(levels, row_filter)
-        if self.on_access:
+        if self.on_access and record:
             self.on_access(
                 {
                     "actor_sid": subject.sid,
@@ -260,7 +263,7 @@ class Governor:
         """Joins two governed tables; a hidden key is refused unless it is a pseudonym."""
         pairs = []
         for name, keys in ((left, [k for k, _ in on]), (right, [k for _, k in on])):
-            meta, decision = self.meta(name), self.decide(name, subject)
+            meta, decision = self.meta(name), self.decide(name, subject, record=False)
             for key in keys:
                 column = meta.column(key)
                 level = decision.level(column) if column else DENY
@@ -294,7 +297,8 @@ class Governor:
         session.conf.set("spark.sql.debug.maxToStringFields", str(2**31 - 1))
         body = text.strip().rstrip(";")
         wrapped = f"SELECT * FROM (\n{body}\n)"
-        used = self._check(session, wrapped, names, dict(args or {}))
+        used, parsed = self._check(session, wrapped, names, dict(args or {}))
+        _check_join_columns(parsed, self._unjoinable({names[v] for v in used}, subject))
         for view in used:
             self.table(names[view], subject, session=session).createOrReplaceTempView(view)
         if row_cap is not None:
@@ -307,7 +311,7 @@ class Governor:
         wrapped: str,
         names: Mapping[str, str],
         args: Mapping[str, Any],
-    ) -> set[str]:
+    ) -> tuple[set[str], str]:
         """Read-only, known tables, allowed functions. Anything unclear is refused.
 
         The text stands inside a subquery, where the grammar admits queries only.
@@ -342,7 +346,48 @@ class Governor:
                 raise GovernanceError(f"table {relation!r} is not registered")
         if not used:
             raise GovernanceError("the statement reads no registered table")
-        return used
+        return used, parsed
+
+    def _unjoinable(self, names: set[str], subject: Subject) -> set[str]:
+        """Columns whose masked values mean nothing to a join; pseudonyms do not count."""
+        hidden = set()
+        for name in names:
+            meta, decision = self.meta(name), self.decide(name, subject, record=False)
+            for column in meta.columns if decision.allowed else ():
+                if decision.level(column) == MASK and not is_effective_hmac(column.rule):
+                    hidden.add(column.name.lower())
+        return hidden
+
+
+_REFERENCE = re.compile(r"'((?:\w+\.)*\w+)\b(?!\()")
+
+
+def _check_join_columns(parsed: str, hidden: set[str]) -> None:
+    """Refuses a join on a hidden column, named directly, by an alias, or in WHERE.
+
+    The joined values are masked anyway, so nothing leaks; but equal masks would pair
+    every row with every other.
+    """
+    if not hidden or "Join" not in parsed:
+        return
+    hidden = set(hidden)
+
+    def uses(text: str) -> set[str]:
+        return {r.split(".")[-1].lower() for r in _REFERENCE.findall(text)}
+
+    renamed = [(uses(e), a.lower()) for e, a in re.findall(r"([^\[\],]+?) AS (\w+)", parsed)]
+    while more := {a for names, a in renamed if names & hidden} - hidden:
+        hidden |= more
+    for line in parsed.splitlines():
+        if "Join" in line:
+            using = {w.lower() for group in re.findall(r"\[([^\]]*)\]", line) for w in re.findall(r"\w+", group)}
+            if uses(line) & hidden or using & hidden or "NaturalJoin" in line:
+                raise GovernanceError("join on a hidden column")
+        elif "Filter" in line:
+            for part in re.split(r"\b(?:AND|OR)\b", line.split("Filter", 1)[1]):
+                names = _REFERENCE.findall(part)
+                if uses(part) & hidden and (len(set(names)) > 1 or "list#" in part):
+                    raise GovernanceError("join on a hidden column")
 
 
 class _LazyTables(Mapping):

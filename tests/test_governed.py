@@ -92,6 +92,8 @@ def test_audit_comes_first(spark):
     with pytest.raises(P.GovernanceError):
         gov.table(STAFF.name, Subject("x", "t1"))
     assert [s["decision"] for s in seen] == ["ALLOW", "DENY"]
+    gov.sql("SELECT id FROM staff", ME)
+    assert len(seen) == 3
 
 
 GOOD = [
@@ -140,6 +142,35 @@ def test_sql_refused(gov, text):
         gov.sql(text, ME)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT a.id FROM staff a JOIN staff b ON a.ssn = b.ssn",
+        "SELECT a.id FROM staff a, staff b WHERE a.ssn = b.ssn AND a.id = b.id",
+        "SELECT a.id FROM staff a JOIN staff b USING (ssn)",
+        "SELECT a.id FROM staff a NATURAL JOIN staff b",
+        "SELECT a.id FROM (SELECT id, ssn AS x FROM staff) a JOIN (SELECT id, x AS y FROM (SELECT id, upper(ssn) AS x FROM staff)) b ON a.id = b.y",
+        "SELECT a.id FROM staff a LEFT JOIN staff b ON a.id = b.id AND lower(b.ssn) = a.region",
+        "SELECT a.id FROM staff a JOIN staff b ON a.id = b.id WHERE a.ssn IN (SELECT ssn FROM staff)",
+    ],
+)
+def test_sql_join_on_hidden_column(gov, text):
+    with pytest.raises(P.GovernanceError):
+        gov.sql(text, ME)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT a.id FROM staff a JOIN staff b ON a.name = b.name",
+        "SELECT a.id, b.ssn FROM staff a JOIN staff b ON a.id = b.id WHERE a.region = 'EU' AND b.ssn = 'x'",
+        "SELECT a.id FROM staff a, staff b WHERE a.name = b.name AND a.id < b.id",
+    ],
+)
+def test_sql_join_on_clear_or_pseudonym(gov, text):
+    gov.sql(text, ME).collect()
+
+
 def test_catalog_table_is_not_reached_through_a_cte_name(gov, spark):
     spark.sql("CREATE TABLE IF NOT EXISTS hidden_table USING parquet AS SELECT 1 AS a")
     try:
