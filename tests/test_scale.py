@@ -168,6 +168,14 @@ def test_downstream_with_a_hub(spark):
         assert {r.node: r.distance for r in got if r.root == root} == closure(edges, root)
 
 
+def test_deep_chains_are_followed_to_the_end(spark):
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(20)]
+    frame, root = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("n0",)], "node string")
+    assert {r.node: r.distance for r in lineage.downstream(frame, root).collect()} == {f"n{i}": i for i in range(1, 21)}
+    far = lineage.revocation_impact(spark.createDataFrame([*edges, ("n20", "n4")], "src string, dst string"), root).collect()
+    assert len(far) == 20 and [r.node for r in far if r.cyclic] == ["n4"]
+
+
 def impact(spark, edges, root):
     frame = spark.createDataFrame(edges, "src string, dst string")
     out = lineage.revocation_impact(frame, spark.createDataFrame([(root,)], "node string")).collect()
