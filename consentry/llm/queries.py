@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.llm import chat, decontam, pii, topk
+from consentry.llm import chat, decontam, packing, pii, tokencounts, tokenfiles, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,14 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+@query("op5_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.read_indexed(tokenfiles.write_indexed(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end=2))
+
+
 @query(
     "op6_benchmark_decontamination",
     rf"""
@@ -92,6 +100,29 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_packing")
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(packing.pack(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, end=0))
+
+
+def piece_digests(pieces: DataFrame) -> DataFrame:
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op8_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document without its separator, found in flat files by their separators alone."""
+    end = 49407  # the tokenizer's own end-of-text id
+    files, written = tokencounts.write_flat(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end)
+    counted = tokencounts.count_tokens(files, end)
+    part = F.regexp_extract("file", r"([0-9]+)-[0-9a-f]+[.]flat$", 1).cast("int")
+    return counted.join(written, ["file", "ordinal"]).select(
+        "doc_id", part.alias("file"), "ordinal", "start", "n_tokens"
+    )
+
+
 @query(
     "op10_exact_top_k",
     """
