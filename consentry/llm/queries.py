@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.llm import chat, decontam, packing, pii, tokencounts, tokenfiles, topk
+from consentry.llm import chat, decontam, jaccard, linededup, packing, pii, tokencounts, tokenfiles, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,30 @@ SQL_WORDS = (
 PROBE = "\\### Assistant: </turn> ok"
 
 
+@query(
+    "op1_ngram_jaccard_join",
+    rf"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS} AS ws FROM documents),
+    s AS (
+      SELECT DISTINCT rid, array_to_string(ws[i + 1 : i + 5], ' ') AS sh
+      FROM (SELECT rid, ws, unnest(range(0, greatest(len(ws) - 5, 0) + 1)) AS i FROM d WHERE len(ws) > 0)),
+    n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+    common AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY 1, 2),
+    links AS (
+      SELECT x, y, a.n = c AND b.n = c AS same FROM common JOIN n a ON a.rid = x JOIN n b ON b.rid = y
+      WHERE c >= 0.8 * (a.n + b.n - c)
+      UNION ALL
+      SELECT a.rid, b.rid, true FROM d a JOIN d b ON len(a.ws) = 0 AND len(b.ws) = 0 AND a.rid <> b.rid),
+    reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.y FROM reach r JOIN links l ON r.b = l.x),
+    classes AS (SELECT a, min(doc_id) AS class_id FROM reach JOIN d ON d.rid = b GROUP BY 1),
+    counts AS (SELECT x, count(*) AS n, min(CASE WHEN same THEN doc_id END) AS copy FROM links JOIN d ON d.rid = y GROUP BY 1)
+    SELECT doc_id, class_id, least(doc_id, coalesce(copy, doc_id)) AS copy_id, coalesce(n, 0) AS n_links
+    FROM d JOIN classes ON a = rid LEFT JOIN counts ON x = rid""",
+)
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op2_chat_format",
     r"""
@@ -63,6 +87,18 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+@query("op4_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text, and the ranges of code points that went: start:stop, joined with commas."""
+    cut = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.size("deleted"), F.lit(2)),
+        lambda i: F.concat_ws(":", F.element_at("deleted", i), F.element_at("deleted", i + 1)),
+    )
+    spans = F.when(F.size("deleted") > 0, F.array_join(pairs, ",")).otherwise(F.lit(""))
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "text", spans.alias("deleted"), "n_deleted")
+
+
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
