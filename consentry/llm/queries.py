@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.llm import chat, decontam, jaccard, linededup, packing, pii, tokencounts, tokenfiles, topk
+from consentry.llm import chat, decontam, jaccard, linededup, packing, pii, tokencounts, tokenfiles, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,6 +159,16 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    doc_id = F.col("row.doc_id")
+    return toxicity.score_documents(documents, toxicity.train(documents, labels)).select(
+        doc_id.alias("doc_id"), toxicity.held_out(doc_id).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans",
+    )
+
+
 @query(
     "op10_exact_top_k",
     """

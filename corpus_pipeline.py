@@ -4,29 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from consentry.llm import decontam
+from consentry.llm import decontam, jaccard, linededup, packing, queries, toxicity
 from consentry.session import durable
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the toxicity model rejects."""
+    return toxicity.without_toxic(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later repeated runs of lines; every document stays as a row."""
+    return linededup.without_repeats(docs)
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group. Texts that lost all their words are copies of each other."""
+    return jaccard.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return decontam.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    return queries.piece_digests(packing.pack(docs, queries.BYTE_TOKENIZER, end=0))
 
 
 STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_class),
     ("benchmark decontamination", without_benchmark),
+    ("packing", packed),
 ]
 
-#: Scores of a trained model and byte-pair encoding have no SQL; tests hold the stages against brute force.
+#: Scores of a trained model and byte-pair ids have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = queries.table(spark, sf_dir, "documents")
     for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place + 1 < len(STAGES):
