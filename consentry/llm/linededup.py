@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from consentry.llm.words import Words, _powers, mix, slices
-from consentry.session import checked_broadcast, durable
+from consentry.session import durable
 
 #: Words of a run that counts as repeated.
 MIN_WORDS = 25
@@ -228,12 +228,10 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``doc_id`` and text have the same positions, so neither is earlier and both lose the same lines; rows that repeat an id
     with other texts are read as one position too. An exact copy loses its whole text and stays as a row.
 
-    Shuffled are fingerprints, the windows around shared ones, and, unless the deletions are few enough to be broadcast, the
-    documents once to their deletions.
+    Shuffled are fingerprints, the windows around shared ones, and the documents once, to their deletions.
     """
     runs = durable(repeated_runs(documents, min_words), "runs")
     ranges = runs.groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    ranges = checked_broadcast(durable(ranges, "ranges"), 200_000)
     whole = documents.select(F.struct("*").alias("row"))
     joined = whole.join(ranges, F.col("row.doc_id").cast("long") == F.col("r_id"), "left").select("row", "ranges")
     schema = joined.select("row").schema.add("text", "string").add("deleted", ArrayType(LongType())).add("n_deleted", "long")

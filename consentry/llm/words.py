@@ -64,7 +64,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], at - at[0]
 
 
-def slices(texts: pa.Array, most_bytes: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most_bytes`` each, one row at least: what is worked on in memory at once."""
     if not len(texts):
         return
