@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from consentry.llm.components import components
 from consentry.llm.words import mix, shingle_sets, slices
-from consentry.session import durable
+from consentry.session import checked_broadcast, durable
 
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 agrees in one of 50 bands of 6 values but for a chance of 3e-7.
@@ -28,6 +28,8 @@ BANDS, ROWS = 50, 6
 TOLERANCE, STEP = 1e-7, 20
 #: Rows of a block; two blocks are compared in one task.
 BLOCK = 256
+#: Rows of the list of documents with candidates (some 50 bytes each) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Columns of the exact comparison at a time.
 COLUMNS = 8192
 
@@ -220,7 +222,9 @@ def jaccard_classes(
         ),
         "members",
     )
-    texts = named.join(members, F.col("doc_id") == F.col("rep")).drop("doc_id")
+    # Few documents have candidates. While their list is small it goes to the texts, else the texts are shuffled to it.
+    wanted = checked_broadcast(members, BROADCAST_ROWS)
+    texts = named.join(wanted, F.col("doc_id") == F.col("rep")).drop("doc_id")
     held = texts.dropDuplicates(["rep"]).mapInArrow(
         _Members(), "rep long, copies long, root long, block int, blocks int, shingles binary"
     )
