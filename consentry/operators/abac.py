@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from consentry.model import GOVERNANCE_SCHEMAS
+from consentry.operators.lineage import downstream
 
 
 def parse_policy(lines: Sequence[str], tenant: str) -> tuple[list[tuple], list[tuple[str, str]]]:
@@ -157,6 +158,13 @@ def match_rules(requests: DataFrame, rules: DataFrame, grouping: DataFrame) -> D
     return _with_rules(requests, rules, grouping, "inner")
 
 
+def closed_roles(grouping: DataFrame) -> DataFrame:
+    """(sid, role) with the roles of roles, at any number of steps; names fold case."""
+    edges = grouping.select(F.lower("sid").alias("src"), F.lower("role").alias("dst"))
+    reached = downstream(edges, edges.select(F.col("src").alias("node")).distinct())
+    return reached.select(F.col("root").alias("sid"), F.col("node").alias("role"))
+
+
 def evaluate(
     requests: DataFrame,
     rules: DataFrame,
@@ -165,24 +173,30 @@ def evaluate(
 ) -> DataFrame:
     """Requests with ``allowed``. Any matching deny wins; no allow means denied.
 
-    ``requests``: actor, tenant, object, action and what conditions need;
-    ``rules`` call their tenant ``rule_tenant``. ``conditions`` maps the condition text of a
-    rule to a predicate over the request. A condition that is unknown or NULL counts as
-    met for a deny and as unmet for an allow. Deny rules ignore action and tenant, allow
-    rules need both.
+    ``requests``: actor, tenant, object, action and what conditions need; every row comes back, equal ones too.
+    ``rules`` call their tenant ``rule_tenant``; ``owner``, where there is such a column, is the tenant whose rule set a rule
+    belongs to, else ``rule_tenant`` is. Rules meet only requests of the tenant that owns them. ``conditions`` maps the
+    condition text of a rule to a predicate over the request. A condition that is unknown or NULL counts as
+    met for a deny and as unmet for an allow. Within its rule set a deny ignores action and tenant, an allow
+    needs both. Roles count at any number of steps.
     """
     met: Column = F.when(F.coalesce(F.trim("sub_rule"), F.lit("true")).isin("", "true"), True)
     for text, predicate in (conditions or {}).items():
         met = met.when(F.col("sub_rule") == text, predicate)
+    owner = "owner" if "owner" in rules.columns else "rule_tenant"
+    rules = rules.withColumn("_owner", F.col(owner))
+    if owner != "rule_tenant":
+        rules = rules.drop(owner)
     deny = F.lower("eft") == "deny"
     allow = (
         (F.lower("eft") == "allow")
         & (F.col("rule_tenant") == F.col("tenant"))
         & ((F.col("act") == "*") | (F.lower("act") == F.lower("action")))
     )
-    # A left join keeps requests no rule matches, so the verdict needs no join back.
+    # Equal requests are decided once. A left join keeps requests no rule matches.
+    distinct = requests.distinct()
     verdict = (
-        _with_rules(requests, rules, grouping, "left", deny | allow)
+        _with_rules(distinct, rules, closed_roles(grouping), "left", (F.col("_owner") == F.col("tenant")) & (deny | allow))
         .groupBy(*requests.columns)
         .agg(
             F.bool_or(deny & F.coalesce(met, F.lit(True))).alias("_denied"),
@@ -190,7 +204,9 @@ def evaluate(
         )
     )
     granted = F.coalesce("_granted", F.lit(False)) & ~F.coalesce("_denied", F.lit(False))
-    return verdict.select(*requests.columns, granted.alias("allowed"))
+    verdict = verdict.select(*[F.col(c).alias(f"_{c}") for c in requests.columns], granted.alias("allowed"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in requests.columns]
+    return requests.join(verdict, same).select(*requests.columns, "allowed")
 
 
 def replay(audit: DataFrame, rules: DataFrame, grouping: DataFrame) -> DataFrame:

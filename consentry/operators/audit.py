@@ -14,7 +14,6 @@ from consentry.functions.crypto import hmac_text
 from consentry.functions.text import client_type
 from consentry.operators.ordering import latest_per_key, numbered
 
-GENESIS = "0" * 64
 SEGMENT_ROWS = 4096
 
 # Payload fields after the sequence, in order.
@@ -175,36 +174,73 @@ def segment_heads(chained: DataFrame, chain: Sequence[str] = ("tenant_id",)) ->
     )
 
 
+def _tail_text(chain: Sequence[str]) -> Column:
+    return F.concat_ws("|", F.lit("tail"), *[F.col(c).cast("string") for c in chain], F.col("last_seq"), F.col("last_hash"))
+
+
+def signed_tails(tails: DataFrame, key: bytes, chain: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """Tails with a keyed signature; kept apart from the log, they show later that its end is missing."""
+    return tails.withColumn("signature", hmac_text(_tail_text(chain), key))
+
+
 def verify_chain(
-    chained: DataFrame, key: bytes, chain: Sequence[str] = ("tenant_id",), segment_rows: int = SEGMENT_ROWS
+    chained: DataFrame,
+    key: bytes,
+    chain: Sequence[str] = ("tenant_id",),
+    segment_rows: int = SEGMENT_ROWS,
+    tails: DataFrame | None = None,
 ) -> DataFrame:
     """Violations: (chain..., seq, problem). Every entry is checked in parallel.
 
+    ``GAP``: the entry before is absent, also before the first entry of a segment or of the whole chain. ``REPEATED``: a
+    number occurs more than once. ``BROKEN_LINK`` and ``TAMPERED``: hashes do not fit. With signed ``tails``,
+    ``LOST_TAIL``: the last entry once written is not there (the whole chain may be gone), and ``FORGED_TAIL``: the tail's
+    signature is wrong.
+
     The predecessor comes from an equi join on (chain, seq), not from a window over the
     chain, so one long chain is no bottleneck.
     """
     anchor = _anchor(chain, key)
-    before = chained.select(
-        *chain, (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_before")
-    )
+    numbers = chained.groupBy(*chain, "seq").agg(F.min("entry_hash").alias("_hash"), F.count("*").alias("_n"))
+    before = numbers.select(*chain, (F.col("seq") + 1).alias("seq"), F.col("_hash").alias("_before"))
     first = (F.col("seq") - 1) % segment_rows == 0
     expected = F.when(first, anchor).otherwise(F.col("_before"))
     checked = chained.join(before, [*chain, "seq"], "left")
     problem = (
-        F.when(~first & F.col("_before").isNull(), "GAP")
+        F.when((F.col("seq") > 1) & F.col("_before").isNull(), "GAP")
         .when(F.col("prev_hash") != expected, "BROKEN_LINK")
         .when(F.col("entry_hash") != hmac_text(payload(F.col("prev_hash")), key), "TAMPERED")
     )
-    return checked.select(*chain, "seq", problem.alias("problem")).where(F.col("problem").isNotNull())
-
-
-def chain_gaps(entries: DataFrame, chain: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    found = checked.select(*chain, "seq", problem.alias("problem")).where(F.col("problem").isNotNull())
+    found = found.unionByName(numbers.where("_n > 1").select(*chain, "seq", F.lit("REPEATED").alias("problem")))
+    if tails is None:
+        return found
+    true = hmac_text(_tail_text(chain), key) == F.col("signature")
+    ends = chained.select(*chain, F.col("seq").alias("last_seq"), F.col("entry_hash").alias("last_hash"))
+    forged = tails.where(~F.coalesce(true, F.lit(False))).withColumn("problem", F.lit("FORGED_TAIL"))
+    lost = tails.join(ends, [*chain, "last_seq", "last_hash"], "left_anti").withColumn("problem", F.lit("LOST_TAIL"))
+    for rows in (forged, lost):
+        found = found.unionByName(rows.select(*chain, F.col("last_seq").alias("seq"), "problem"))
+    return found
+
+
+def chain_gaps(
+    entries: DataFrame, chain: Sequence[str] = ("tenant_id",), tails: DataFrame | None = None, first: int | None = 1
+) -> DataFrame:
     """Missing ranges: (chain..., missing_from, missing_to).
 
     An entry opens a gap when its successor is absent; the gap closes at the next entry
-    present. Only gap edges meet each other, not the whole log.
+    present. Only gap edges meet each other, not the whole log. Chains start at ``first`` (None: with their first entry); with
+    ``tails`` a gap may also lie behind the last entry, or be a whole chain.
     """
-    here = entries.select(*chain, "seq").distinct()
+    here = entries.select(*chain, F.col("seq").cast("long").alias("seq")).distinct()
+    known = here.select(*chain)
+    if tails is not None:
+        known = known.unionByName(tails.select(*chain))
+        here = here.unionByName(tails.select(*chain, (F.col("last_seq") + 1).cast("long").alias("seq")))
+    if first is not None:
+        here = here.unionByName(known.distinct().select(*chain, F.lit(first - 1).cast("long").alias("seq")))
+    here = here.distinct()
     nexts = here.select(*chain, (F.col("seq") - 1).alias("seq"))
     prevs = here.select(*chain, (F.col("seq") + 1).alias("seq"))
     opens = here.join(nexts, [*chain, "seq"], "left_anti").select(*chain, F.col("seq").alias("at"), F.lit(0).alias("kind"))
@@ -336,13 +372,17 @@ def break_glass(audit: DataFrame, justification: str) -> DataFrame:
 
 
 def snapshot(
-    chained: DataFrame, key: bytes, chain: Sequence[str] = ("tenant_id",), segment_rows: int = SEGMENT_ROWS
+    chained: DataFrame,
+    key: bytes,
+    chain: Sequence[str] = ("tenant_id",),
+    segment_rows: int = SEGMENT_ROWS,
+    tails: DataFrame | None = None,
 ) -> DataFrame:
     """Manifest of a log snapshot: one row per segment with a digest over its entries.
 
     The digest is taken over the (bounded) segment; ``violations`` must be 0 to publish.
     """
-    bad = verify_chain(chained, key, chain, segment_rows).withColumn(
+    bad = verify_chain(chained, key, chain, segment_rows, tails).withColumn(
         "segment", F.floor((F.col("seq") - 1) / segment_rows)
     )
     bad = bad.groupBy(*chain, "segment").agg(F.count("*").alias("violations"))
@@ -367,6 +407,39 @@ def snapshot(
     )
 
 
+def export_snapshot(
+    chained: DataFrame,
+    key: bytes,
+    path: str,
+    since=None,
+    until=None,
+    chain: Sequence[str] = ("tenant_id",),
+    segment_rows: int = SEGMENT_ROWS,
+    tails: DataFrame | None = None,
+) -> DataFrame:
+    """Writes the entries of a time window under ``path`` and returns the manifest of what was written.
+
+    The whole log is verified first, and a broken one is refused. The manifest has a row per segment: entries, first and last
+    number, and a digest over the payloads and hashes as they lie in the written files.
+    """
+    if not verify_chain(chained, key, chain, segment_rows, tails).isEmpty():
+        raise ValueError("the audit chain is broken; nothing was exported")
+    entries = chained
+    if since is not None:
+        entries = entries.where(F.col("occurred_at") >= F.lit(since))
+    if until is not None:
+        entries = entries.where(F.col("occurred_at") < F.lit(until))
+    entries.write.mode("errorifexists").parquet(path)
+    written = chained.sparkSession.read.schema(entries.schema).parquet(path)
+    line = F.concat_ws(":", payload(F.col("prev_hash")), F.col("entry_hash"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"])
+    return written.groupBy(*chain, "segment").agg(
+        F.sha2(F.array_join(lines, "\n"), 256).alias("payload_sha256"),
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("entries"),
+        F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"),
+    )
+
+
 def approval_status(
     requests: DataFrame,
     steps: DataFrame,

@@ -37,9 +37,9 @@ def table_metadata(tables: DataFrame, columns: DataFrame, rules: DataFrame, keys
 
 
 def search(
-    tables: DataFrame, term: str | None = None, domain: str | None = None, skip: int = 0, take: int = 50
+    tables: DataFrame, term: str | None = None, domain: str | None = None, skip: int = 0, take: int | None = None
 ) -> DataFrame:
-    """Case-insensitive contains over names, texts and column names; ordered page."""
+    """Case-insensitive contains over names, texts and column names, in the order of the ids; ``take`` asks for a page."""
     if domain:
         tables = tables.where(F.lower("domain") == domain.lower())
     if term and term.strip():
@@ -52,7 +52,9 @@ def search(
         for h in hits[1:]:
             matched = matched | h
         tables = tables.where(matched)
-    return tables.orderBy("table_id").offset(max(skip, 0)).limit(max(1, min(take, 500)))
+    found = tables.orderBy("table_id")
+    found = found.offset(skip) if skip > 0 else found
+    return found if take is None else found.limit(max(1, take))
 
 
 def sensitivity_rank(label: Column) -> Column:

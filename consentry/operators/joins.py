@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from consentry.operators.ordering import latest_per_key, salted
+from consentry.operators.ordering import latest_per_key, numbered
 from consentry.operators.predicates import GovernanceError
 
 MAX_NEST_DEPTH = 5
@@ -51,7 +51,7 @@ def enrich(
 
 @dataclass(frozen=True)
 class Nest:
-    """One level of a hierarchical read. ``limit`` bounds the children of each parent."""
+    """One level of a hierarchical read. ``limit``, if given, bounds the children of each parent."""
 
     name: str
     rows: DataFrame
@@ -59,7 +59,7 @@ class Nest:
     parent_key: str | None = None
     key: str | None = None
     order: Sequence[str] = ()
-    limit: int = 100
+    limit: int | None = None
     children: Sequence[Nest] = field(default_factory=tuple)
 
 
@@ -67,19 +67,20 @@ def nest(node: Nest, depth: int = 1) -> DataFrame:
     """Parents with arrays of their children, level by level from the leaves.
 
     ``rows`` must be governed already, so every level carries its own row filter.
-    Only ``limit`` children per parent pass the map tasks, so no array grows with
-    a hot parent.
+    With a ``limit`` only that many children per parent pass the map tasks, so no array
+    grows with a hot parent; without one every child is listed.
     """
     if depth > MAX_NEST_DEPTH:
         raise GovernanceError(f"more than {MAX_NEST_DEPTH} levels")
-    if node.limit <= 0:
+    if node.limit is not None and node.limit <= 0:
         raise GovernanceError("the limit must be positive")
     df = node.rows
     shown = list(node.columns)
     for child in node.children:
         inner = nest(child, depth + 1)
         order = [F.col(c) for c in child.order]
-        inner = latest_per_key(inner, [child.key], order, child.limit)
+        if child.limit is not None:
+            inner = latest_per_key(inner, [child.key], order, child.limit)
         shape = [*child.columns, *[c.name for c in child.children]]
         item = F.struct(*child.order, F.struct(*shape).alias("_row"))
         lists = inner.groupBy(F.col(child.key).alias("_fk")).agg(
@@ -103,27 +104,19 @@ def child_lists(
 ) -> DataFrame:
     """(key, part, items): every requested key gets a list, an empty one if it has no child.
 
-    A key with more than ``list_rows`` children is spread over several parts, so a hot
-    key never becomes one array or one task. Ordinary keys have the single part 0.
+    Lists come in parts of ``list_rows`` children: part 0 holds the first ones in the order
+    of the row, part 1 the next, and so on, so the parts of a key in order are its one list,
+    and no hot key becomes one array or one task. Children of a key are dealt over buckets
+    by range of their order, counted per bucket, and numbered inside the buckets.
     """
     wanted = keys.select(F.col(key)).distinct()
-    rows = children.select(
-        F.col(child_key).alias(key), F.xxhash64(row_id).alias("_id"), F.struct(*columns).alias("_row")
+    rows = children.select(F.col(child_key).alias(key), F.struct(*columns).alias("_row"), row_id.alias("_id"))
+    rows = numbered(rows, [key], ["_row", "_id"], "_place")
+    lists = rows.groupBy(key, F.floor((F.col("_place") - 1) / list_rows).cast("int").alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_place", "_row"))), lambda x: x["_row"]).alias("items")
     )
-    hot = (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > list_rows)
-        .select(key, F.ceil(F.col("_n") / list_rows).alias("_parts"))
-    )
-    spread = rows.join(hot, key, "left").withColumn(
-        "part", F.when(F.col("_parts").isNull(), 0).otherwise(salted(F.col("_id"), F.col("_parts")))
-    )
-    lists = spread.groupBy(key, "part").agg(F.array_sort(F.collect_list("_row")).alias("items"))
     return wanted.join(lists, key, "left").select(
-        key,
-        F.coalesce("part", F.lit(0)).cast("int").alias("part"),
-        F.coalesce("items", F.array()).alias("items"),
+        key, F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("items", F.array()).alias("items")
     )
 
 

@@ -267,10 +267,11 @@ def set_filter(df: DataFrame, column: str, values: Sequence[Any] | DataFrame) ->
         return df.where(F.lit(False))
     if len(values) <= IN_LIST_LIMIT:
         return df.where(compare(F.col(column), dtype, "IN", values))
-    frame = df.sparkSession.createDataFrame(
-        [(v,) for v in values], T.StructType([T.StructField(column, dtype)])
-    )
-    return df.join(frame, column, "left_semi")
+    # The same casts as in a short list: a value of another type matches nothing.
+    texts = [(None if v is None else str(v),) for v in values]
+    frame = df.sparkSession.createDataFrame(texts, T.StructType([T.StructField("_text", T.StringType())]))
+    value = F.col("_text").try_cast(dtype)
+    return df.join(frame.select(value.alias(column)).distinct(), column, "left_semi")
 
 
 _FORBIDDEN_TEXT = re.compile(

@@ -11,7 +11,8 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from consentry.functions.masks import DEFAULT_MASTER_KEY, is_effective_hmac, mask_column
@@ -19,6 +20,7 @@ from consentry.model import CLEAR, DENY, MASK, Consent, Subject, TableMeta
 from consentry.operators.consent import Decision, columns_of, resolve
 from consentry.operators.joins import enrich
 from consentry.operators.ordering import numbered
+from consentry.plans.checked import check_leaves, read_query
 from consentry.operators.predicates import (
     GovernanceError,
     check_predicate,
@@ -30,30 +32,8 @@ Source = str | Callable[[SparkSession], DataFrame]
 
 MAX_PAGE = 5000
 DEFAULT_PAGE = 50
-DEFAULT_ROW_CAP = 1000
 MAX_ROW_CAP = 10000
 
-# Functions governed SQL may call.
-ALLOWED_FUNCTIONS = frozenset(
-    """
-    abs any_value approx_count_distinct avg bool_and bool_or ceil ceiling char_length coalesce
-    concat concat_ws contains count count_if cume_dist current_date current_timestamp date
-    date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek
-    dense_rank endswith exp first first_value floor greatest hour if ifnull initcap instr isnull
-    isnotnull lag last last_value lcase lead least left length ln log lower lpad ltrim max mean
-    median min minute mod month ntile nullif nvl percent_rank percentile_approx position pow
-    power quarter rank replace reverse right round row_number rpad rtrim second sign sqrt
-    startswith stddev stddev_pop stddev_samp substr substring sum to_date trim trunc ucase upper
-    var_pop var_samp variance weekofyear year extract date_part timestampdiff timestampadd
-    """.split()
-)
-# Names the plan text shows for syntax rather than for a function call.
-_SYNTAX = frozenset(
-    """cast windowspecdefinition specifiedwindowframe unresolvedalias exists in inset not and or
-    array struct named_struct distinct listquery outer between decimal char varchar""".split()
-)
-
-
 def masked_projection(
     df: DataFrame,
     meta: TableMeta,
@@ -281,12 +261,15 @@ class Governor:
         subject: Subject,
         args: Mapping[str, Any] | None = None,
         tables: Mapping[str, str] | None = None,
-        row_cap: int | None = DEFAULT_ROW_CAP,
+        row_cap: int | None = None,
+        truncated: str | None = None,
     ) -> DataFrame:
         """Runs a SELECT over governed views in a session that holds nothing else.
 
         ``tables`` maps the names used in the text to registered tables; by default
-        every registered table is offered under the last part of its name.
+        every registered table is offered under the last part of its name. All rows come
+        back unless ``row_cap`` asks for fewer; ``truncated`` then names a column that
+        says on every row whether the cap cut any.
         """
         names = dict(tables or {n.split(".")[-1]: n for n in self._tables})
         session = self.spark.newSession()
@@ -296,57 +279,25 @@ class Governor:
         session.conf.set("spark.sql.ansi.enabled", "false")
         session.conf.set("spark.sql.debug.maxToStringFields", str(2**31 - 1))
         body = text.strip().rstrip(";")
+        # Inside a subquery the grammar admits queries only.
         wrapped = f"SELECT * FROM (\n{body}\n)"
-        used, parsed = self._check(session, wrapped, names, dict(args or {}))
-        _check_join_columns(parsed, self._unjoinable({names[v] for v in used}, subject))
-        for view in used:
-            self.table(names[view], subject, session=session).createOrReplaceTempView(view)
-        if row_cap is not None:
-            wrapped += f" LIMIT {max(1, min(int(row_cap), MAX_ROW_CAP))}"
-        return session.sql(wrapped, args=dict(args or {}))
-
-    def _check(
-        self,
-        session: SparkSession,
-        wrapped: str,
-        names: Mapping[str, str],
-        args: Mapping[str, Any],
-    ) -> tuple[set[str], str]:
-        """Read-only, known tables, allowed functions. Anything unclear is refused.
-
-        The text stands inside a subquery, where the grammar admits queries only.
-        """
-        try:
-            plan = session.sql(f"EXPLAIN EXTENDED {wrapped}", args=dict(args)).first()[0]
-        except Exception as error:  # noqa: BLE001
-            raise GovernanceError("not a single SELECT statement") from error
-        parsed = plan.split("== Parsed Logical Plan ==")[-1].split("== Analyzed Logical Plan ==")[0]
-        if not parsed.strip() or "ParseException" in plan.split("==")[0]:
-            raise GovernanceError("not a single SELECT statement")
-        if re.search(r"ScriptTransformation|TableValuedFunction|Generate |TableFunction", parsed):
-            raise GovernanceError("table functions and scripts are not allowed")
-        if re.search(r"Insert|Create|Drop|Alter|Truncate|Delete|Merge", parsed.split("\n")[1] if "\n" in parsed else ""):
-            raise GovernanceError("only SELECT is allowed")
-        for call in re.findall(r"([A-Za-z_][\w.]*)\(", parsed):
-            name = call.lower()
-            if name not in ALLOWED_FUNCTIONS and name not in _SYNTAX:
-                raise GovernanceError(f"function {call!r} is not allowed")
-        ctes = {
-            c.strip().lower()
-            for group in re.findall(r"CTE \[([^\]]*)\]", parsed)
-            for c in group.split(",")
-        }
+        query = read_query(session, wrapped)
         views = {n.lower(): n for n in names}
-        used = set()
-        for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed):
-            name = relation.strip().lower()
-            if name in views:
-                used.add(views[name])
-            elif name not in ctes or session.catalog.tableExists(name):
-                raise GovernanceError(f"table {relation!r} is not registered")
+        unknown = query.relations - query.ctes - views.keys()
+        if unknown:
+            raise GovernanceError(f"tables {sorted(unknown)} are not registered")
+        used = {views[r] for r in query.relations & views.keys()}
         if not used:
             raise GovernanceError("the statement reads no registered table")
-        return used, parsed
+        _check_join_columns(query.text, self._unjoinable({names[v] for v in used}, subject))
+        for view in used:
+            self.table(names[view], subject, session=session).createOrReplaceTempView(view)
+        try:
+            df = session.sql(wrapped, args=dict(args or {}))
+        except AnalysisException as error:
+            raise GovernanceError("the statement does not fit the governed tables") from error
+        check_leaves(df, dict.fromkeys(used))
+        return df if row_cap is None else capped_rows(df, row_cap, truncated)
 
     def _unjoinable(self, names: set[str], subject: Subject) -> set[str]:
         """Columns whose masked values mean nothing to a join; pseudonyms do not count."""
@@ -359,6 +310,18 @@ class Governor:
         return hidden
 
 
+def capped_rows(df: DataFrame, row_cap: int, truncated: str | None = None) -> DataFrame:
+    """At most ``row_cap`` rows, MAX_ROW_CAP at the utmost; ``truncated`` names a flag that tells if there were more."""
+    cap = max(1, min(int(row_cap), MAX_ROW_CAP))
+    if truncated is None:
+        return df.limit(cap)
+    # One row more than the cap shows whether it cut; both windows hold those few rows only.
+    few = df.limit(cap + 1).select("*", F.monotonically_increasing_id().alias("_place"))
+    more = F.count("*").over(Window.partitionBy()) > cap
+    place = F.row_number().over(Window.orderBy("_place"))
+    return few.select("*", more.alias(truncated), place.alias("_number")).where(F.col("_number") <= cap).drop("_place", "_number")
+
+
 _REFERENCE = re.compile(r"'((?:\w+\.)*\w+)\b(?!\()")
 
 

@@ -96,7 +96,7 @@ def verify(t: Frames):
     "w1_verify_deleted",
     f"""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY occurred_at, id) AS n FROM audit),
          kept AS (SELECT * FROM numbered WHERE id % 501 <> 7)
-       SELECT k.tenant_id, k.n AS seq, 'GAP' AS problem FROM kept k WHERE (k.n - 1) % {SEGMENT} <> 0
+       SELECT k.tenant_id, k.n AS seq, 'GAP' AS problem FROM kept k WHERE k.n > 1
          AND NOT EXISTS (SELECT 1 FROM kept p WHERE p.tenant_id = k.tenant_id AND p.n = k.n - 1)""",
 )
 def verify_deleted(t: Frames):
@@ -104,9 +104,58 @@ def verify_deleted(t: Frames):
     return A.verify_chain(kept, KEY, segment_rows=SEGMENT)
 
 
+_NUMBERED = """SELECT tenant_id, id, row_number() OVER (PARTITION BY tenant_id ORDER BY occurred_at, id) AS n,
+       count(*) OVER (PARTITION BY tenant_id) AS total FROM audit"""
+
+
+@query(
+    "w1_lost_segment",
+    f"""WITH numbered AS ({_NUMBERED}) SELECT tenant_id, n AS seq, 'GAP' AS problem FROM numbered
+        WHERE n = {2 * SEGMENT + 1}""",
+)
+def lost_segment(t: Frames):
+    # The second segment of every chain is gone, and of one chain the first as well: its rest has no beginning.
+    kept = _chained(t).where(f"segment <> 1 AND NOT (tenant_id = 'tenant-1' AND segment = 0)")
+    return A.verify_chain(kept, KEY, segment_rows=SEGMENT)
+
+
+@query(
+    "w1_lost_tail",
+    f"""WITH numbered AS ({_NUMBERED}) SELECT DISTINCT tenant_id, total AS seq, 'LOST_TAIL' AS problem FROM numbered""",
+)
+def lost_tail(t: Frames):
+    log = _chained(t)
+    tails = A.signed_tails(A.chain_tails(log), KEY)
+    # The last 11 entries of every chain are gone, and one chain altogether.
+    cut = log.join(tails.select("tenant_id", "last_seq"), "tenant_id").where("seq <= last_seq - 11 AND tenant_id <> 'tenant-2'")
+    return A.verify_chain(cut.drop("last_seq"), KEY, segment_rows=SEGMENT, tails=tails)
+
+
+@query(
+    "w1_repeated_entries",
+    f"""WITH numbered AS ({_NUMBERED}) SELECT tenant_id, n AS seq, 'REPEATED' AS problem FROM numbered WHERE id % 499 = 5""",
+)
+def repeated_entries(t: Frames):
+    log = _chained(t)
+    return A.verify_chain(log.unionByName(log.where("id % 499 = 5")), KEY, segment_rows=SEGMENT)
+
+
+@query(
+    "w2_gaps_at_the_ends",
+    f"""WITH numbered AS ({_NUMBERED}) SELECT DISTINCT tenant_id, CAST(1 AS BIGINT) AS missing_from, CAST(4 AS BIGINT) AS missing_to
+        FROM numbered UNION ALL SELECT DISTINCT tenant_id, total - 2, total FROM numbered""",
+)
+def gaps_at_the_ends(t: Frames):
+    log = _chained(t)
+    tails = A.chain_tails(log)
+    kept = log.join(tails, "tenant_id").where("seq > 4 AND seq < last_seq - 2").select("tenant_id", "seq")
+    return A.chain_gaps(kept, tails=tails)
+
+
 @query(
     "w2_chain_gaps",
-    """WITH kept AS (SELECT tenant_id, seq FROM audit WHERE id % 7 < 4 AND id % 31 <> 5),
+    """WITH kept AS (SELECT tenant_id, seq FROM audit WHERE id % 7 < 4 AND id % 31 <> 5
+           UNION ALL SELECT DISTINCT tenant_id, 0 FROM audit WHERE id % 7 < 4 AND id % 31 <> 5),
          n AS (SELECT tenant_id, seq, lead(seq) OVER (PARTITION BY tenant_id ORDER BY seq) AS nx FROM kept)
        SELECT tenant_id, seq + 1 AS missing_from, nx - 1 AS missing_to FROM n WHERE nx > seq + 1""",
 )
@@ -125,6 +174,22 @@ def snapshot(t: Frames):
     return A.snapshot(_chained(t), KEY, segment_rows=SEGMENT)
 
 
+@query(
+    "k4_snapshot_export",
+    f"""WITH {CHAIN} SELECT l.tenant_id, segment, count(*) AS entries, min(n) AS first_seq, max(n) AS last_seq,
+          min(a.occurred_at) AS first_at, max(a.occurred_at) AS last_at
+        FROM links l JOIN audit a ON a.id = l.id
+        WHERE a.occurred_at >= TIMESTAMP '2024-01-05' AND a.occurred_at < TIMESTAMP '2024-01-20' GROUP BY l.tenant_id, segment""",
+)
+def snapshot_export(t: Frames):
+    log = _chained(t)
+    tails = A.signed_tails(A.chain_tails(log), KEY)
+    path = scratch_path(t.spark, "snapshot")
+    at = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20)
+    manifest = A.export_snapshot(log, KEY, path, *at, segment_rows=SEGMENT, tails=tails)
+    return manifest.drop("payload_sha256")
+
+
 @query(
     "k4_segment_heads",
     f"""WITH {CHAIN} SELECT tenant_id, segment, min(n) AS first_seq, max(n) AS last_seq, count(*) AS entries,
@@ -254,7 +319,7 @@ MATCHED = """req AS (SELECT id, actor_sid, tenant_id, event_type, decision, targ
       JOIN who w ON w.actor_sid = d.actor_sid JOIN rx p ON p.pattern = f.pattern AND lower(p.sub) = w.sub),
    verdict AS (SELECT d.actor_sid, d.tenant_id, d.object, d.action,
       coalesce(bool_or(m.eft = 'allow' AND m.tenant = d.tenant_id AND (m.act = '*' OR m.act = d.action)
-          AND m.sub_rule = 'true') AND NOT bool_or(m.eft = 'deny'), FALSE) AS allowed
+          AND m.sub_rule = 'true') AND NOT bool_or(m.eft = 'deny' AND m.tenant = d.tenant_id), FALSE) AS allowed
       FROM dr d LEFT JOIN m ON m.actor_sid = d.actor_sid AND m.tenant_id = d.tenant_id
         AND m.object = d.object AND m.action = d.action GROUP BY ALL),
    sim AS (SELECT r.id, r.object, CASE WHEN r.decision = 'DENY' THEN 'DENY' ELSE 'ALLOW' END AS recorded,

@@ -81,10 +81,25 @@ def ranking(t: Frames):
 
 @query(
     "l3_row_cap",
-    f"SELECT count(*) AS n FROM (SELECT 1 FROM orders WHERE {ORDERS_ROWS} LIMIT 1000)",
+    f"""SELECT least(count(*), 1000) AS n, count(*) > 1000 AS cut FROM orders WHERE {ORDERS_ROWS}""",
 )
 def row_cap(t: Frames):
-    return governor(t).sql("SELECT o_orderkey FROM orders", ANALYST, tables=TABLES).agg(F.count("*").alias("n"))
+    rows = governor(t).sql("SELECT o_orderkey FROM orders", ANALYST, tables=TABLES, row_cap=1000, truncated="cut")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bool_and("cut"), F.lit(False)).alias("cut"))
+
+
+@query(
+    "q1_governed_using",
+    f"""WITH o AS (SELECT o_custkey AS c_custkey, o_orderkey, o_orderstatus FROM orders WHERE {ORDERS_ROWS})
+        SELECT c_mktsegment, count(*) AS n, max(o_orderkey) AS last_key
+        FROM customer JOIN o USING (c_custkey) WHERE c_mktsegment <> 'md5(x)' GROUP BY c_mktsegment""",
+)
+def governed_using(t: Frames):
+    # A join on a named column; a text value that looks like a call is a value.
+    text = """WITH o AS (SELECT o_custkey AS c_custkey, o_orderkey FROM orders)
+        SELECT c_mktsegment, count(*) AS n, max(o_orderkey) AS last_key
+        FROM customer JOIN o USING (c_custkey) WHERE c_mktsegment <> 'md5(x)' GROUP BY c_mktsegment"""
+    return governor(t).sql(text, ANALYST, tables=TABLES)
 
 
 @query(

@@ -180,7 +180,7 @@ def fan_out(t: Frames):
 def no_duplicates(t: Frames):
     doubled = _events(t).select("event_id", "event_type", "ts")
     doubled = doubled.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    kept = S.without_duplicates(doubled, "ts", ["event_id"])
+    kept = S.without_duplicates(doubled, ["event_id"])
     return S.to_table(kept.select("event_id", "event_type"))
 
 

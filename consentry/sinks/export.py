@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from consentry.functions.shapes import flatten, normalised
 
-MAX_EXPORT_ROWS = 100_000
 COMPRESSION = {"none": "uncompressed", "snappy": "snappy", "gzip": "gzip"}
 
 
@@ -21,7 +20,7 @@ class ExportResult:
     truncated: bool
 
 
-def capped(df: DataFrame, requested: int | None, configured: int | None = MAX_EXPORT_ROWS) -> tuple[DataFrame, DataFrame]:
+def capped(df: DataFrame, requested: int | None, configured: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows up to the cap, one-row frame telling whether more exist).
 
     The cap is the smaller of the two limits; without any limit everything is written.
@@ -39,7 +38,7 @@ def export_parquet(
     path: str,
     rows: int | None = None,
     compression: str = "snappy",
-    configured: int | None = MAX_EXPORT_ROWS,
+    configured: int | None = None,
 ) -> ExportResult:
     """Flattens and writes; an empty result still leaves files with a schema."""
     flat = flatten(df)

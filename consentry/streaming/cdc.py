@@ -15,7 +15,7 @@ from consentry.operators.ordering import latest_per_key
 from consentry.operators.predicates import check_predicate
 from consentry.session import scratch_path
 
-# Our addition: the reference keeps no event-time watermark.
+# How long late rows may still change a result, and how long a key is remembered.
 WATERMARK = "10 minutes"
 REPLAY_EVENTS = 50
 # Places a tenant is looked for, and operation codes.
@@ -186,8 +186,14 @@ def fan_out(df: DataFrame, column: str = "table_name") -> DataFrame:
     return df.withColumn("topic", F.explode(topics))
 
 
-def without_duplicates(df: DataFrame, at: str, keys: Sequence[str] = ("event_id",), delay: str = WATERMARK) -> DataFrame:
-    return df.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
+def without_duplicates(df: DataFrame, keys: Sequence[str] = ("event_id",), remember: str = WATERMARK) -> DataFrame:
+    """One event of each key.
+
+    Keys are remembered by the time at which they arrive, for ``remember`` after it, then forgotten, so the state is bounded by
+    the keys of that span. No event is too late by its own time: one whose key is not remembered always passes.
+    """
+    arrived = df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remember)
+    return arrived.dropDuplicatesWithinWatermark(list(keys)).drop("_arrived")
 
 
 def request_windows(df: DataFrame, client: str, at: str, seconds: int = 60) -> DataFrame:

@@ -133,9 +133,53 @@ BAD = [
     "SELECT * FROM (WITH other AS (SELECT 1 AS a) SELECT a FROM other) x, spark_catalog.default.staff",
     "SELECT `reflect`('java.lang.Runtime', 'getRuntime') FROM staff",
     "SELECT transform(array(id), x -> reflect('a', 'b')) FROM staff",
+    "SELECT id, s_name FROM staff, IDENTIFIER('parquet.`/root/testdata/sf0.001/supplier.parquet`')",
+    "SELECT id FROM staff, IDENTIFIER('parquet.' || '`/root/testdata/sf0.001/supplier.parquet`')",
+    "SELECT id, (SELECT max(s_name) FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/supplier.parquet`')) FROM staff",
+    "SELECT id FROM staff WHERE EXISTS (SELECT 1 FROM parquet.`/root/testdata/sf0.001/supplier.parquet`)",
+    "SELECT IDENTIFIER('md5')(region) FROM staff",
+    "SELECT id FROM staff JOIN IDENTIFIER('other') USING (id)",
+    "WITH x AS (SELECT * FROM IDENTIFIER('other')) SELECT staff.id FROM staff, x",
+    "SELECT id FROM staff ORDER BY (SELECT max(a) FROM other)",
+    "SELECT sum(id) FILTER (WHERE md5(region) = 'x') FROM staff",
+    "SELECT sum(id) OVER w FROM staff WINDOW w AS (PARTITION BY md5(region))",
 ]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["SELECT id, s_name FROM staff, IDENTIFIER(:t)", "SELECT id FROM staff WHERE id IN (SELECT s_suppkey FROM IDENTIFIER(:t))"],
+)
+def test_no_relation_comes_from_an_argument(gov, text):
+    with pytest.raises(P.GovernanceError):
+        gov.sql(text, ME, {"t": "parquet.`/root/testdata/sf0.001/supplier.parquet`"})
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT a.id FROM staff a JOIN staff b USING (id)",
+        "SELECT id FROM staff WHERE region = 'md5(x)' OR region <> 'IDENTIFIER(:t)'",
+        "SELECT id FROM staff WHERE region <> 'UnresolvedRelation [x]' AND region IS NOT DISTINCT FROM region",
+        "SELECT region, count(*) FILTER (WHERE id > 1) AS n FROM staff GROUP BY ALL HAVING n >= 0 ORDER BY ALL",
+        "SELECT id, rank() OVER w AS r FROM staff WINDOW w AS (PARTITION BY region ORDER BY id DESC)",
+        "SELECT CASE WHEN id BETWEEN 1 AND 3 THEN -id ELSE id % 2 END AS x FROM staff WHERE region LIKE 'E%' LIMIT 5 OFFSET 0",
+        "SELECT id FROM staff UNION ALL SELECT id FROM staff EXCEPT SELECT 7",
+        "SELECT region, sum(id) AS s FROM staff GROUP BY ROLLUP (region)",
+        "SELECT id FROM staff WHERE id IN (SELECT max(id) FROM staff) OR EXISTS (SELECT 1 FROM staff s WHERE s.id = staff.id)",
+        "SELECT extract(YEAR FROM current_date()) AS y, trim(region) AS t, CAST(id AS STRING) AS c FROM staff",
+        "WITH a AS (SELECT id FROM staff), b AS (SELECT id FROM a) SELECT b.id FROM a JOIN b ON a.id = b.id",
+        "SELECT id FROM staff JOIN (VALUES (1), (2)) v(id) USING (id)",
+    ],
+)
+def test_sql_accepted(gov, text):
+    gov.sql(text, ME).collect()
+
+
+def test_call_like_argument_is_a_value(gov):
+    assert gov.sql("SELECT id FROM staff WHERE region = :r", ME, {"r": "reflect(x)"}).count() == 0
+
+
 @pytest.mark.parametrize("text", BAD)
 def test_sql_refused(gov, text):
     with pytest.raises(P.GovernanceError):
@@ -194,6 +238,10 @@ def test_sql_views_stay_in_their_session(gov, spark):
 
 def test_sql_cap(gov):
     assert gov.sql("SELECT id FROM staff", ME, row_cap=1).count() == 1
+    total = gov.sql("SELECT id FROM staff", ME).count()
+    for cap, cut in ((1, True), (total, False), (total + 1, False)):
+        rows = gov.sql("SELECT id FROM staff", ME, row_cap=cap, truncated="cut").collect()
+        assert len(rows) == min(cap, total) and {r.cut for r in rows} == {cut}
 
 
 def test_endpoint(gov, tmp_path):

@@ -306,7 +306,7 @@ def test_duplicates_across_files(spark, tmp_path):
     for _ in range(3):
         spark.sql("SELECT 'e1' AS event_id, TIMESTAMP '2024-01-01 00:00:00' AS ts").coalesce(1).write.mode("append").parquet(source)
     stream = S.stream_files(spark, source, files_per_trigger=1)
-    assert cdc.to_table(cdc.without_duplicates(stream, "ts")).count() == 1
+    assert cdc.to_table(cdc.without_duplicates(stream)).count() == 1
 
 
 def test_history_over_batches(spark):
