@@ -13,10 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from consentry.llm.words import buffers, slices
+from consentry.llm.words import buffers, mix, slices, span_hashes
 
-#: Pieces that a worker remembers; when there are more, it forgets all and starts again.
+#: Pieces that a worker remembers, in about 50 bytes each; when there are more, it forgets all and starts again.
 REMEMBERED = 1_000_000
+#: Two random values for each byte: pieces are remembered by hashes of 128 bits.
+_TABLES = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 256)
 JOINED = 4_000
 
 _OTHER, _LETTER, _MARK, _SPACE, _DIGIT = range(5)
@@ -65,7 +67,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        # Hashes in ascending order of the first one, and the number of each piece.
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.number = np.empty(0, np.int64)
         self.at, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +77,7 @@ class Encoder:
         raw, at = buffers(texts)
         pieces, first = self._pieces(raw, at)
         coded = pieces.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        number = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         n = self.at[number + 1] - self.at[number]
         ends = np.concatenate([[0], np.cumsum(n)])
         place = np.repeat(self.at[number] - ends[:-1], n) + np.arange(ends[-1])
@@ -111,18 +115,32 @@ class Encoder:
         )
         return array, first
 
-    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """The number under which each piece's ids are remembered."""
-        if len(self.known) + len(pieces) > REMEMBERED:
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The number under which each of the distinct pieces' ids are remembered."""
+        if len(self.first) + len(pieces) > REMEMBERED:
             self._forget()
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            texts = [p.decode() for p in new]
-            lengths, ids = self._encode_all(texts)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        raw, at = buffers(pieces)
+        first, second = (span_hashes(raw, at[:-1], at[1:], t) for t in _TABLES)
+        found = self._look_up(first, second)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            lengths, ids = self._encode_all([p.decode() for p in pieces.take(pa.array(new)).to_pylist()])
+            found[new] = len(self.at) - 1 + np.arange(len(new))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
             self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
+            order = new[np.argsort(first[new], kind="stable")]
+            place = np.searchsorted(self.first, first[order])
+            self.first = np.insert(self.first, place, first[order])
+            self.second = np.insert(self.second, place, second[order])
+            self.number = np.insert(self.number, place, found[order])
+        return found
+
+    def _look_up(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of remembered pieces, -1 for others. A piece that shares only its first hash counts as new each time."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), self.number[at], -1)
 
     def _encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words in long runs, because each call has a price; everything else piece by piece."""

@@ -77,6 +77,14 @@ def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int,
         first = last
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges ``start`` to ``end``; ``table`` has a random value for each byte."""
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(table[raw] * _power_at(_UP, np.arange(len(raw)), _BASE), out=sums[1:])
+    total = (sums[end] - sums[start]) * _power_at(_DOWN, start, _INVERSE)
+    return mix(total + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Words:
     """The words of a batch: ``hash``, byte range ``start``..``end`` in ``raw``, and ``first``, the index of each
     text's first word (one entry more than texts)."""
@@ -94,12 +102,7 @@ class Words:
         self.start = np.sort(np.concatenate([marks[::2], joined]))
         self.end = np.sort(np.concatenate([marks[1::2], joined]))
         self.first = np.searchsorted(self.start, self.at)
-        # Blocks keep the exponents small: no table grows with the batch.
-        value = _BYTE_VALUE[self.raw] * _power_at(_UP, np.arange(len(self.raw)), _BASE)
-        sums = np.zeros(len(self.raw) + 1, dtype=np.uint64)
-        np.cumsum(value, out=sums[1:])
-        total = (sums[self.end] - sums[self.start]) * _power_at(_DOWN, self.start, _INVERSE)
-        self.hash = mix(total + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.hash = span_hashes(self.raw, self.start, self.end, _BYTE_VALUE)
 
     def run_hashes(self, starts: np.ndarray, k: int) -> np.ndarray:
         """Hashes of the ``k`` consecutive words that begin at each word index in ``starts``."""
