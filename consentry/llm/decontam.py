@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from consentry.llm.words import Words, slices
 from consentry.session import durable
@@ -101,10 +102,11 @@ def _places(values: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 class _Match:
-    """Adds to each row the word ranges that windows of one block cover, and the items they belong to."""
+    """Adds to each row the word ranges that windows of one block cover, and the items they belong to; the last block gives
+    the totals instead."""
 
-    def __init__(self, block):
-        self.block = block
+    def __init__(self, block, last: bool):
+        self.block, self.last = block, last
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = self.block.value
@@ -116,14 +118,12 @@ class _Match:
                 words = Words(texts[i:j])
                 n_words += np.diff(words.first).tolist()
                 self._one(block, words, ranges, items, i)
-            yield pa.record_batch(
-                {
-                    "row": batch.column("row"),
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "ranges": pa.array(ranges, pa.list_(pa.int64())),
-                    "items": pa.array(items, pa.list_(pa.string())),
-                }
-            )
+            out = {"row": batch.column("row"), "n_words": pa.array(n_words, pa.int64())}
+            if self.last:
+                out |= _totals(ranges, items)
+            else:
+                out |= {"ranges": pa.array(ranges, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
+            yield pa.record_batch(out)
 
     @staticmethod
     def _one(block: dict, words: Words, ranges: list, items: list, shift: int) -> None:
@@ -162,31 +162,22 @@ class _Match:
                 items[shift + t].append(block["item"][number])
 
 
-class _Digest:
-    """Totals of a row: covered words, and its items."""
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits, n_items, digests = [], [], []
-            for flat, found in zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                total, reach = 0, 0
-                for s, e in sorted(zip(flat[::2], flat[1::2], strict=True)):
-                    total += max(0, e - max(s, reach))
-                    reach = max(reach, e)
-                hits.append(total)
-                names = sorted(set(found))
-                n_items.append(len(names))
-                digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            yield pa.record_batch(
-                {
-                    "row": batch.column("row"),
-                    "n_words": batch.column("n_words"),
-                    "n_hit": pa.array(hits, pa.int64()),
-                    "n_items": pa.array(n_items, pa.int64()),
-                    "items_sha256": pa.array(digests, pa.string()),
-                    "contaminated": pa.array([h > 0 for h in hits], pa.bool_()),
-                }
-            )
+def _totals(ranges: list, items: list) -> dict[str, pa.Array]:
+    """Covered words of each document, and its items."""
+    hits, n_items, digests = [], [], []
+    for flat, found in zip(ranges, items, strict=True):
+        total, reach = 0, 0
+        for s, e in sorted(zip(flat[::2], flat[1::2], strict=True)):
+            total += max(0, e - max(s, reach))
+            reach = max(reach, e)
+        hits.append(total)
+        names = sorted(set(found))
+        n_items.append(len(names))
+        digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+    return {
+        "n_hit": pa.array(hits, pa.int64()), "n_items": pa.array(n_items, pa.int64()),
+        "items_sha256": pa.array(digests, pa.string()), "contaminated": pa.array([h > 0 for h in hits], pa.bool_()),
+    }
 
 
 def _vocabulary(windows: DataFrame) -> dict[int, np.ndarray]:
@@ -248,9 +239,14 @@ def match_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WI
         chosen = spark.sparkContext.broadcast(_block(own, counts))
         if number:
             out = durable(out, "matches")
-        out = out.mapInArrow(_Match(chosen), out.schema)
-    schema = out.select("row", "n_words").schema.add("n_hit", "long").add("n_items", "long").add("items_sha256", "string")
-    return out.mapInArrow(_Digest(), schema.add("contaminated", "boolean"))
+        last = number + 1 == blocks
+        out = out.mapInArrow(_Match(chosen, last), _schema(out) if last else out.schema)
+    return out
+
+
+def _schema(rows: DataFrame) -> StructType:
+    schema = rows.select("row", "n_words").schema.add("n_hit", "long").add("n_items", "long")
+    return schema.add("items_sha256", "string").add("contaminated", "boolean")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
