@@ -12,9 +12,6 @@ from pyspark.sql import types as T
 from consentry.functions.crypto import derive_key, hmac_hex, hmac_text
 from consentry.model import MaskRule
 
-DEFAULT_MASTER_KEY = b"consentry-local-development-key!"
-
-
 def canonical_text(c: Column, dtype: T.DataType) -> Column:
     """Text form that does not depend on locale or time zone; the input of every hash."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -129,9 +126,12 @@ def mask_column(
     name: str,
     dtype: T.DataType,
     rule: MaskRule | None,
-    master_key: bytes = DEFAULT_MASTER_KEY,
+    master_key: bytes | None = None,
 ) -> Column:
-    """Masked form of a column; a sensitive column without a rule is redacted."""
+    """Masked form of a column; a sensitive column without a rule is redacted.
+
+    Keyed masks need a ``master_key``; there is no default one.
+    """
     rule = rule or MaskRule("REDACT")
     kind = (rule.rule_type or "REDACT").upper()
     if kind in _CUSTOM:
@@ -141,6 +141,8 @@ def mask_column(
     if kind == "REDACT":
         return _redact(c, dtype, rule)
     if kind in ("HMAC", "HMAC_SHA256"):
+        if not master_key:
+            raise ValueError(f"the mask of {name!r} needs a master key")
         key = derive_key(master_key, rule.key_id)
         if isinstance(dtype, T.BinaryType):
             return hmac_hex(c, key)
@@ -219,7 +221,7 @@ def _mask_by_key(key: Column, value: Column) -> Column:
 def mask_nested(
     df: DataFrame,
     aliases: dict[str, str] | None = None,
-    master_key: bytes = DEFAULT_MASTER_KEY,
+    master_key: bytes | None = None,
 ) -> DataFrame:
     """Masks sensitive names at any depth. The schema is walked once, on the driver.
 

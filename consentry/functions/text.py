@@ -158,11 +158,14 @@ def _injection_kind(text: Column) -> Column:
     )
 
 
-def json_unescape(text: Column) -> Column:
-    """JSON text with its string escapes resolved; NULL if the text is not JSON."""
+def json_strings(text: Column) -> Column:
+    """All string values of a JSON text, decoded and joined with newlines; NULL if the text is not JSON."""
     parsed = F.try_parse_json(text)
-    plain = F.regexp_replace(F.to_json(parsed), r'\\"', '"')
-    return F.when(parsed.isNotNull(), plain)
+    # A literal with the colon after it, if there is one, is a name.
+    literals = F.regexp_extract_all(F.to_json(parsed), F.lit(r'"(?:[^"\\]|\\.)*+":?'), F.lit(0))
+    values = F.filter(literals, lambda x: ~F.endswith(x, F.lit(":")))
+    array = F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))
+    return F.when(parsed.isNotNull(), F.array_join(F.from_json(array, "array<string>"), "\n"))
 
 
 def injection_flag(text: Column, normalise: bool = True) -> Column:
@@ -170,8 +173,7 @@ def injection_flag(text: Column, normalise: bool = True) -> Column:
     def clean(c: Column) -> Column:
         return strip_invisible(nfkc(c) if normalise else c)
 
-    decoded = json_unescape(text)
-    return F.coalesce(_injection_kind(clean(text)), _injection_kind(clean(decoded)))
+    return F.coalesce(_injection_kind(clean(text)), _injection_kind(clean(json_strings(text))))
 
 
 def client_type(actor: Column) -> Column:
@@ -204,8 +206,12 @@ def triage(category: Column, confidence: Column, low_sensitivity_opt_in: Column)
     )
 
 
+# Fixed value: form of a ticket number.
+TICKET = r"(?i)^(INC|CHG|SEC|REQ|PR)-\d+$"
+
+
 def is_ticket(text: Column) -> Column:
-    return text.rlike(r"(?i)^(INC|CHG|SEC|REQ|PR)-\d+$")
+    return text.rlike(TICKET)
 
 
 def sunset_phase(

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from consentry.functions.masks import DEFAULT_MASTER_KEY, is_effective_hmac, mask_column
+from consentry.functions.masks import is_effective_hmac, mask_column
 from consentry.model import CLEAR, DENY, MASK, Consent, Subject, TableMeta
 from consentry.operators.consent import Decision, columns_of, resolve
 from consentry.operators.joins import enrich
@@ -39,7 +39,7 @@ def masked_projection(
     meta: TableMeta,
     decision: Decision,
     columns: Sequence[str],
-    master_key: bytes = DEFAULT_MASTER_KEY,
+    master_key: bytes | None = None,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Selects catalog columns only; denied ones vanish, masked ones are masked.
@@ -66,7 +66,7 @@ class Governor:
         self,
         spark: SparkSession,
         consents: Sequence[Consent] = (),
-        master_key: bytes = DEFAULT_MASTER_KEY,
+        master_key: bytes | None = None,
         now: dt.datetime | None = None,
         policy: Callable[[str, Subject], tuple[bool, Mapping[str, int], Any]] | None = None,
         health: Mapping[str, str] | None = None,

@@ -82,8 +82,8 @@ def hmac_mask(t: Frames):
 
 
 EMAIL = """CASE user_id % 6 WHEN 0 THEN 'u' || CAST(user_id AS STRING) || '@mail.example.org'
-    WHEN 1 THEN 'c@short.com' WHEN 2 THEN 'bob' || CAST(event_id AS STRING) || '@localhost'
-    WHEN 3 THEN 'no_at_sign' WHEN 4 THEN 'user@.com' ELSE NULL END"""
+    WHEN 1 THEN 'q@w.ee' WHEN 2 THEN 'ida' || CAST(event_id AS STRING) || '@intranet'
+    WHEN 3 THEN 'plain words' WHEN 4 THEN 'ann@.x' ELSE NULL END"""
 
 
 @query(
@@ -98,8 +98,8 @@ def email(t: Frames):
     return t.events.select("event_id", mask_email(F.expr(EMAIL)).alias("masked"))
 
 
-IBAN = """CASE WHEN o_orderkey % 10 = 0 THEN 'SHORT' WHEN o_orderkey % 10 = 1 THEN '12345678'
-    ELSE 'DE89 3704 ' || CAST(1000 + o_orderkey % 9000 AS STRING) || ' 0532 ' || CAST(o_custkey AS STRING) END"""
+IBAN = """CASE WHEN o_orderkey % 10 = 0 THEN 'abc' WHEN o_orderkey % 10 = 1 THEN 'abcdefgh'
+    ELSE 'AT61 1904 ' || CAST(1000 + o_orderkey % 9000 AS STRING) || ' 0532 ' || CAST(o_custkey AS STRING) END"""
 
 
 @query(

@@ -89,6 +89,7 @@ ORDERS_ROWS = """((o_orderstatus IN ('F', 'O') AND o_totalprice >= 1000) OR o_or
 
 
 def governor(t: Frames, consents=None, **options) -> Governor:
+    options.setdefault("master_key", b"a-master-key-for-registered-queries")
     g = Governor(t.spark, CONSENTS if consents is None else consents, now=NOW, **options)
     for name, meta in (("orders", ORDERS), ("customer", CUSTOMER), ("nation", NATION), ("lineitem", LINEITEM)):
         g.register(t.path(name), meta)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from consentry.functions import text as X
 from consentry.operators import relevance as R
 from consentry.queries.base import Frames, query
-from consentry.session import spread
+from consentry.session import durable, spread
 
 
 def _re2(pattern: str) -> str:
@@ -258,7 +258,12 @@ def relevance(t: Frames):
 
 @query(
     "l5_pick_within_budget",
-    f"""WITH RECURSIVE {SCORES}, {SCORED},
+    f"""WITH RECURSIVE {SCORES},
+          sc AS (SELECT b.item_id AS query, d.doc_id AS item, CASE WHEN n IS NULL THEN 0.5 ELSE
+                   least(1.0, (coalesce(pts, 0) + CASE WHEN d.doc_id % 50 = 0 THEN 5 ELSE 0 END) / (n * 3.0)) END AS score,
+                   greatest(10, length(d.text) // 4) AS tokens, d.doc_id % 50 = 0 AS boosted
+                 FROM benchmark b JOIN documents d ON true LEFT JOIN nq ON nq.query = b.item_id
+                   LEFT JOIN pt ON pt.query = b.item_id AND pt.item = d.doc_id),
           rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rn FROM sc),
           w AS (SELECT query, rn, item, score, tokens AS used, 1 AS n, TRUE AS taken FROM rk WHERE rn = 1
             UNION ALL
@@ -270,4 +275,6 @@ def relevance(t: Frames):
         SELECT query, CAST(n - 1 AS INT) AS position, item, score FROM w WHERE taken""",
 )
 def pick(t: Frames):
-    return R.pick_within_budget(_scored(t))
+    queries = t.benchmark.select(F.col("item_id").alias("query"), "text")
+    items = t.documents.select(F.col("doc_id").alias("item"), "text", (F.col("doc_id") % 50 == 0).alias("boosted"))
+    return R.pick_within_budget(R.with_fillers(durable(_scored(t), "scored"), queries, items))

@@ -84,10 +84,10 @@ def database_table(
 def scan_report(df: DataFrame, filtered: DataFrame) -> DataFrame:
     """Files of a table, and how many of them a filtered read of it opens.
 
-    Both come from the plans: the table's file listing, and the files that the filtered scan keeps after partition pruning.
-    No row is read.
+    Both come from the plans: the table's file listing, and the files that the filtered scan lists after pruning. No row is
+    read.
     """
-    total, scanned = len(df.inputFiles()), len(filtered.inputFiles())
+    total, scanned = len(df.inputFiles()), _files_opened(filtered)
     percent = round((total - scanned) * 100.0 / total, 2) if total else 0.0
     return df.sparkSession.createDataFrame(
         [(total, scanned, total - scanned, percent)],
@@ -95,6 +95,17 @@ def scan_report(df: DataFrame, filtered: DataFrame) -> DataFrame:
     )
 
 
+def _files_opened(df: DataFrame) -> int:
+    """Files that the scans of a frame list once their plans are ready."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().getNumPartitions()
+    scans, n = execution.executedPlan().collectLeaves().iterator(), 0
+    while scans.hasNext():
+        listed = scans.next().metrics().get("numFiles")
+        n += listed.get().value() if listed.isDefined() else 0
+    return n
+
+
 def changes_since(df: DataFrame, version: str, watermark: int, batch: int | None = 500) -> DataFrame:
     """Next rows after a change version; ``batch`` bounds one poll.
 
@@ -104,8 +115,8 @@ def changes_since(df: DataFrame, version: str, watermark: int, batch: int | None
     rows = df.where(F.col(version) > watermark)
     if not batch:
         return rows
-    border = rows.select(F.col(version).alias("_border")).orderBy("_border").limit(batch).agg(F.max("_border").alias("_border"))
-    return rows.join(F.broadcast(border), F.col(version) <= F.col("_border"), "left_semi")
+    border = rows.select(F.col(version).alias("_border")).orderBy("_border").limit(batch).agg(F.max("_border"))
+    return rows.where(F.col(version) <= border.scalar())
 
 
 def next_watermark(rows: DataFrame, version: str, watermark: int) -> DataFrame:

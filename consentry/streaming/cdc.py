@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from consentry.functions.masks import DEFAULT_MASTER_KEY, mask_column
+from consentry.functions.masks import mask_column
 from consentry.model import DENY, MASK, MaskRule, TableMeta
 from consentry.operators.consent import Decision
 from consentry.operators.ordering import latest_per_key
@@ -159,7 +159,7 @@ def enforce(
     meta: TableMeta,
     decision: Decision,
     carry: Sequence[str] = (),
-    master_key: bytes = DEFAULT_MASTER_KEY,
+    master_key: bytes | None = None,
 ) -> DataFrame:
     """Filter and mask of a decision on typed events; the same plan as for a table."""
     if not decision.allowed:

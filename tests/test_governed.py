@@ -47,7 +47,7 @@ def load(session):
 
 @pytest.fixture
 def gov(spark):
-    return Governor(spark, [GRANT], now=NOW).register(load, STAFF)
+    return Governor(spark, [GRANT], now=NOW, master_key=b"test").register(load, STAFF)
 
 
 def test_rows_and_columns(gov):
@@ -69,13 +69,13 @@ def test_refusals(gov, spark):
             gov.table(STAFF.name, ME, where=where)
     with pytest.raises(P.GovernanceError):
         gov.table(STAFF.name, ME, equals={"ssn": "111"})
-    sick = Governor(spark, [GRANT], now=NOW, health={STAFF.name: "Quarantined"}).register(load, STAFF)
+    sick = Governor(spark, [GRANT], now=NOW, master_key=b"test", health={STAFF.name: "Quarantined"}).register(load, STAFF)
     with pytest.raises(P.GovernanceError):
         sick.table(STAFF.name, ME)
 
 
 def test_missing_attribute_matches_nothing(spark):
-    gov = Governor(spark, [GRANT], now=NOW).register(load, STAFF)
+    gov = Governor(spark, [GRANT], now=NOW, master_key=b"test").register(load, STAFF)
     assert gov.table(STAFF.name, Subject("me", "t1")).count() == 0
 
 
@@ -87,7 +87,7 @@ def test_join_on_hidden_columns(gov):
 
 def test_audit_comes_first(spark):
     seen = []
-    gov = Governor(spark, [GRANT], now=NOW, on_access=seen.append).register(load, STAFF)
+    gov = Governor(spark, [GRANT], now=NOW, master_key=b"test", on_access=seen.append).register(load, STAFF)
     gov.table(STAFF.name, ME)
     with pytest.raises(P.GovernanceError):
         gov.table(STAFF.name, Subject("x", "t1"))
@@ -359,7 +359,7 @@ class NumbersReader(DataSourceReader):
 def test_plugin_source_is_governed(spark):
     spark.dataSource.register(Numbers)
     meta = TableMeta("x.y.numbers", (Column("id", "bigint"), Column("ssn", sensitive=True)), ("id",))
-    gov = Governor(spark, [Consent(meta.name, grantee="me")], now=NOW)
+    gov = Governor(spark, [Consent(meta.name, grantee="me")], now=NOW, master_key=b"test")
     gov.register(lambda s: s.read.format("plugin_numbers").load(), meta)
     rows = gov.table(meta.name, ME, where={"id": {"gte": 3}}).collect()
     assert {(r.id, r.ssn) for r in rows} == {(3, "REDACTED"), (4, "REDACTED")}
@@ -367,7 +367,7 @@ def test_plugin_source_is_governed(spark):
 
 def test_denied_column_never_comes_back(spark):
     grant = Consent(STAFF.name, grantee="me", columns={"id": CLEAR, "ssn": DENY, "tenant_id": CLEAR})
-    gov = Governor(spark, [grant], now=NOW).register(load, STAFF)
+    gov = Governor(spark, [grant], now=NOW, master_key=b"test").register(load, STAFF)
     assert gov.table(STAFF.name, ME, columns=["ssn"]).columns == ["id", "tenant_id"]
 
 
@@ -382,13 +382,13 @@ def test_enrichment_meets_on_stored_keys(spark):
     def load_notes(session):
         return session.createDataFrame([("111", "first"), ("444", "fourth"), ("999", "none")], "who string, note string")
 
-    gov = Governor(spark, grants, now=NOW).register(load, STAFF).register(load_notes, notes)
+    gov = Governor(spark, grants, now=NOW, master_key=b"test").register(load, STAFF).register(load_notes, notes)
     rows = gov.enrich(STAFF.name, ME, "ssn", notes.name, "who", "memo", columns=["id", "ssn"]).collect()
     assert {(r.id, r.ssn, r.memo and r.memo.note) for r in rows} == {
         (1, "REDACTED", "first"), (2, "REDACTED", None), (4, "REDACTED", "fourth")
     }
     assert rows[0].asDict().keys() == {"id", "ssn", "memo"}
-    closed = Governor(spark, grants[:1], now=NOW).register(load, STAFF).register(load_notes, notes)
+    closed = Governor(spark, grants[:1], now=NOW, master_key=b"test").register(load, STAFF).register(load_notes, notes)
     assert all(r.memo is None for r in closed.enrich(STAFF.name, ME, "ssn", notes.name, "who", "memo").collect())
 
 
