@@ -75,6 +75,7 @@ def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int,
         last = min(max(last, first + 1), len(texts))
         yield first, last
         first = last
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
