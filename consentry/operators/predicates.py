@@ -351,7 +351,17 @@ def tenant_filter(df: DataFrame, column: str, tenant: str | None) -> DataFrame:
     return df.where(F.col(column) == F.lit(tenant)) if tenant else df.where(F.lit(False))
 
 
-def sample_percent(df: DataFrame, percent: float, seed: int | None = None) -> DataFrame:
+def sample_percent(
+    df: DataFrame, percent: float, seed: int | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """A sample of about ``percent`` of the rows. With ``keys`` a digest of seed and keys decides, so the same rows come
+    back wherever and however often it is taken."""
     if percent <= 0:
         return df.where(F.lit(False))
-    return df if percent >= 100 else df.sample(fraction=percent / 100.0, seed=seed)
+    if percent >= 100:
+        return df
+    if not keys:
+        return df.sample(fraction=percent / 100.0, seed=seed)
+    text = F.concat_ws("|", F.lit(str(seed or 0)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 1_000_000
+    return df.where(place < round(percent * 10_000))

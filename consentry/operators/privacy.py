@@ -32,7 +32,11 @@ def private_sums(
     min_cohort: int = MIN_COHORT,
     seed: int | None = None,
 ) -> DataFrame:
-    """Noisy sum per group; a cohort below the minimum is suppressed and costs nothing."""
+    """Noisy sum per group; a cohort below the minimum is suppressed and costs nothing.
+
+    The exact size of a cohort is no part of the answer: it would be free of any budget. The noise comes from
+    Spark's generator, which is no secure source; give no ``seed`` outside tests.
+    """
     if epsilon <= 0:
         raise GovernanceError("epsilon must be positive")
     if sensitivity < MIN_SENSITIVITY:
@@ -43,7 +47,6 @@ def private_sums(
     small = F.col("cohort") < min_cohort
     return noisy.select(
         *by,
-        F.when(~small, F.col("cohort")).alias("cohort"),
         small.alias("suppressed"),
         F.when(~small, F.bround("_noisy", 4)).alias("value"),
         F.when(small, 0.0).otherwise(epsilon).alias("epsilon_spent"),

@@ -345,9 +345,13 @@ def tracked(t: Frames):
     return rows.groupBy("target_table").agg(F.count("*").alias("n"))
 
 
-@query("p22_sample")
+@query(
+    "p22_sample",
+    """SELECT event_id, event_type FROM events
+       WHERE CAST('0x' || substr(md5('7|' || CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 < 100000""",
+)
 def sample(t: Frames):
-    return P.sample_percent(t.events, 10, seed=7).select("event_id", "event_type")
+    return P.sample_percent(t.events, 10, seed=7, keys=["event_id"]).select("event_id", "event_type")
 
 
 @query("p22_sample_bounds", "SELECT 'all' AS part, count(*) AS n FROM events UNION ALL SELECT 'none', 0")
