@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +67,8 @@ def privacy_ledger(
 
     Order matters only among requests that can be accepted at all. Of one amount ``e``
     at most ``budget / e`` requests fit a day, and once one of them is refused so is every
-    later one; hence only the first ``budget / e`` per (client, day, e) are candidates. The
-    fold runs over those alone, however hot a client is; the rest are refused.
+    later one; hence only the first ``budget / (smallest e)`` per (client, day, e) are candidates. The
+    walk runs over those alone and holds one sum, however hot a client is; the rest are refused.
     """
     day = F.to_date(at)
     smallest = spends.agg(F.min(epsilon)).first()[0]
@@ -80,24 +81,26 @@ def privacy_ledger(
     rows = spends.withColumn("_day", day).withColumn("_e", unit)
     most = int(budget / float(smallest)) + 1
     first = latest_per_key(rows, [client, "_day", "_e"], [F.asc(at), F.asc(row_id)], most)
-    item = F.struct(F.col(at).alias("t"), F.col(row_id).alias("id"), F.col("_e").alias("e"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("spent"),
-        F.array().cast(f"array<{dict(spends.dtypes)[row_id]}>").alias("ids"),
-    )
     cap = int(round(budget * 1000000))
+    id_type = first.schema[row_id].dataType.simpleString()
 
-    def step(state: Column, x: Column) -> Column:
-        fits = state["spent"] + x["e"] <= cap
-        return F.struct(
-            F.when(fits, state["spent"] + x["e"]).otherwise(state["spent"]).alias("spent"),
-            F.when(fits, F.array_append(state["ids"], x["id"])).otherwise(state["ids"]).alias("ids"),
-        )
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, spent = None, 0
+        for batch in batches:
+            taken = []
+            for key, amount in zip(zip(batch["_client"], batch["_day"]), batch["_e"]):
+                if key != now:
+                    now, spent = key, 0
+                fits = spent + amount <= cap
+                spent += amount if fits else 0
+                taken.append(fits)
+            yield batch.loc[taken, [row_id]].assign(_ok=True)
 
-    taken = (
-        first.groupBy(client, "_day")
-        .agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("_s"))
-        .select(F.explode("_s.ids").alias(row_id), F.lit(True).alias("_ok"))
+    # A day of a client is one walk in order; it holds a running sum, however many requests there are.
+    walk = first.select(F.col(client).cast("string").alias("_client"), "_day", F.col(at).alias("_at"), row_id, "_e")
+    walk = walk.repartition("_client", "_day").sortWithinPartitions("_client", "_day", "_at", row_id)
+    taken = walk.select("_client", F.col("_day").cast("string").alias("_day"), row_id, "_e").mapInPandas(
+        fold, f"{row_id} {id_type}, _ok boolean"
     )
     return (
         spends.join(taken, row_id, "left")
