@@ -262,7 +262,9 @@ def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     Of rows that repeat a kept id, the first by text stays.
     """
     classes = jaccard_classes(documents, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
-    named = documents.where("doc_id IS NOT NULL").join(classes, F.col("doc_id") == F.col("kept"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    first = named.select(F.struct("*").alias("row"), place.alias("place")).where("place = 1").select("row.*")
+    # Whole rows travel in one column, so no name of theirs can clash.
+    rows = documents.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"))
+    named = rows.join(classes, F.col("row.doc_id") == F.col("kept"), "left_semi")
+    place = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+    first = named.select("row", place.alias("place")).where("place = 1").select("row.*")
     return first.unionByName(documents.where("doc_id IS NULL"))

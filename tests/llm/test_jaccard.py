@@ -71,7 +71,7 @@ def test_matches_brute_force(spark, block):
 
 def test_one_of_each(spark):
     docs = [(1, "a b c d e f"), (2, "A b c d e f"), (1, "a b c d e f"), (None, "x"), (None, "x"), (9, "other words here")]
-    frame = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, place int")
+    frame = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, kept int")
     kept = one_of_each(frame)
     assert kept.columns == frame.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 9]
