@@ -34,9 +34,10 @@ def parse_policy(lines: Sequence[str], tenant: str) -> tuple[list[tuple], list[t
 
 
 def policy_frames(spark, lines: Sequence[str], tenant: str) -> tuple[DataFrame, DataFrame]:
+    """Rules and roles of a tenant's policy document; ``owner`` is that tenant, whatever tenant a rule names."""
     rules, roles = parse_policy(lines, tenant)
     return (
-        spark.createDataFrame(rules, GOVERNANCE_SCHEMAS["policy_rules"]),
+        spark.createDataFrame(rules, GOVERNANCE_SCHEMAS["policy_rules"]).withColumn("owner", F.lit(tenant)),
         spark.createDataFrame(roles, "sid string, role string"),
     )
 
