@@ -25,7 +25,7 @@ from consentry.session import durable
 
 #: Bounds of training: labelled documents, words of the lexicon, chains of CHAIN words.
 SAMPLE, LEXICON, CHAINS, CHAIN = 20_000, 500, 6_000, 32
-#: A lexicon word occurs in this many times the share of toxic documents that chance would give, by this many standard deviations.
+#: A lexicon word is this many times likelier in toxic than in clean documents, by this many standard deviations of chance.
 RATIO, DEVIATIONS = 3.0, 5.0
 ROUNDS, RATE, DECAY = 60, 4.0, 1e-4
 #: Probability from which on a word belongs to an offending span, and a document is predicted toxic.
@@ -279,8 +279,11 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     )
     expected = F.col("n") * share
     excess = (F.col("bad") - expected) / F.sqrt(expected * (1 - share) + 0.25)
+    # Shares of toxic and of clean documents with the word, smoothed, are compared: no share of toxic labels rules a word out.
+    among_toxic = (F.col("bad") + 0.5) / (total.bad + 1)
+    among_clean = (F.col("n") - F.col("bad") + 0.5) / (total.n - total.bad + 1)
     lexicon = (
-        counts.where((F.col("bad") >= RATIO * expected) & (excess >= DEVIATIONS) & (F.col("bad") >= 3))
+        counts.where((among_toxic >= RATIO * among_clean) & (excess >= DEVIATIONS) & (F.col("bad") >= 3))
         .orderBy(excess.desc(), "word").limit(LEXICON).select("word").toPandas()["word"]
     )
     words = np.sort(lexicon.to_numpy().astype(np.int64).astype(np.uint64))

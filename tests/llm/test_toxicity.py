@@ -89,3 +89,23 @@ def test_odd_inputs(spark):
     some = spark.createDataFrame([(1, 0, 1), (2, 0, None), (None, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.score_documents(frame, toxicity.train(frame, some)).count() == 4
     assert toxicity.score_documents(frame.limit(0), model).count() == 0
+
+
+def test_balanced_labels(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(3))
+    for share in (0.34, 0.5, 0.7):
+        docs, labels = [], []
+        for i in range(900):
+            toxic = r.random() < share
+            bad = [r.choice(["Scum", "idiot", "clown,", "moron"]) for _ in range(r.randint(1, 4) if toxic else 0)]
+            text = [word() for _ in range(r.randint(1, 80))] + bad
+            r.shuffle(text)
+            docs.append((i, " ".join(text)))
+            labels.append((i, 0, int(toxic)))
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        model = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert len(model.words) == 4
+        held = toxicity.score_documents(frame, model).where(toxicity.held_out(toxicity.F.col("row.doc_id"))).collect()
+        right = sum((x.score >= 0.5) == bool(labels[x.row.doc_id][2]) for x in held)
+        assert len(held) > 100 and right >= 0.97 * len(held)
