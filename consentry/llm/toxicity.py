@@ -7,12 +7,12 @@ and four moves from tag to tag. Forward-backward gives the marginal probability
 logistic function of its marginals, and words above one half are its offending spans.
 
 Only texts are inputs of a score. Training reads at most SAMPLE labelled documents, those with the smallest hashes of their
-ids; LEXICON and CHAINS bound what the driver holds of them.
+ids. The chain is trained on all their stretches; LEXICON bounds the words and CHAINS the stretches that the driver holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from consentry.llm.words import Words, slices
-from consentry.session import durable
+from consentry.session import durable, spread
 
-#: Bounds of training: labelled documents, words of the lexicon, chains of CHAIN words.
+#: Bounds of training: labelled documents, words of the lexicon; above CHAINS different stretches of CHAIN words, tasks sum them.
 SAMPLE, LEXICON, CHAINS, CHAIN = 20_000, 500, 6_000, 32
 #: A lexicon word is this many times likelier in toxic than in clean documents, by this many standard deviations of chance.
 RATIO, DEVIATIONS = 3.0, 5.0
@@ -289,40 +289,87 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     words = np.sort(lexicon.to_numpy().astype(np.int64).astype(np.uint64))
     model = Model(words, np.zeros((3, len(words) + 1)), -4.0, np.zeros((2, 2)), np.zeros(4))
     if len(words):
-        chains = rows.mapInArrow(_Chains(model), "numbers array<long>, toxic int")
-        # Any bounded choice will do; the order of hashes makes it the same one each time.
-        chosen = chains.orderBy(F.xxhash64("numbers", "toxic"), "numbers", "toxic").limit(CHAINS).toPandas()
-        fit_chain(model, [np.asarray(x, dtype=np.int64) for x in chosen["numbers"]], chosen["toxic"].to_numpy())
+        fit_chain(model, _step_sums(rows, model))
     found = rows.mapInArrow(_Features(model), "f0 double, f1 double, f2 double, f3 double, toxic int").toPandas()
     model.final = fit_logistic(found[["f0", "f1", "f2", "f3"]].to_numpy(), found["toxic"].to_numpy().astype(float))
     return model
 
 
-def fit_chain(model: Model, chains: list[np.ndarray], toxic: np.ndarray) -> None:
-    """Maximises the likelihood of the labelled words by gradient steps: observed less expected counts of every weight."""
+def _step_sums(rows: DataFrame, model: Model) -> Callable[[Model], np.ndarray]:
+    """Gives the sums of a training step over all stretches; equal stretches are one with a count."""
+    chains = rows.mapInArrow(_Chains(model), "numbers array<long>, toxic int")
+    chains = chains.groupBy("numbers", "toxic").agg(F.count("*").alias("copies"))
+    chains = durable(spread(chains), "chains")
+    if chains.count() > CHAINS:
+        # Tasks sum their stretches, the driver adds one row of each batch.
+        return lambda now: np.sum(
+            [r.sums for r in chains.mapInArrow(_StepSums(now), "sums array<double>").collect()], axis=0
+        )
+    held = chains.orderBy("numbers", "toxic").toPandas()
+    numbers = [np.asarray(x, dtype=np.int64) for x in held["numbers"]]
+    toxic, copies = held["toxic"].to_numpy(), held["copies"].to_numpy()
+    return lambda now: step_sums(now, numbers, toxic, copies)
+
+
+class _StepSums:
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = []
+            for i in range(0, batch.num_rows, CHAINS):
+                part = batch.slice(i, CHAINS)
+                numbers = part.column("numbers")
+                flat, first = numbers.flatten().to_numpy(), numbers.offsets.to_numpy()
+                total.append(
+                    step_sums(
+                        self.model, np.split(flat, first[1:-1] - first[0]), part.column("toxic").to_numpy(),
+                        part.column("copies").to_numpy(),
+                    )
+                )
+            if total:
+                yield pa.record_batch({"sums": pa.array([np.sum(total, axis=0)], pa.list_(pa.float64()))})
+
+
+def step_sums(model: Model, chains: list[np.ndarray], toxic: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Of labelled chains, each taken ``copies`` times: for each weight how often it is used, and label less marginal there;
+    then the moves seen and the moves expected."""
     first = np.concatenate([[0], np.cumsum([len(c) for c in chains])])
     number = np.concatenate(chains)
     around = neighbours(number, first)
+    times = np.repeat(copies, np.diff(first)).astype(float)
     label = ((number > 0) & np.repeat(toxic > 0, np.diff(first))).astype(float)
-    n, size = len(number), len(model.words) + 1
-    joined = np.ones(n - 1, dtype=bool)
-    joined[first[1:-1][first[1:-1] > 0] - 1] = False
+    size = len(model.words) + 1
+    joined = times[:-1].copy()
+    joined[first[1:-1][first[1:-1] > 0] - 1] = 0
     tags = label.astype(int)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (tags[:-1][joined], tags[1:][joined]), 1)
-    counts = [np.bincount(a, minlength=size) for a in around]
+    np.add.at(seen, (tags[:-1], tags[1:]), joined)
+    marginal, pair = chain_marginals(model.emissions(around), first, model.moves)
+    rest = (label - marginal) * times
+    counts = [np.bincount(a, times, size) for a in around]
+    slopes = [np.bincount(a, rest, size) for a in around]
+    expected = (pair * joined[:, None, None]).sum(axis=0)
+    return np.concatenate([*counts, *slopes, seen.ravel(), expected.ravel()])
+
+
+def fit_chain(model: Model, sums: Callable[[Model], np.ndarray]) -> None:
+    """Maximises the likelihood of the labelled words by gradient steps: observed less expected counts of every weight."""
+    size = len(model.words) + 1
     speed, speed_moves, speed_bias = np.zeros((3, size)), np.zeros((2, 2)), 0.0
     for _ in range(ROUNDS):
-        marginal, pair = chain_marginals(model.emissions(around), first, model.moves)
-        rest = label - marginal
+        counts, slope, seen, expected = np.split(sums(model), [3 * size, 6 * size, 6 * size + 4])
+        counts, slope = counts.reshape(3, size), slope.reshape(3, size)
+        rest = slope[0].sum() / counts[0].sum()
         # Each weight moves by its gradient per occurrence, with momentum.
-        slope = np.stack([np.bincount(a, rest, size) / np.maximum(c, 10) for a, c in zip(around, counts, strict=True)])
+        slope = slope / np.maximum(counts, 10)
         slope[:, 0] = 0
         speed = 0.8 * speed + slope - DECAY * model.weights
         model.weights += RATE * 0.2 * speed
-        speed_bias = 0.8 * speed_bias + rest.mean()
+        speed_bias = 0.8 * speed_bias + rest
         model.bias += RATE * speed_bias
-        gap = (seen - pair.sum(axis=0)) / max(joined.sum(), 1)
+        gap = (seen - expected).reshape(2, 2) / max(seen.sum(), 1)
         speed_moves = 0.8 * speed_moves + gap - DECAY * model.moves
         model.moves += RATE * 0.2 * speed_moves
 

@@ -109,3 +109,16 @@ def test_balanced_labels(spark):
         held = toxicity.score_documents(frame, model).where(toxicity.held_out(toxicity.F.col("row.doc_id"))).collect()
         right = sum((x.score >= 0.5) == bool(labels[x.row.doc_id][2]) for x in held)
         assert len(held) > 100 and right >= 0.97 * len(held)
+
+
+def test_all_stretches_count(spark, monkeypatch):
+    docs, labels = corpus(3, 500)
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = toxicity.train(frame, marks)
+    # More stretches than the driver takes lose none of them.
+    monkeypatch.setattr(toxicity, "CHAINS", 40)
+    spread = toxicity.train(frame, marks)
+    assert np.array_equal(held.words, spread.words)
+    assert np.allclose(held.weights, spread.weights) and np.allclose(held.moves, spread.moves)
+    assert np.allclose(held.final, spread.final)
