@@ -1,7 +1,8 @@
 """Line dedup by winnowing over line hashes.
 
 A line ends at a newline or at a sentence end (``.``, ``!`` or ``?`` before white space), so that passages that start in
-mid-line are found too. Lines are compared by their words (see ``words``); what follows a line's last word, up to the next
+mid-line are found too. A long sentence also ends at word borders chosen by the words around them (see ``soft_ends``), so that
+copies are cut alike wherever their sentences begin and whatever marks they have. Lines are compared by their words (see ``words``); what follows a line's last word, up to the next
 line's first one, belongs to the line. A window is the shortest run of lines from a line on, or up to a line, that has at least
 ``min_words`` words. Each window selects its smallest line hash as fingerprint, so two equal runs of that size always share
 one. Positions with a shared fingerprint are joined and extended both ways to all the windows around them that selected
@@ -26,6 +27,8 @@ from consentry.session import durable
 
 #: Words of a run that counts as repeated.
 MIN_WORDS = 25
+#: Words from a newline or sentence end, before or behind, within which no word border ends a line.
+EDGE = 5
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _BACK = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 2**64))
@@ -40,6 +43,22 @@ def _run_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(total + (end - start).astype(np.uint64) * _STEP)
 
 
+def soft_ends(hashes: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Words that begin a line inside a sentence: EDGE words or more from its ends, with a smaller hash than two words on each side.
+
+    A word is chosen by the EDGE words around it alone; a run of one word has no such place.
+    """
+    n = len(hashes)
+    each = np.arange(n)
+    begin = np.flatnonzero(fresh)
+    nth = np.searchsorted(begin, each, side="right")
+    least = (each - begin[nth - 1] >= EDGE) & (np.append(begin, n)[nth] - each >= EDGE)
+    for step in (1, 2):
+        least[step:] &= hashes[step:] < hashes[:-step]
+        least[:-step] &= hashes[:-step] < hashes[step:]
+    return least
+
+
 class Lines:
     """The lines of a batch: ``hash``, ``words`` in each, ``byte`` where each starts, and ``first`` line of each text."""
 
@@ -53,6 +72,7 @@ class Lines:
         if len(fresh):
             fresh[1:] = marks[words.start[1:]] > marks[words.end[:-1]]
             fresh[words.first[:-1][np.diff(words.first) > 0]] = True
+            fresh |= soft_ends(words.hash, fresh)
         word = np.flatnonzero(fresh)
         after = np.append(word[1:], len(words.hash)).astype(np.int64)
         self.hash = _run_hash(words.hash, word, after)

@@ -87,3 +87,29 @@ def test_edge_rows(spark):
     assert [r[1] for r in got if r[0] == 5] == [None]
     assert [len(r[1]) for r in got if r[0] == 6] == [250_000]
     assert without_repeats(frame.limit(0)).count() == 0
+
+
+def test_passages_in_mid_sentence(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdeghimnorstu") for _ in range(6))
+    some = lambda n, least, most: " ".join(x for _ in range(n) for x in [*(word() for _ in range(r.randint(least, most))), "."]).replace(" .", ".")
+    plain = lambda n: " ".join(word() for _ in range(n))
+    kinds = {
+        "no marks": lambda: plain(80),
+        "one mark": lambda: plain(30) + ". " + plain(30),
+        "marks beyond ASCII": lambda: plain(30) + "。 " + plain(30) + ". " + plain(20),
+        "sentences": lambda: plain(9) + ". " + some(4, 11, 20) + " " + plain(9),
+    }
+    docs, words = [], {}
+    for kind, make in kinds.items():
+        for _ in range(12):
+            passage = make()
+            words[len(docs) + 1] = kind, set(re.findall(WORD, passage.translate(CAPITALS)))
+            for _ in range(2):
+                docs.append((len(docs), f"{plain(r.randint(3, 12))} {passage} {plain(r.randint(3, 12))}."))
+    rows = {x["row"]["doc_id"]: x for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for kind in kinds:
+        own = [(d, w) for d, (k, w) in words.items() if k == kind]
+        left = [len(w & set(re.findall(WORD, rows[d].text))) / len(w) for d, w in own]
+        assert sum(left) / len(left) < 0.4 and max(left) < 1, kind
+    assert all(rows[d].text == t for d, t in docs if d % 2 == 0)
