@@ -70,7 +70,7 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
 class _Sets:
     """Size, key and band values of each text's set."""
 
-    SCHEMA = "doc_id long, size int, key1 long, key2 long, bands array<long>"
+    SCHEMA = "doc_id long, mark long, size int, key1 long, key2 long, bands array<long>"
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +85,7 @@ class _Sets:
                 offsets = pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS, dtype=np.int32))
                 yield pa.record_batch(
                     {
-                        "doc_id": batch.column("doc_id")[i:j], "size": pa.array(np.diff(first).astype(np.int32)),
+                        "doc_id": batch.column("doc_id")[i:j], "mark": batch.column("mark")[i:j], "size": pa.array(np.diff(first).astype(np.int32)),
                         "key1": pa.array(keys[0]), "key2": pa.array(keys[1]),
                         "bands": pa.ListArray.from_arrays(offsets, pa.array(band.ravel())),
                     }
@@ -198,33 +198,56 @@ def jaccard_classes(
     rows that this one is linked to, copies among them.
 
     Texts of fewer than five words have one shingle of all their words; texts without words, null ones too, have the empty
-    set and are copies of each other. Rows without an id are returned with null class, null copy and 0 links. Rows that
-    repeat an id are rows of one document. Other columns are ignored; an empty table gives no row.
+    set and are copies of each other. Rows without an id are returned with null class, null copy and 0 links. Every row counts
+    by its own text, also if rows share an id. Other columns are ignored; an empty table gives no row.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    columns = ["doc_id", "class_id", "copy_id", "n_links"]
+    absent = F.lit(None).cast("long")
+    unnamed = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NULL").select(
+        "doc_id", absent.alias("class_id"), absent.alias("copy_id"), F.lit(0).cast("long").alias("n_links")
+    )
+    return _classes(documents, threshold, tolerance, block).select(*columns).unionByName(unnamed)
+
+
+def _classes(
+    documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK
+) -> DataFrame:
+    """``doc_id, mark, root, class_id, copy_id, n_links`` of the rows with an id: mark is a hash of the text, root the number of
+    the class. Several classes may have one ``class_id``, if texts of several classes share an id."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     named = rows.where("doc_id IS NOT NULL")
     sets = durable(named.mapInArrow(_Sets(), _Sets.SCHEMA), "sets")
     keys = ["size", "key1", "key2"]
-    copies = sets.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = durable(copies, "copies")
+    copies = sets.groupBy(*keys).agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count("*").alias("copies"))
+    # A set is known by a number, as ids may stand at several sets; it is written, so it stays the same.
+    copies = durable(
+        copies.select(
+            *keys, F.monotonically_increasing_id().alias("rep"), F.col("least.doc_id").alias("copy_id"),
+            F.col("least.mark").alias("copy_mark"), "copies",
+        ),
+        "copies",
+    )
     # One row per distinct set and band.
-    reps = sets.join(copies, [*keys], "inner").where("doc_id = rep AND size > 0").select("rep", "bands")
+    reps = sets.join(copies, [*keys], "inner").where("doc_id = copy_id AND mark = copy_mark AND size > 0").select("rep", "bands")
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").drop("z")
     edges = banded.join(shared, "band").where("rep > a").select("a", F.col("rep").alias("b"))
     near = components(edges)
     totals = near.groupBy("root").agg(F.count("*").alias("members"))
-    members = near.join(totals, "root").join(copies.select("rep", "copies"), near["node"] == F.col("rep"))
+    members = near.join(totals, "root").join(
+        copies.select("rep", "copies", "copy_id", "copy_mark"), near["node"] == F.col("rep")
+    )
     blocks = F.ceil(F.col("members") / block).cast("int")
     members = durable(
         members.select(
-            "rep", "copies", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int").alias("block")
+            "rep", "copy_id", "copy_mark", "copies", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int").alias("block")
         ),
         "members",
     )
     # Few documents have candidates. While their list is small it goes to the texts, else the texts are shuffled to it.
     wanted = checked_broadcast(members, BROADCAST_ROWS)
-    texts = named.join(wanted, F.col("doc_id") == F.col("rep")).drop("doc_id")
+    texts = named.join(wanted, (F.col("doc_id") == F.col("copy_id")) & (F.col("mark") == F.col("copy_mark")))
+    texts = texts.select("text", "rep", "copies", "root", "block", "blocks")
     held = texts.dropDuplicates(["rep"]).mapInArrow(
         _Members(), "rep long, copies long, root long, block int, blocks int, shingles binary"
     )
@@ -240,31 +263,29 @@ def jaccard_classes(
     links = compared.groupBy("rep").agg(F.sum("linked").alias("linked"))
     classes = components(compared.select(F.col("rep").alias("a"), F.col("parent").alias("b")))
     found = links.join(classes, links["rep"] == classes["node"], "left").select(
-        "rep", "linked", F.coalesce("root", "rep").alias("class_id")
+        "rep", "linked", F.coalesce("root", "rep").alias("root")
     )
+    ids = found.join(copies.select("rep", "copy_id"), "rep").groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    found = found.join(ids, "root")
     per_copy = copies.join(found, "rep", "left").select(
-        *keys, "rep", F.coalesce("class_id", "rep").alias("class_id"),
+        *keys, "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("root", "rep").alias("root"),
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    out = sets.select("doc_id", *keys).join(per_copy, keys).select(
-        "doc_id", "class_id", F.col("rep").alias("copy_id"), "n_links"
-    )
-    absent = F.lit(None).cast("long")
-    unnamed = rows.where("doc_id IS NULL").select(
-        "doc_id", absent.alias("class_id"), absent.alias("copy_id"), F.lit(0).cast("long").alias("n_links")
-    )
-    return out.unionByName(unnamed)
+    return sets.select("doc_id", "mark", *keys).join(per_copy, keys).drop(*keys)
 
 
 def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, of which each class keeps the one with its class's id; rows without an id stay.
+    """The documents, with all their columns, of which each class keeps one with its class's id; rows without an id stay.
 
-    Of rows that repeat a kept id, the first by text stays.
+    Of several such rows the one with the smallest hash of its text stays.
     """
-    classes = jaccard_classes(documents, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
+    kept = _classes(documents, threshold).where("doc_id = class_id").groupBy("root").agg(
+        F.min(F.struct("doc_id", "mark")).alias("kept")
+    )
     # Whole rows travel in one column, so no name of theirs can clash.
     rows = documents.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"))
-    named = rows.join(classes, F.col("row.doc_id") == F.col("kept"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("mark"))
+    named = rows.join(kept, (F.col("id") == F.col("kept.doc_id")) & (rows["mark"] == F.col("kept.mark")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("id", "mark").orderBy("row.text"))
     first = named.select("row", place.alias("place")).where("place = 1").select("row.*")
     return first.unionByName(documents.where("doc_id IS NULL"))

@@ -6,7 +6,7 @@ copies are cut alike wherever their sentences begin and whatever marks they have
 line's first one, belongs to the line. A window is the shortest run of lines from a line on, or up to a line, that has at least
 ``min_words`` words. Each window selects its smallest line hash as fingerprint, so two equal runs of that size always share
 one. Positions with a shared fingerprint are joined and extended both ways to all the windows around them that selected
-it; a window that equals one at an earlier position (by document id, then line) is a later repeat, and its lines go.
+it; a window that equals one at an earlier position (by document id, hash of the text, then line) is a later repeat, and its lines go.
 
 Which lines go is thereby exact: a line goes if and only if it lies in a run of whole lines of one document, of at least
 ``min_words`` words, that also occurs earlier. The first occurrence of a line always stays.
@@ -140,14 +140,14 @@ class _Fingerprints:
 class _Positions:
     """Each fingerprint's position with the windows that selected it: hash, lines before it, lines in all."""
 
-    SCHEMA = "print long, doc_id long, line int, windows array<struct<hash:bigint,before:int,size:int>>"
+    SCHEMA = "print long, doc_id long, mark long, line int, windows array<struct<hash:bigint,before:int,size:int>>"
 
     def __init__(self, least: int):
         self.least = least
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
             for i, j in slices(batch.column("text")):
                 lines = Lines(batch.column("text")[i:j])
                 a, b = lines.windows(self.least)
@@ -168,6 +168,7 @@ class _Positions:
                     {
                         "print": pa.array(lines.hash[place].astype(np.int64)),
                         "doc_id": pa.array(ids[i:j][text].astype(np.int64)),
+                        "mark": pa.array(marks[i:j][text].astype(np.int64)),
                         "line": pa.array((place - lines.first[text]).astype(np.int32)),
                         "windows": pa.ListArray.from_arrays(bounds, windows),
                     }
@@ -175,21 +176,26 @@ class _Positions:
 
 
 def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, start, stop``: windows of lines that equal a window at an earlier position; rows without an id hold none."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    """``doc_id, mark, start, stop``: windows of lines that equal a window at an earlier position; rows without an id hold none.
+
+    ``mark`` is a hash of the text: an id may stand at several texts, whose lines have nothing to do with each other.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    rows = rows.where("doc_id IS NOT NULL")
     prints = rows.select("text").mapInArrow(_Fingerprints(min_words), "print long, n long")
     shared = prints.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print")
     positions = rows.mapInArrow(_Positions(min_words), _Positions.SCHEMA)
     near = positions.join(shared, "print", "left_semi")
-    windows = near.select("doc_id", "line", F.explode("windows").alias("w")).select(
-        F.col("w.hash").alias("hash"), "doc_id", (F.col("line") - F.col("w.before")).alias("start"),
+    windows = near.select("doc_id", "mark", "line", F.explode("windows").alias("w")).select(
+        F.col("w.hash").alias("hash"), "doc_id", "mark", (F.col("line") - F.col("w.before")).alias("start"),
         F.col("w.size").alias("size"),
     )
     windows = durable(windows, "windows")
-    earliest = F.min(F.struct("doc_id", "start")).alias("earliest")
+    place = F.struct("doc_id", "mark", "start")
+    earliest = F.min(place).alias("earliest")
     first = windows.groupBy("hash").agg(F.count("*").alias("n"), earliest).where("n > 1").drop("n")
-    later = windows.join(first, "hash").where(F.struct("doc_id", "start") > F.col("earliest"))
-    return later.select("doc_id", "start", (F.col("start") + F.col("size")).alias("stop"))
+    later = windows.join(first, "hash").where(place > F.col("earliest"))
+    return later.select("doc_id", "mark", "start", (F.col("start") + F.col("size")).alias("stop"))
 
 
 class _Cut:
@@ -245,15 +251,16 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     points of the old text, start and end in turn) and ``n_deleted`` lines.
 
     Null texts stay null, texts without words and rows without an id stay as they are, empty tables give no row. Rows that repeat a
-    ``doc_id`` and text have the same positions, so neither is earlier and both lose the same lines; rows that repeat an id
-    with other texts are read as one position too. An exact copy loses its whole text and stays as a row.
+    ``doc_id`` and text have the same positions, so neither is earlier and both lose the same lines; other texts under one id have
+    positions of their own, in the order of their hashes. An exact copy loses its whole text and stays as a row.
 
     Shuffled are fingerprints, the windows around shared ones, and the documents once, to their deletions.
     """
     runs = durable(repeated_runs(documents, min_words), "runs")
-    ranges = runs.groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    ranges = runs.groupBy(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark")).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     whole = documents.select(F.struct("*").alias("row"))
-    joined = whole.join(ranges, F.col("row.doc_id").cast("long") == F.col("r_id"), "left").select("row", "ranges")
+    own = (F.col("row.doc_id").cast("long") == F.col("r_id")) & (F.xxhash64("row.text") == F.col("r_mark"))
+    joined = whole.join(ranges, own, "left").select("row", "ranges")
     schema = joined.select("row").schema.add("text", "string").add("deleted", ArrayType(LongType())).add("n_deleted", "long")
     return joined.mapInArrow(_Cut(), schema)
 

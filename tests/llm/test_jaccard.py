@@ -118,3 +118,15 @@ def test_sets():
     sets = [set(values[s:e].tolist()) for s, e in zip(first[:-1], first[1:], strict=True)]
     assert sets[0] == sets[1] and len(sets[0]) == 2
     assert sets[2] == sets[3] == set() and sets[4] == sets[5] != sets[6]
+
+
+def test_texts_under_one_id(spark):
+    docs = corpus()[60:110]
+    docs = [(i // 4, t) for i, (_, t) in enumerate(docs)] + [(1, None), (1, "own words of this one"), (2, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard_classes(frame).collect()) == brute(docs)
+    # One row of each class stays, also of classes with the same id.
+    single = [(i, t) for i, (_, t) in enumerate(docs)]
+    kept = [(r.doc_id, r.text) for r in one_of_each(frame).collect()]
+    assert len(kept) == len({c for _, c, _, _ in brute(single)})
+    assert (1, "own words of this one") in kept

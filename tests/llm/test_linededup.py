@@ -113,3 +113,14 @@ def test_passages_in_mid_sentence(spark):
         left = [len(w & set(re.findall(WORD, rows[d].text))) / len(w) for d, w in own]
         assert sum(left) / len(left) < 0.4 and max(left) < 1, kind
     assert all(rows[d].text == t for d, t in docs if d % 2 == 0)
+
+
+def test_texts_under_one_id(spark):
+    passage = "one two three four five. six seven eight nine ten. " * 4
+    other = "".join(f"w{i} x{i} y{i}. " for i in range(40))
+    docs = [(1, passage), (2, passage), (2, other), (2, None), (2, ""), (2, "short text."), (3, other)]
+    got = [(r["row"]["doc_id"], r["row"]["text"], r.text) for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    left = {(d, t): x for d, t, x in got}
+    assert len(got) == len(docs)
+    assert left[2, passage] == "" and left[2, other] == other and left[3, other] == ""
+    assert left[2, None] is None and left[2, ""] == "" and left[2, "short text."] == "short text."
