@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -47,7 +47,7 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?+[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+A-Za-z])\(?0?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,6}(?![0-9A-Za-z])")
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
@@ -86,28 +86,40 @@ def _phone(span: str) -> bool:
     return 10 <= len(_digits(span)) <= 15
 
 
-# Length of an account number by country.
+# Length of an account number by country, the whole registry.
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27,
-    "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
+_ACCOUNTS = {
+    n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())
+}
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    """Account numbers of their country's length whose check digits are right."""
-    for m in _IBAN.finditer(text):
-        left, end = IBAN_LENGTHS.get(m[0][:2], 0), m.start()
-        while left and end < m.end():
-            left -= text[end] != " "
-            end += 1
-        whole = end == m.end() or text[end] == " "
-        if not left and whole and end > m.start() and mod97(text[m.start() : end].replace(" ", "")):
-            yield m.start(), end
+    """Account numbers of their country's length whose check digits are right; after one the search goes on at its end, else at
+    the next character."""
+    start = _IBAN.search(text)
+    while start:
+        at = start.start() + 1
+        length = IBAN_LENGTHS.get(start[0][:2])
+        whole = length and _ACCOUNTS[length].match(text, start.start())
+        if whole and mod97(whole[0].replace(" ", "")):
+            yield whole.span()
+            at = whole.end()
+        start = _IBAN.search(text, at)
 
 
 @dataclass(frozen=True)
 class Kind:
-    """``score`` before context; ``context`` raises it by ``lift``; ``always`` keeps every valid span."""
+    """``score`` before context; ``context`` raises it by ``lift``; ``always`` keeps every valid span;
+    ``proven`` spans have a checksum."""
 
     name: str
     find: Callable[[str], Iterator[tuple[int, int]]]
@@ -115,6 +127,7 @@ class Kind:
     context: str = ""
     lift: float = 0.35
     always: bool = True
+    proven: bool = False
 
 
 # Context words in the languages of the texts.
@@ -123,7 +136,7 @@ KINDS = (
     Kind("ip", _matches(_IP, _ip), 0.7, "ip|host|server|address|adresse"),
     Kind("card", _matches(_CARD, _card), 0.8, "card|credit|visa|karte|tarjeta|carte"),
     Kind("phone", _matches(_PHONE, _phone), 0.8, "phone|tel|call|mobile|telefon|fax|llamar"),
-    Kind("iban", ibans, 0.7, "iban|account|bank|konto|cuenta|compte", always=False),
+    Kind("iban", ibans, 0.7, "iban|account|bank|konto|cuenta|compte", always=False, proven=True),
     Kind("local_phone", _matches(_LOCAL_PHONE, lambda s: 9 <= len(_digits(s)) <= 12), 0.3,
          "phone|tel|call|mobile|telefon|fax|llamar", always=False),
 )
@@ -135,8 +148,8 @@ WINDOW = 40
 def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, int, float]]:
     """Spans ``(start, number of kind, end, score)`` in code points, end exclusive, by start, then kind.
 
-    The base kinds keep every valid match. An added span is dropped if a base span overlaps it or its score stays below
-    ``threshold``. A null text is empty.
+    The base kinds keep every valid match. An added span is dropped if its score stays below ``threshold``, or if it
+    has no checksum and a base span holds it whole. A null text is empty.
     """
     if not text:
         return []
@@ -151,11 +164,11 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int
     base = sorted((s, e) for s, k, e, _ in found if k < BASE)
     starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
 
-    def clashes(start: int, end: int) -> bool:
-        before = bisect_left(starts, end)
-        return before > 0 and reach[before - 1] > start
+    def held(start: int, end: int) -> bool:
+        before = bisect_right(starts, start)
+        return before > 0 and reach[before - 1] >= end
 
-    return sorted(x for x in found if x[1] < BASE or not clashes(x[0], x[2]))
+    return sorted(x for x in found if KINDS[x[1]].proven or x[1] < BASE or not held(x[0], x[2]))
 
 
 class _Scan:
@@ -197,10 +210,10 @@ def find_personal_data(documents: DataFrame, threshold: float = THRESHOLD) -> Da
 
 
 def masked(text: str | None, threshold: float = THRESHOLD) -> str:
-    """The text with every span replaced by its kind in angle brackets; of overlapping spans the first one."""
+    """The text with every span replaced by its kind in angle brackets; overlapping spans are replaced as one, by the first kind."""
     out, at, text = [], 0, text or ""
     for start, number, end, _ in find_spans(text, threshold):
         if start >= at:
             out += [text[at:start], f"<{KINDS[number].name}>"]
-            at = end
+        at = max(at, end)
     return "".join([*out, text[at:]])

@@ -72,3 +72,37 @@ def test_rows(spark):
     assert rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert rows[2].base_sha256 == hashlib.sha256(b"email:7:13").hexdigest()
     assert find_personal_data(frame.limit(0)).count() == 0
+
+
+def number(country, account):
+    """An account number with right check digits."""
+    return next(n for c in range(2, 99) if mod97(n := f"{country}{c:02}{account}"))
+
+
+def test_account_numbers_side_by_side():
+    one, two = "DE89 3704 0044 0532 0130 00", "DE75 5121 0800 1245 1261 99"
+    for text, wanted in (
+        (f"{one} {two}", [one, two]), (f"ID00 {one}", [one]), (f"ID00 {one.replace(' ', '')}", [one.replace(" ", "")]),
+        (f"{one} AND MORE", [one]), (f"DE88{one[4:]} {two}", [two]), (f"{one.replace(' ', '')} {two}", [one.replace(" ", ""), two]),
+    ):
+        assert [text[s:e] for s, k, e, _ in find_spans(text) if KINDS[k].name == "iban"] == wanted
+    began = time.time()
+    find_spans("DE89 " * 60_000)
+    assert time.time() - began < 20
+
+
+def test_account_numbers_of_other_countries():
+    for country, account in (("GR", "01101250000000012300695"), ("CZ", "08000000192000145399"), ("RO", "AAAA1B31007593840000")):
+        assert names(f"x {number(country, account)} y").count("iban") == 1
+
+
+def test_account_numbers_beside_base_spans():
+    cards = 0
+    for i in range(300):
+        n = number("FI", f"{i:014}")  # its digits form a card number by chance
+        for text in (f"x {n} y", f"x {n} 4845 1681 1440 7329"):
+            assert "iban" in names(text)
+            cards += "card" in names(f"x {n} y")
+        assert masked(f"x {n} y") == "x <iban> y"
+    assert cards
+    assert "local_phone" not in names("call 1.2.3.4 or +49 171 234 5678")
