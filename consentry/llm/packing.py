@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +39,23 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[Pack]:
     """Patterns that hold every length as often as the histogram says, none longer than ``size``."""
     open_packs: dict[int, list[Pack]] = defaultdict(list)  # by room
     for length in sorted((n for n, c in histogram.items() if c > 0 and n > 0), reverse=True):
-        left, placed = histogram[length], []
-        for room in sorted((r for r, p in open_packs.items() if p and r >= length), reverse=True):
-            while left and open_packs[room]:
-                pack = open_packs[room].pop()
-                count = min(left, pack.count)
-                if pack.count > count:
-                    open_packs[room].append(Pack(pack.count - count, pack.lengths))
-                placed.append(Pack(count, (*pack.lengths, length)))
-                left -= count
-            if not left:
-                break
-        for pack in placed:
-            open_packs[size - sum(pack.lengths)].append(pack)
+        left = histogram[length]
+        # Packs that took the length are open again at once, for more of it.
+        rooms = [-r for r, p in open_packs.items() if p and r >= length]
+        heapify(rooms)
+        while left and rooms:
+            room = -rooms[0]
+            if not open_packs[room]:
+                heappop(rooms)
+                continue
+            pack = open_packs[room].pop()
+            count = min(left, pack.count)
+            if pack.count > count:
+                open_packs[room].append(Pack(pack.count - count, pack.lengths))
+            if room - length >= length and not open_packs[room - length]:
+                heappush(rooms, length - room)
+            open_packs[room - length].append(Pack(count, (*pack.lengths, length)))
+            left -= count
         fresh = size // length
         whole, rest = divmod(left, fresh)
         if whole:

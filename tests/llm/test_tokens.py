@@ -170,3 +170,9 @@ def test_packing(spark):
     number = max(by_sequence)
     assert np.frombuffer(joined[number], "<u4").tolist() == [x for _, ids in sorted(by_sequence[number]) for x in ids]
     assert packing.pack(frame.limit(0), BYTE, end=0).count() == 0
+
+
+def test_open_packs_take_a_length_again():
+    packs = packing.shortest_pack_first({600: 50, 100: 150}, 1024)
+    assert sum(p.count for p in packs) == 50
+    assert sum(p.count * p.lengths.count(100) for p in packs) == 150 and all(sum(p.lengths) <= 1024 for p in packs)
