@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.llm import chat, decontam, jaccard, linededup, packing, pii, tokencounts, tokenfiles, topk, toxicity
+from consentry.llm import chat, decontam, jaccard, linededup, packing, pii, repair, tokencounts, tokenfiles, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,85 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query(
+    "op11_conversation_repair",
+    r"""
+    WITH RECURSIVE
+    polynomial AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    filled AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+    hashed AS (
+      SELECT f.*, xor(list_reduce([4294967295] || list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+             lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1])), 4294967295) % 20 AS kind FROM filled f, polynomial),
+    damaged AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+      FROM hashed WHERE kind <> 0),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS place FROM damaged),
+    flagged AS (
+      SELECT *, left(role, 1) AS initial, left(lag(role) OVER c, 1) AS before,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+                  WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated'
+                  ELSE '' END AS fault
+      FROM placed WINDOW c AS (PARTITION BY conv_id ORDER BY place)),
+    facts AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM flagged GROUP BY conv_id),
+    steps AS (
+      SELECT conv_id, CAST(0 AS BIGINT) AS place, {'c': CAST(0 AS BIGINT), 'a': ''} AS s0, {'c': CAST(999999999 AS BIGINT), 'a': ''} AS s1,
+             {'c': CAST(999999999 AS BIGINT), 'a': ''} AS s2, {'c': CAST(999999999 AS BIGINT), 'a': ''} AS s3 FROM facts
+      UNION ALL
+      SELECT conv_id, place, {'c': s0.c + 4, 'a': s0.a || 'D'},
+             list_sort([{'c': s1.c + 4, 'a': s1.a || 'D'}, {'c': s0.c + t + k_s, 'a': s0.a || 'K'}])[1],
+             list_sort([{'c': s2.c + 4, 'a': s2.a || 'D'}]
+                       || list_transform(to_u, lambda b: {'c': b.c + t + k_u, 'a': b.a || 'K'})
+                       || list_transform(to_u, lambda b: {'c': b.c + t + 3, 'a': b.a || 'R'}))[1],
+             list_sort([{'c': s3.c + 4, 'a': s3.a || 'D'}]
+                       || list_transform(to_a, lambda b: {'c': b.c + t + k_a, 'a': b.a || 'K'})
+                       || list_transform(to_a, lambda b: {'c': b.c + t + 3, 'a': b.a || 'R'}))[1]
+      FROM (
+        SELECT s.conv_id, f.place, s0, s1, s2, s3,
+               CASE WHEN fault = '' THEN 0 WHEN fault = 'truncated' THEN 3 ELSE 999999999 END AS t,
+               CASE WHEN initial = 's' THEN 0 ELSE 999999999 END AS k_s, CASE WHEN initial = 'u' THEN 0 ELSE 999999999 END AS k_u,
+               CASE WHEN initial = 'a' THEN 0 ELSE 999999999 END AS k_a,
+               [s0, s1, s3, {'c': s2.c + 3, 'a': s2.a || 'I'}, {'c': s0.c + 6, 'a': s0.a || 'II'}, {'c': s1.c + 6, 'a': s1.a || 'II'},
+                {'c': s3.c + 6, 'a': s3.a || 'II'}] AS to_u,
+               [s2, {'c': s0.c + 3, 'a': s0.a || 'I'}, {'c': s1.c + 3, 'a': s1.a || 'I'}, {'c': s3.c + 3, 'a': s3.a || 'I'},
+                {'c': s2.c + 6, 'a': s2.a || 'II'}] AS to_a
+        FROM steps s JOIN flagged f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.place = s.place + 1)),
+    best AS (
+      SELECT s.conv_id, list_sort([s0, s3, {'c': s2.c + 3, 'a': s2.a || 'I'}, {'c': s1.c + 6, 'a': s1.a || 'II'}])[1] AS b
+      FROM steps s JOIN facts f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.place = f.n),
+    letters AS (
+      SELECT conv_id, unnest(string_split(b.a, '')) AS letter, unnest(range(1, length(b.a) + 1)) AS nth FROM best WHERE b.a <> ''),
+    spoken AS (
+      SELECT *, 1 + count(*) FILTER (letter <> 'I') OVER earlier AS place, count(*) FILTER (letter <> 'D') OVER earlier AS said
+      FROM letters WINDOW earlier AS (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    joined AS (
+      SELECT p.*, f.role, f.text, max(CASE WHEN said = 0 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS system
+      FROM spoken p LEFT JOIN flagged f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.place = f.place WHERE letter <> 'D'),
+    lines AS (
+      SELECT conv_id, nth, CASE WHEN letter = 'K' THEN role WHEN (said + system) % 2 = 0 THEN 'user' ELSE 'assistant' END
+                           || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END AS line FROM joined),
+    digests AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY nth)) AS d FROM lines GROUP BY conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost,
+           coalesce(b.a, '') AS audit, coalesce(d, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c
+    LEFT JOIN facts f ON c.conv_id IS NOT DISTINCT FROM f.conv_id
+    LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id
+    LEFT JOIN digests g ON c.conv_id IS NOT DISTINCT FROM g.conv_id""",
+)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair_report(conversations, repair.decide(repair.damage(conversations), F.col("copies")))
