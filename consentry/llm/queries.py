@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.llm import chat, decontam, jaccard, linededup, packing, pii, repair, tokencounts, tokenfiles, topk, toxicity
+from consentry.llm import (
+    chat, decontam, jaccard, lexical, linededup, packing, pii, repair, tokencounts, tokenfiles, topk, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -266,3 +268,27 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair.repair_report(conversations, repair.decide(repair.damage(conversations), F.col("copies")))
+
+
+@query(
+    "op13_ranked_search",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS} AS ws FROM documents),
+    i AS (SELECT row_number() OVER () AS iid, item_id, list_distinct({SQL_WORDS}) AS ws FROM benchmark),
+    sizes AS (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n FROM d WHERE len(ws) > 0),
+    total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM sizes),
+    tfs AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) GROUP BY 1, 2),
+    weights AS (
+      SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM tfs, total GROUP BY term, nd),
+    asked AS (SELECT iid, item_id, unnest(ws) AS term FROM i),
+    scored AS (
+      SELECT iid, item_id, rid, doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // nt)))) AS BIGINT) AS score
+      FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (rid), total GROUP BY ALL),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored WHERE score > 0)
+    SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 50""",
+)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
