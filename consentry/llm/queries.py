@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consentry.llm import (
-    chat, decontam, jaccard, lexical, linededup, packing, pii, repair, tokencounts, tokenfiles, topk, toxicity,
+    chat, decontam, jaccard, langid, lexical, linededup, packing, pii, repair, tokencounts, tokenfiles, topk, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,6 +270,15 @@ def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(conversations, repair.decide(repair.damage(conversations), F.col("copies")))
 
 
+@query("op12_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    doc_id = F.col("row.doc_id")
+    return langid.identify(documents, langid.train(documents)).select(
+        doc_id.alias("doc_id"), langid.held_out(doc_id).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 @query(
     "op13_ranked_search",
     rf"""
