@@ -13,17 +13,23 @@ from pyspark.sql import functions as F
 
 from consentry.session import durable
 
-#: Queries that are broadcast at once; more queries take more scans.
-QUERY_BLOCK = 65_536
+#: Rows and bytes of queries that are broadcast at once; more queries take more scans.
+QUERY_BLOCK, QUERY_BYTES = 65_536, 64_000_000
 TILE_QUERIES, TILE_ROWS = 1024, 4096
 FAN_IN = 16
 
 
 def quantised(vector: Column) -> Column:
-    """floor(1024 * x) of each component, x taken as double; null if a component is null, not finite or beyond a long."""
-    wide = F.transform(vector, lambda x: x.cast("double") * F.lit(1024.0))
-    good = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**62)))
-    return F.when(vector.isNotNull() & good, F.transform(wide, lambda x: F.floor(x).cast("long")))
+    """floor(1024 * x) of each component as a double, which holds it exactly; null if a component is null or not finite.
+
+    A product beyond a double's range counts as its largest number.
+    """
+    most = F.lit(1.7976931348623157e308)
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= most))
+    wide = lambda x: F.greatest(F.least(x.cast("double") * F.lit(1024.0), most), -most)
+    # Beyond 2**53 every double is whole already, and floor would leave a long.
+    whole = lambda x: F.when(F.abs(wide(x)) < 2.0**53, F.floor(wide(x)).cast("double")).otherwise(wide(x))
+    return F.when(vector.isNotNull() & good, F.transform(vector, whole))
 
 
 def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -44,8 +50,9 @@ def _product(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     if bound < 2**53:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
     if bound < 2**62:
-        return queries @ rows.T
-    whole = queries.astype(object) @ rows.astype(object).T
+        return queries.astype(np.int64) @ rows.astype(np.int64).T
+    exact = [np.array([int(x) for x in m.ravel()], dtype=object).reshape(m.shape) for m in (queries, rows)]
+    whole = exact[0] @ exact[1].T
     return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64) if whole.size else np.zeros(whole.shape, np.int64)
 
 
@@ -137,31 +144,33 @@ def exact_top_k(
 ) -> DataFrame:
     """The ``k`` rows of highest integer inner product for each row that ``is_query`` names; ties go to the smaller id.
 
-    Columns ``query_id``, ``rank`` from 1, ``vec_id``, ``score``. Components become floor(1024 * x). Vectors that are null
-    or empty, hold null or non-finite components or numbers beyond 2**52, and rows without an id take no part, as query or
-    candidate. A query meets only vectors of its own length, and no row of its own id. Rows that repeat an id are candidates
+    Columns ``query_id``, ``rank`` from 1, ``vec_id``, ``score``. Components become floor(1024 * x), of any size. Vectors that
+    are null or hold null or non-finite components, and rows without an id, take no part, as query or candidate. Empty vectors
+    meet each other with score 0. A query meets only vectors of its own length, and no row of its own id. Rows that repeat an id are candidates
     of their own; as a query such an id counts once, with its smallest vector. Fewer candidates than ``k`` give fewer rows; an empty table gives none. Scores beyond a long are held at
     its ends. Other columns are ignored.
 
-    Queries go out in blocks of at most about ``query_block`` rows; each block is one scan of the table.
+    Queries go out in blocks of about ``query_block`` rows and QUERY_BYTES at most. Each block is one scan of the table, written and
+    released before the next one, so that the driver holds one.
     """
     spark = vectors.sparkSession
     rows = vectors.select(
         F.col(id_column).cast("long").alias("id"), quantised(F.col(vector_column)).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("is_query"),
-    ).where(F.col("id").isNotNull() & (F.size("vector") > 0))
+    ).where(F.col("id").isNotNull() & F.col("vector").isNotNull())
     candidates = rows.select("id", "vector")
     queries = durable(rows.where("is_query").groupBy("id").agg(F.min("vector").alias("vector")), "queries")
-    total = queries.count()
-    blocks = max(1, math.ceil(total / query_block))
+    total, bytes_ = queries.agg(F.count("*"), F.coalesce(F.sum(8 * (F.size("vector") + 1)), F.lit(0))).first()
+    blocks = max(1, math.ceil(total / query_block), math.ceil(bytes_ / QUERY_BYTES))
     out = None
     for number in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow().combine_chunks()
         sizes = []
         for at, matrix in _matrix(own.column("vector")) if len(own) else []:
             sizes.append((own.column("id").to_numpy()[at], matrix))
-        search = _Search(spark.sparkContext.broadcast(sizes), k)
-        found = candidates.mapInArrow(search, "query_id long, vec_id long, score long, part long")
-        found = _merged(found, candidates.rdd.getNumPartitions(), k)
+        sent = spark.sparkContext.broadcast(sizes)
+        found = candidates.mapInArrow(_Search(sent, k), "query_id long, vec_id long, score long, part long")
+        found = _merged(durable(found, "found"), candidates.rdd.getNumPartitions(), k)
+        sent.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
