@@ -7,11 +7,13 @@ and four moves from tag to tag. Forward-backward gives the marginal probability
 logistic function of its marginals, and words above one half are its offending spans.
 
 Only texts are inputs of a score. Training reads at most SAMPLE labelled documents, those with the smallest hashes of their
-ids. The chain is trained on all their stretches; LEXICON bounds the words and CHAINS the stretches that the driver holds.
+ids. The chain is trained on all their stretches, equal ones counted; CHAINS bounds those that the driver holds. Every word that passes
+the tests is in the lexicon.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from consentry.llm.words import Words, slices
 from consentry.session import durable, spread
 
-#: Bounds of training: labelled documents, words of the lexicon; above CHAINS different stretches of CHAIN words, tasks sum them.
-SAMPLE, LEXICON, CHAINS, CHAIN = 20_000, 500, 6_000, 32
+#: Bound of training: labelled documents; above CHAINS different stretches of CHAIN words, tasks sum them.
+SAMPLE, CHAINS, CHAIN = 20_000, 6_000, 32
 #: A lexicon word is this many times likelier in toxic than in clean documents, by this many standard deviations of chance.
 RATIO, DEVIATIONS = 3.0, 5.0
 ROUNDS, RATE, DECAY = 60, 4.0, 1e-4
@@ -213,27 +215,28 @@ class _WordCounts:
 
 
 class _Chains:
-    """Stretches of CHAIN words with a lexicon word, and one other stretch of each document: numbers and label."""
+    """All stretches of CHAIN words: the numbers of the words, the label, and how often a batch holds the stretch. Stretches without a word
+    of the lexicon differ by their length alone."""
 
     def __init__(self, model: Model):
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy()
-            numbers, labels = [], []
+            toxic, found = batch.column("toxic").to_numpy(), Counter()
             for i, j in slices(batch.column("text")):
                 words = Words(batch.column("text")[i:j])
                 number = self.model.numbers(words.hash)
                 for t in range(j - i):
                     own = number[words.first[t] : words.first[t + 1]]
-                    cuts = [own[c : c + CHAIN] for c in range(0, len(own), CHAIN)]
-                    plain = [c for c in cuts if not c.any()][:1]
-                    for cut in [c for c in cuts if c.any()] + plain:
-                        numbers.append(cut.tolist())
-                        labels.append(int(toxic[i + t]))
+                    for c in range(0, len(own), CHAIN):
+                        cut = own[c : c + CHAIN]
+                        found[tuple(cut.tolist()), int(toxic[i + t]) if cut.any() else 0] += 1
             yield pa.record_batch(
-                {"numbers": pa.array(numbers, pa.list_(pa.int64())), "toxic": pa.array(labels, pa.int32())}
+                {
+                    "numbers": pa.array([list(n) for n, _ in found], pa.list_(pa.int64())),
+                    "toxic": pa.array([t for _, t in found], pa.int32()), "copies": pa.array(list(found.values()), pa.int64()),
+                }
             )
 
 
@@ -254,14 +257,20 @@ class _Features:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``text, toxic`` of at most ``sample`` labelled documents that are not held out; a document with several labels is toxic
-    if any of them says so."""
+    """``text, toxic`` of at most ``sample`` labelled rows that are not held out; a document with several labels is toxic
+    if any of them says so. Where an id stands at so many rows that there are more, each text of an id counts once, and those with the
+    smallest hashes are taken. Null texts have no words; an empty table gives no row."""
     ids = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.where(F.col("l_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("l_id")))
     ids = ids.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("text", "toxic")
+    rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"))  # at most ``sample`` ids
+    rows = durable(rows.select("text", "toxic", F.xxhash64("l_id", "text").alias("mark")), "labelled")
+    if rows.count() > sample:
+        border = rows.select("mark").distinct().orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]
+        rows = rows.where(F.col("mark") <= border).dropDuplicates(["mark"])
+    return rows.drop("mark")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -270,7 +279,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled documents; without toxic ones the score is their share, next to 0, for every text."""
+    """A model from the labelled documents; without toxic ones the score is their share, next to 0, for every text.
+
+    Labels without id or mark and held-out ones don't count; null and empty texts have no words; long texts are read in parts.
+    """
     rows = durable(training_rows(documents, labels), "training")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     share = total.bad / max(total.n, 1)
@@ -284,7 +296,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     among_clean = (F.col("n") - F.col("bad") + 0.5) / (total.n - total.bad + 1)
     lexicon = (
         counts.where((among_toxic >= RATIO * among_clean) & (excess >= DEVIATIONS) & (F.col("bad") >= 3))
-        .orderBy(excess.desc(), "word").limit(LEXICON).select("word").toPandas()["word"]
+        .select("word").toPandas()["word"]
     )
     words = np.sort(lexicon.to_numpy().astype(np.int64).astype(np.uint64))
     model = Model(words, np.zeros((3, len(words) + 1)), -4.0, np.zeros((2, 2)), np.zeros(4))
@@ -297,8 +309,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
 def _step_sums(rows: DataFrame, model: Model) -> Callable[[Model], np.ndarray]:
     """Gives the sums of a training step over all stretches; equal stretches are one with a count."""
-    chains = rows.mapInArrow(_Chains(model), "numbers array<long>, toxic int")
-    chains = chains.groupBy("numbers", "toxic").agg(F.count("*").alias("copies"))
+    chains = rows.mapInArrow(_Chains(model), "numbers array<long>, toxic int, copies long")
+    chains = chains.groupBy("numbers", "toxic").agg(F.sum("copies").alias("copies"))
     chains = durable(spread(chains), "chains")
     if chains.count() > CHAINS:
         # Tasks sum their stretches, the driver adds one row of each batch.
@@ -435,12 +447,15 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no marginals and get the score of that; repeated rows each give a row; an empty table none.
     Whole texts are read, in parts of bounded size; nothing is shuffled.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # words of at most SAMPLE rows
     whole = documents.select(F.struct("*").alias("row"))
     schema = whole.select("row").schema.add("score", "double").add("spans", "string")
     return whole.mapInArrow(_Score(sent), schema)
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with all their columns, whose score is below THRESHOLD."""
+    """The documents, with all their columns, whose score is below THRESHOLD.
+
+    Null and empty texts stay unless most labelled documents are toxic; repeated rows share their fate; no documents give none.
+    """
     return score_documents(documents, train(documents, labels)).where(F.col("score") < THRESHOLD).select("row.*")

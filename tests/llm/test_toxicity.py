@@ -122,3 +122,25 @@ def test_all_stretches_count(spark, monkeypatch):
     assert np.array_equal(held.words, spread.words)
     assert np.allclose(held.weights, spread.weights) and np.allclose(held.moves, spread.moves)
     assert np.allclose(held.final, spread.final)
+
+
+def test_the_fit_sees_every_word(spark):
+    """Counts of a training step: each word of each labelled text is used once, at its own place."""
+    docs, labels = corpus(4, 400)
+    docs = [(i, t + " abc def" * 200) for i, t, _ in docs] + [(2000, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(frame, marks)
+    model = toxicity.train(frame, marks)
+    size = len(model.words) + 1
+    counts = toxicity._step_sums(rows, model)(model)[:size]
+    texts = [r.text for r in rows.collect()]
+    assert counts.sum() == sum(len(t.replace(",", " ").split()) for t in texts) > 100_000
+    assert counts[0] > 100 * counts[1:].sum()
+
+
+def test_rows_of_one_labelled_id_are_bounded(spark):
+    frame = spark.createDataFrame([(1, f"text {n % 90}") for n in range(300)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(frame, marks, 50).count() == 50
+    assert toxicity.training_rows(frame, marks, 300).count() == 300
