@@ -33,8 +33,8 @@ GRAM, SAMPLE, EACH, LANDMARKS, SHORT, LONG = 4, 4_000, 1_000, 160, 200, 20_000
 RIDGE = 1e-4
 #: Of texts without letters.
 NONE = "und"
-#: Characters of a text that are worked on at once.
-PIECE = 1_000_000
+#: Characters that are worked on at once, and marks of (text, n-gram).
+PIECE, MARKS = 1_000_000, 32_000_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _BUCKET_BITS = 18
@@ -125,24 +125,27 @@ class Vocabulary:
     def present(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the n-grams that each text holds, ascending, and where each text starts in them (one entry more)."""
         width = max(len(self), 1)
-        keys = []
-        for group in _groups(texts):
-            own = [np.empty(0, np.int64)]
+        keys = [np.empty(0, np.int64)]
+        for group in _groups(texts, max(MARKS // width, 1)):
+            text = np.array([t for t, _ in group])
+            marked = np.zeros((text[-1] - text[0] + 1) * width, dtype=bool)
             for hashes, piece in grams([p for _, p in group]):
                 known, row = self.rows(hashes)
-                text = np.array([t for t, _ in group])[piece[known]]
-                own.append(np.unique(text * width + row))
-            keys.append(np.concatenate(own))
-        every = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+                marked[(text[piece[known]] - text[0]) * width + row] = True
+            keys.append(np.flatnonzero(marked) + text[0] * width)
+        every = np.concatenate(keys)
+        if (every[1:] <= every[:-1]).any():  # a text in several groups
+            every.sort()
+            every = every[np.concatenate([[True], every[1:] != every[:-1]])]
         return every % width, np.searchsorted(every, np.arange(len(texts) + 1) * width)
 
 
-def _groups(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
-    """Pieces with the number of their text, about PIECE characters together."""
+def _groups(texts: list[str], most: int) -> Iterator[list[tuple[int, str]]]:
+    """Pieces with the number of their text, of about PIECE characters and ``most`` texts together."""
     group, size = [], 0
     for n, text in enumerate(texts):
         for piece in cut(text):
-            if group and size + len(piece) > PIECE:
+            if group and (size + len(piece) > PIECE or n - group[0][0] >= most):
                 yield group
                 group, size = [], 0
             group.append((n, piece))
