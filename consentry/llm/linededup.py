@@ -6,7 +6,7 @@ copies are cut alike wherever their sentences begin and whatever marks they have
 line's first one, belongs to the line. A window is the shortest run of lines from a line on, or up to a line, that has at least
 ``min_words`` words. Each window selects its smallest line hash as fingerprint, so two equal runs of that size always share
 one. Positions with a shared fingerprint are joined and extended both ways to all the windows around them that selected
-it; a window that equals one at an earlier position (by document id, hash of the text, then line) is a later repeat, and its lines go.
+it; a window that equals one, by 128 bits of hash, at an earlier position (by document id, hash of the text, then line) is a later repeat, and its lines go.
 
 Which lines go is thereby exact: a line goes if and only if it lies in a run of whole lines of one document, of at least
 ``min_words`` words, that also occurs earlier. The first occurrence of a line always stays.
@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from consentry.llm.words import Words, _powers, mix, slices
-from consentry.session import durable
+from consentry.session import durable, release
 
 #: Words of a run that counts as repeated.
 MIN_WORDS = 25
@@ -32,6 +33,7 @@ EDGE = 5
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _BACK = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 2**64))
+_MORE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _run_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -94,7 +96,8 @@ class Lines:
         back = (total[1:] >= least) & (start >= low)
         a = np.concatenate([each[ahead], start[back]])
         b = np.concatenate([stop[ahead], each[back] + 1])
-        pairs = np.unique(a * (n + 1) + b)
+        pairs = np.sort(a * (n + 1) + b)
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]]
         return pairs // (n + 1), pairs % (n + 1)
 
     def fingerprints(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,7 +133,9 @@ class _Fingerprints:
             found = []
             for i, j in slices(batch.column("text")):
                 lines = Lines(batch.column("text")[i:j])
-                found.append(lines.hash[np.unique(lines.fingerprints(*lines.windows(self.least)))])
+                chosen = np.zeros(len(lines.hash), dtype=bool)
+                chosen[lines.fingerprints(*lines.windows(self.least))] = True
+                found.append(lines.hash[chosen])
             values, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
             yield pa.record_batch(
                 {"print": pa.array(values.astype(np.int64)), "n": pa.array(np.minimum(n, 2).astype(np.int64))}
@@ -138,9 +143,11 @@ class _Fingerprints:
 
 
 class _Positions:
-    """Each fingerprint's position with the windows that selected it: hash, lines before it, lines in all."""
+    """Each fingerprint's position with the windows that selected it: 128 bits of hash, lines before it, lines in all."""
 
-    SCHEMA = "print long, doc_id long, mark long, line int, windows array<struct<hash:bigint,before:int,size:int>>"
+    SCHEMA = (
+        "print long, doc_id long, mark long, line int, windows array<struct<hash:bigint,more:bigint,before:int,size:int>>"
+    )
 
     def __init__(self, least: int):
         self.least = least
@@ -159,9 +166,10 @@ class _Positions:
                 windows = pa.StructArray.from_arrays(
                     [
                         pa.array(_run_hash(lines.hash, a, b).astype(np.int64)),
+                        pa.array(_run_hash(lines.hash * _MORE, a, b).astype(np.int64)),
                         pa.array((at - a).astype(np.int32)), pa.array((b - a).astype(np.int32)),
                     ],
-                    ["hash", "before", "size"],
+                    ["hash", "more", "before", "size"],
                 )
                 bounds = pa.array(np.append(begin, len(at)).astype(np.int32))
                 yield pa.record_batch(
@@ -176,26 +184,31 @@ class _Positions:
 
 
 def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, mark, start, stop``: windows of lines that equal a window at an earlier position; rows without an id hold none.
+    """``doc_id, mark, start, stop``, written down: windows of lines that equal a window at an earlier position; rows without an id hold none.
 
     ``mark`` is a hash of the text: an id may stand at several texts, whose lines have nothing to do with each other.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     rows = rows.where("doc_id IS NOT NULL")
     prints = rows.select("text").mapInArrow(_Fingerprints(min_words), "print long, n long")
-    shared = prints.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print")
+    # Written down, so that both joins are of plain sides and Spark splits a print or window that a third of the rows share.
+    shared = durable(prints.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print"), "shared")
     positions = rows.mapInArrow(_Positions(min_words), _Positions.SCHEMA)
     near = positions.join(shared, "print", "left_semi")
     windows = near.select("doc_id", "mark", "line", F.explode("windows").alias("w")).select(
-        F.col("w.hash").alias("hash"), "doc_id", "mark", (F.col("line") - F.col("w.before")).alias("start"),
-        F.col("w.size").alias("size"),
+        F.col("w.hash").alias("hash"), F.col("w.more").alias("more"), "doc_id", "mark",
+        (F.col("line") - F.col("w.before")).alias("start"), F.col("w.size").alias("size"),
     )
     windows = durable(windows, "windows")
+    release(shared)
     place = F.struct("doc_id", "mark", "start")
     earliest = F.min(place).alias("earliest")
-    first = windows.groupBy("hash").agg(F.count("*").alias("n"), earliest).where("n > 1").drop("n")
-    later = windows.join(first, "hash").where(place > F.col("earliest"))
-    return later.select("doc_id", "mark", "start", (F.col("start") + F.col("size")).alias("stop"))
+    first = durable(windows.groupBy("hash", "more").agg(F.count("*").alias("n"), earliest).where("n > 1").drop("n"), "first")
+    later = windows.join(first, ["hash", "more"]).where(place > F.col("earliest"))
+    runs = durable(later.select("doc_id", "mark", "start", (F.col("start") + F.col("size")).alias("stop")), "runs")
+    release(windows)
+    release(first)
+    return runs
 
 
 class _Cut:
@@ -203,21 +216,23 @@ class _Cut:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("row").field("text")
             if not batch.num_rows:
                 continue
-            ranges = batch.column("ranges").to_pylist()
-            out, gone, counts = texts.to_pylist(), [[] for _ in range(batch.num_rows)], [0] * batch.num_rows
-            for i, j in slices(texts):
-                some = [k for k in range(i, j) if ranges[k]]
-                if not some:
-                    continue
-                lines = Lines(texts[i:j])
-                for k in some:
-                    out[k], gone[k], counts[k] = self._one(lines, k - i, ranges[k])
+            texts, ranges = batch.column("row").field("text"), batch.column("ranges")
+            hit = np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False))
+            left, gone, counts = [], [[] for _ in range(batch.num_rows)], np.zeros(batch.num_rows, dtype=np.int64)
+            some, cuts = texts.take(pa.array(hit)), ranges.take(pa.array(hit)).to_pylist()
+            for i, j in slices(some):
+                lines = Lines(some[i:j])
+                for k in range(i, j):
+                    kept, gone[hit[k]], counts[hit[k]] = self._one(lines, k - i, cuts[k])
+                    left.append(kept)
+            mask = np.zeros(batch.num_rows, dtype=bool)
+            mask[hit] = True
+            out = pc.replace_with_mask(texts, pa.array(mask), pa.array(left, texts.type)) if left else texts
             yield pa.record_batch(
                 {
-                    "row": batch.column("row"), "text": pa.array(out, pa.string()),
+                    "row": batch.column("row"), "text": out.cast(pa.string()),
                     "deleted": pa.array(gone, pa.list_(pa.int64())), "n_deleted": pa.array(counts, pa.int64()),
                 }
             )
@@ -256,7 +271,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Shuffled are fingerprints, the windows around shared ones, and the documents once, to their deletions.
     """
-    runs = durable(repeated_runs(documents, min_words), "runs")
+    runs = repeated_runs(documents, min_words)
     ranges = runs.groupBy(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark")).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     whole = documents.select(F.struct("*").alias("row"))
     own = (F.col("row.doc_id").cast("long") == F.col("r_id")) & (F.xxhash64("row.text") == F.col("r_mark"))

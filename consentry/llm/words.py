@@ -51,6 +51,12 @@ def _power_at(small: np.ndarray, positions: np.ndarray, base: np.uint64) -> np.n
     return small[positions & 0xFFFF] * high[positions >> 16]
 
 
+def _powers_up(n: int) -> np.ndarray:
+    """_BASE to the powers 0 to n - 1, as products of two digits of 16 bits."""
+    high = _powers(np.uint64(pow(int(_BASE), 1 << 16, 2**64)), (n >> 16) + 1)
+    return (high[:, None] * _UP[None, : min(n, 1 << 16)]).ravel()[:n]
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, and where each text starts in them (one entry more than texts)."""
     if isinstance(texts, pa.ChunkedArray):
@@ -81,7 +87,7 @@ def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int,
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Hashes of the byte ranges ``start`` to ``end``; ``table`` has a random value for each byte."""
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(table[raw] * _power_at(_UP, np.arange(len(raw)), _BASE), out=sums[1:])
+    np.cumsum(table[raw] * _powers_up(len(raw)), out=sums[1:])
     total = (sums[end] - sums[start]) * _power_at(_DOWN, start, _INVERSE)
     return mix(total + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -98,10 +104,12 @@ class Words:
         # A text border inside a run of word bytes ends one word and starts the next.
         border = self.at[1:-1]
         joined = border[inside[border] & inside[border + 1]] if len(border) else border
-        joined = np.unique(joined)
         marks = np.flatnonzero(edge)
-        self.start = np.sort(np.concatenate([marks[::2], joined]))
-        self.end = np.sort(np.concatenate([marks[1::2], joined]))
+        self.start, self.end = marks[::2], marks[1::2]
+        if len(joined):
+            joined = np.unique(joined)
+            self.start = np.sort(np.concatenate([self.start, joined]))
+            self.end = np.sort(np.concatenate([self.end, joined]))
         self.first = np.searchsorted(self.start, self.at)
         self.hash = span_hashes(self.raw, self.start, self.end, _BYTE_VALUE)
 

@@ -2,23 +2,40 @@
 
 import random
 import re
+from functools import cache
+
+import pyarrow as pa
 
 from consentry.llm.linededup import dedup_lines, without_repeats
-from consentry.llm.words import WORD
+from consentry.llm.words import WORD, Words
 
 CAPITALS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@cache
+def value(word):
+    return int(Words(pa.array([word])).hash[0])
+
+
 def split(text):
-    """Lines as (words, start, end): a new one at a word after a newline or a sentence end."""
+    """Lines as (words, start, end): a new one at a word after a newline or a sentence end, and inside a long sentence at a
+    word with a smaller hash than the two words on each side, five words or more from the sentence's ends."""
     text = text or ""
-    lines, last = [], 0
+    sentences, last = [], 0
     for m in re.finditer(WORD, text.translate(CAPITALS)):
         gap = text[last : m.start()]
-        if not lines or "\n" in gap or re.search(r"[.!?](?=[ \n\t\r])", gap):
-            lines.append([[], m.start()])
-        lines[-1][0].append(m[0])
+        if not sentences or "\n" in gap or re.search(r"[.!?](?=[ \n\t\r])", gap):
+            sentences.append([])
+        sentences[-1].append((m[0], m.start()))
         last = m.end()
+    lines = []
+    for sentence in sentences:
+        own = [value(w) for w, _ in sentence]
+        for k, (word, start) in enumerate(sentence):
+            inside = 5 <= k <= len(own) - 5
+            if k == 0 or inside and all(own[k] < own[k + d] for d in (-2, -1, 1, 2)):
+                lines.append([[], start])
+            lines[-1][0].append(word)
     starts = [0, *[s for _, s in lines[1:]], len(text)]
     return [(tuple(w), starts[i], starts[i + 1]) for i, (w, _) in enumerate(lines)]
 
@@ -41,7 +58,7 @@ def brute(docs, least):
 def corpus(seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 5)))
-    line = lambda: " ".join(word() for _ in range(r.randint(1, 9)))
+    line = lambda: " ".join(word() for _ in range(r.choice([1, 3, 6, 9, r.randint(10, 60)])))
     shared = [line() for _ in range(12)]
     docs = []
     for d in range(60):
@@ -56,9 +73,10 @@ def corpus(seed):
 
 
 def test_matches_brute_force(spark):
-    for seed, least in ((1, 10), (2, 25), (3, 4)):
+    for seed, least in ((1, 10), (2, 25), (3, 4), (4, 25)):
         docs = corpus(seed)
         lines, gone = brute(docs, least)
+        assert sum(len(split(t)) > 1 + len(re.findall(r"[.!?\n]", t or "")) for _, t in docs) > 10  # soft ends
         frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
         rows = {r["row"]["doc_id"]: r for r in dedup_lines(frame, least).collect()}
         assert len(rows) == len(docs)
