@@ -17,9 +17,9 @@ HEADLINE = [
     "m3_hmac", "m4_mask_email", "m5_mask_iban", "m6_mask_phone",
     # governed reads and SQL
     "s1_governed_scan", "p5_filter_tree", "p12_composite_keys", "j1_enrichment", "j2_hierarchy",
-    "j3_correlated_exists", "j5_child_lists", "j6_governed_join", "q1_governed_cte",
+    "s5_file_index", "j3_correlated_exists", "j5_child_lists", "j6_governed_join", "q1_governed_cte",
     # consents and policies in bulk
-    "a1_column_levels", "g1_access_matrix", "j12_policy_decision", "a8_policy_replay",
+    "a1_column_levels", "g1_access_matrix", "j12_policy_decision", "a8_policy_replay", "p17_rules_with_literal_parts",
     # audit
     "k6_append_chain", "w1_verify_chain", "a6_disclosure_report", "a9_table_telemetry",
     # lineage and catalog

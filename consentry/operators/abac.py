@@ -62,22 +62,48 @@ def _is_wild(segment: Column) -> Column:
     return segment.contains("*") | segment.rlike(r"^:[a-z0-9_]+")
 
 
+# Up to so many literal characters of a wildcard segment are part of a key.
+LITERAL = 16
+
+
+def _literal(pattern: Column) -> Column:
+    """``n, at, kind, text`` of the longest literal start (``p``) or, without one, end (``s``) of a wildcard segment.
+
+    ``n`` is its length, 0 if no wildcard segment has a literal; ``-at`` is the segment's place, from 1.
+    """
+    body = F.regexp_replace(pattern, r"\.\*$", "")
+
+    def of(segment: Column, place: Column) -> Column:
+        start = F.left(F.regexp_extract(segment, r"^([^*:][^*]*)\*", 1), F.lit(LITERAL))
+        end = F.right(F.regexp_extract(segment, r"^[^:]*\*([^*]+)$", 1), F.lit(LITERAL))
+        text = F.when(start != "", start).otherwise(end)
+        kind = F.when(start != "", "p").otherwise("s")
+        return F.struct(F.length(text).alias("n"), (-place - 1).alias("at"), kind.alias("kind"), text.alias("text"))
+
+    return F.array_max(F.transform(_segments(body), of))
+
+
 def pattern_shape(pattern: Column) -> Column:
-    """Which segments are literal (L) or hold a wildcard (W); ``>`` marks a trailing ``.*``.
+    """Which segments are literal (L) or hold a wildcard (W); ``>`` marks a trailing ``.*``, and ``@2p5`` that the
+    first five characters of the wildcard segment 2 are literal (``s``: the last ones).
 
-    There are as many shapes as ways to write a pattern, a handful, however many rules.
+    There are as many shapes as ways to write a pattern, a few dozen, however many rules.
     """
     body = F.regexp_replace(pattern, r"\.\*$", "")
     letters = F.transform(_segments(body), lambda s: F.when(_is_wild(s), "W").otherwise("L"))
     tail = F.when(pattern.endswith(".*"), ">").otherwise("")
-    return F.when(pattern == "*", "any").otherwise(F.concat(F.array_join(letters, ""), tail))
+    held = _literal(pattern)
+    literal = F.when(held["n"] > 0, F.concat(F.lit("@"), -held["at"], held["kind"], held["n"])).otherwise("")
+    return F.when(pattern == "*", "any").otherwise(F.concat(F.array_join(letters, ""), tail, literal))
 
 
 def pattern_key(pattern: Column) -> Column:
-    """The pattern with its shape, every wildcard segment replaced by ``*``."""
+    """The pattern with its shape, every wildcard segment replaced by ``*``, and the literal its shape names."""
     body = F.regexp_replace(pattern, r"\.\*$", "")
     plain = F.transform(_segments(body), lambda s: F.when(_is_wild(s), "*").otherwise(s))
-    return F.concat_ws("|", pattern_shape(pattern), F.when(pattern != "*", F.array_join(plain, ".")))
+    held = _literal(pattern)
+    rest = F.when(pattern != "*", F.array_join(plain, "."))
+    return F.concat_ws("|", pattern_shape(pattern), rest, F.when((pattern != "*") & (held["n"] > 0), held["text"]))
 
 
 def pattern_needs_regex(pattern: Column) -> Column:
@@ -94,15 +120,22 @@ def object_keys(name: Column, shapes: Sequence[str]) -> Column:
         if shape == "any":
             keys.append(F.lit("any"))
             continue
-        letters = shape.rstrip(">")
+        form, _, literal = shape.partition("@")
+        letters = form.rstrip(">")
         body = [F.try_element_at(segments, F.lit(i + 1)) for i in range(len(letters))]
         used = F.concat_ws(".", *body)
-        if shape.endswith(">"):
+        if form.endswith(">"):
             fits = (F.size(segments) > len(letters)) & (F.length(name) > F.length(used) + 1)
         else:
             fits = F.size(segments) == len(letters)
         plain = [F.lit("*") if x == "W" else b for x, b in zip(letters, body)]
-        keys.append(F.when(fits, F.concat(F.lit(f"{shape}|"), F.concat_ws(".", *plain))))
+        parts = [F.lit(shape), F.concat_ws(".", *plain)]
+        if literal:
+            at, kind, n = re.fullmatch(r"(\d+)([ps])(\d+)", literal).groups()
+            segment = body[int(at) - 1]
+            fits = fits & (F.length(segment) >= int(n))
+            parts.append((F.left if kind == "p" else F.right)(segment, F.lit(int(n))))
+        keys.append(F.when(fits, F.concat_ws("|", *parts)))
     return F.array_compact(F.array(*keys))
 
 

@@ -350,6 +350,25 @@ def patterns(t: Frames):
     return matched.select("object", "obj")
 
 
+@query(
+    "p17_rules_with_literal_parts",
+    """WITH o AS (SELECT DISTINCT 'Sales.T' || l_partkey || 'x' || l_linenumber || '.v' || l_suppkey % 3 AS object FROM lineitem),
+            p AS (SELECT 'sales.t' || p_partkey || 'x*.v*' AS obj FROM part UNION SELECT 'sales.*' || p_partkey || 'x1.:v' FROM part)
+       SELECT obj, count(*) AS objects FROM o JOIN p ON lower(object) LIKE replace(replace(obj, '*', '%'), ':v', '%')
+       GROUP BY obj""",
+)
+def literal_parts(t: Frames):
+    # As many rules as parts, all with wildcards inside segments.
+    text = lambda c: F.col(c).cast("string")
+    name = F.concat(F.lit("Sales.T"), text("l_partkey"), F.lit("x"), text("l_linenumber"), F.lit(".v"), (F.col("l_suppkey") % 3).cast("string"))
+    requests = t.lineitem.select(name.alias("object")).distinct()
+    requests = requests.withColumn("actor", F.concat(F.lit("reader of "), "object"))
+    starts = t.part.select(F.concat(F.lit("sales.t"), text("p_partkey"), F.lit("x*.v*")).alias("obj"))
+    ends = t.part.select(F.concat(F.lit("sales.*"), text("p_partkey"), F.lit("x1.:v")).alias("obj"))
+    rules = starts.unionByName(ends).withColumn("sub", F.lit("*"))
+    return B.match_rules(requests, rules, t.grouping).groupBy("obj").agg(F.count("*").alias("objects"))
+
+
 @query(
     "j12_policy_decision",
     f"""WITH {MATCHED} SELECT actor_sid AS actor, tenant_id AS tenant, object, action, allowed FROM verdict""",

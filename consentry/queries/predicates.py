@@ -13,6 +13,7 @@ from consentry.queries.base import Frames, query
 from consentry.queries.metas import ANALYST, CUSTOMER, NOW, ORDERS, ORDERS_ROWS, governor
 from consentry.sources.documents import payload_fields, payload_rows, result_rows
 from consentry.session import scratch_path
+from consentry.sources.skipping import build_file_index, indexed_scan, pruning_report
 from consentry.sources.tables import changes_since, next_watermark, scan_report
 
 
@@ -450,6 +451,38 @@ def report(t: Frames):
     return scan_report(table, table.where("day BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'"))
 
 
+# The table is laid out by day, one file each; the filter names other columns, an interval and either of two users.
+SKIPPED = {"event_id": {"gte": 400, "lt": 1900}, "or": [{"user_id": {"lt": 12}}, {"user_id": {"in": [40, 77]}}]}
+SKIPPED_SQL = "event_id >= 400 AND event_id < 1900 AND (user_id < 12 OR user_id IN (40, 77))"
+
+
+def _events_by_day(t: Frames):
+    path = scratch_path(t.spark, "by-day")
+    t.events.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    return build_file_index(t.spark, path, ["event_id", "user_id", "value", "event_type"])
+
+
+@query(
+    "s5_file_index",
+    """WITH f AS (SELECT min(event_id) AS lo, max(event_id) AS hi, min(user_id) AS ulo, max(user_id) AS uhi, count(*) AS n
+                  FROM events GROUP BY CAST(ts AS DATE)),
+            o AS (SELECT *, hi >= 400 AND lo < 1900 AND (ulo < 12 OR (ulo <= 40 AND uhi >= 40) OR (ulo <= 77 AND uhi >= 77)) AS opened FROM f)
+       SELECT count(*) AS files_total, count(*) FILTER (opened) AS files_scanned, count(*) FILTER (NOT opened) AS files_pruned,
+              round(count(*) FILTER (NOT opened) * 100.0 / count(*), 2) AS pruned_percent,
+              CAST(sum(n) AS BIGINT) AS rows_total, CAST(coalesce(sum(n) FILTER (opened), 0) AS BIGINT) AS rows_scanned FROM o""",
+)
+def file_index(t: Frames):
+    return pruning_report(_events_by_day(t), SKIPPED)
+
+
+@query(
+    "s5_indexed_scan",
+    f"SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE {SKIPPED_SQL}",
+)
+def rows_of_few_files(t: Frames):
+    return indexed_scan(_events_by_day(t), SKIPPED).select("event_id", "user_id", "event_type", "day")
+
+
 @query(
     "s13_changes_since",
     "SELECT event_id, event_type FROM events WHERE event_id > 400 ORDER BY event_id LIMIT 500",

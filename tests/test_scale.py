@@ -269,6 +269,45 @@ def test_object_patterns(spark):
     assert got == {(p, x) for p in PATTERNS for x in TARGETS if abac.matches_pattern(p, x)}
 
 
+def test_many_rules_with_wildcards_in_segments(spark):
+    """Each object meets a bounded number of 50,000 rules, and loses none that match."""
+    rules = [("*", f"sales.t{i}x*") for i in range(25_000)] + [("*", f"Sales.*z{i}.:name") for i in range(25_000)]
+    rules += [("*", "sales.*"), ("*", "sales.t1*"), ("*", "*.*9"), ("*", "s*s.*5*.b")]
+    names = [f"sales.t{i}x{i % 7}" for i in range(0, 25_000, 50)] + [f"SALES.q{i}Z{i}.b" for i in range(0, 25_000, 500)]
+    requests = spark.createDataFrame([("u", x) for x in names], "actor string, object string")
+    frame = spark.createDataFrame(rules, "sub string, obj string")
+    none = spark.createDataFrame([], "sid string, role string")
+    got = {}
+    for r in abac.match_rules(requests, frame, none).select("object", "obj").collect():
+        got.setdefault(r.object, set()).add(r.obj)
+    plain = [p for _, p in rules[50_000:]]
+    for i in range(0, 25_000, 50):
+        x = f"sales.t{i}x{i % 7}"
+        assert got.pop(x) == {f"sales.t{i}x*"} | {p for p in plain if abac.matches_pattern(p, x)}
+    for i in range(0, 25_000, 500):
+        x = f"SALES.q{i}Z{i}.b"
+        ends = {f"Sales.*z{i}.:name"} | {p for p in plain if abac.matches_pattern(p, x)}
+        assert got.pop(x) == ends
+    shapes = [r[0] for r in frame.select(abac.pattern_shape(F.col("obj"))).distinct().collect()]
+    assert len(shapes) < 20
+    keys = requests.select("object", F.explode(abac.object_keys(F.col("object"), shapes)).alias("key"))
+    met = keys.join(frame.select(abac.pattern_key(F.col("obj")).alias("key")), "key").groupBy("object").count()
+    assert met.agg(F.max("count")).first()[0] <= 8
+
+
+def test_random_wildcard_segments(spark):
+    import itertools
+
+    parts = ["a", "ab", "*", "a*", "*b", "a*b", "b*a*", ":n", "*a*", "A*"]
+    patterns = [".".join(x) + t for n in (1, 2) for x in itertools.product(parts, repeat=n) for t in ("", ".*")]
+    targets = [".".join(x) for n in (1, 2, 3) for x in itertools.product(["a", "b", "ab", "Aab", "bab"], repeat=n)]
+    requests = spark.createDataFrame([("u", x) for x in targets], "actor string, object string")
+    rules = spark.createDataFrame([("*", p) for p in patterns], "sub string, obj string")
+    none = spark.createDataFrame([], "sid string, role string")
+    got = {(r.obj, r.object) for r in abac.match_rules(requests, rules, none).collect()}
+    assert got == {(p, x) for p in patterns for x in targets if abac.matches_pattern(p, x)}
+
+
 def test_policy_semantics(spark):
     lines = [
         "# comment", "p, alice, t1, a.b.*, read", "p, *, t1, a.b.secret, *, , deny", "p, staff, t1, a.c.x, read",
