@@ -443,7 +443,7 @@ def replay_differences(t: Frames):
     return B.replay_differences(_replayed(t)).select("id", "recorded", "simulated")
 
 
-ROOTS = "SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS node FROM orders WHERE o_totalprice > 480000"
+ROOTS = "SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS node FROM orders"
 REACH = f"""reach AS (SELECT node AS root, node, 0 AS d FROM ({ROOTS})
     UNION SELECT r.root, e.dst, r.d + 1 FROM reach r JOIN lineage_edges e ON e.src = r.node WHERE r.d < 7)"""
 NODE_TYPE = """CASE left(node, 1) WHEN 'p' THEN 'Table' WHEN 's' THEN 'ExternalService'
@@ -451,9 +451,7 @@ NODE_TYPE = """CASE left(node, 1) WHEN 'p' THEN 'Table' WHEN 's' THEN 'ExternalS
 
 
 def _roots(t: Frames):
-    return t.orders.where("o_totalprice > 480000").select(
-        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node")
-    )
+    return t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
 
 
 def _typed(closure):
@@ -471,18 +469,31 @@ def closure(t: Frames):
     return L.downstream(t.lineage_edges, _roots(t))
 
 
+# Besides the rings of nation and region, rings of three: a region feeds some suppliers of its nations.
+RINGS = """SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS src, 's' || CAST(s_suppkey AS VARCHAR) AS dst
+    FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey % 50 = 0"""
+
+
 @query(
     "u7_revocation_impact",
-    f"""WITH RECURSIVE {REACH}, best AS (SELECT root, node, min(d) AS distance FROM reach GROUP BY ALL),
-          up AS (SELECT b.root, b.node, min(e.src) AS upstream FROM best b JOIN lineage_edges e ON e.dst = b.node
+    f"""WITH RECURSIVE le AS (SELECT src, dst FROM lineage_edges UNION {RINGS}),
+          reach AS (SELECT node AS root, node, 0 AS d FROM ({ROOTS})
+            UNION SELECT r.root, e.dst, r.d + 1 FROM reach r JOIN le e ON e.src = r.node WHERE r.d < 8),
+          best AS (SELECT root, node, min(d) AS distance FROM reach GROUP BY ALL),
+          up AS (SELECT b.root, b.node, min(e.src) AS upstream FROM best b JOIN le e ON e.dst = b.node
             JOIN best u ON u.root = b.root AND u.node = e.src AND u.distance = b.distance - 1 GROUP BY ALL),
-          cyc AS (SELECT DISTINCT up.root, up.upstream AS node FROM up
-            JOIN lineage_edges e ON e.src = up.node AND e.dst = up.upstream)
+          ways AS (SELECT node AS root, node, [node] AS way FROM ({ROOTS})
+            UNION ALL SELECT up.root, up.node, list_append(w.way, up.node) FROM ways w JOIN up ON up.root = w.root AND up.upstream = w.node),
+          cyc AS (SELECT DISTINCT w.root, e.dst AS node FROM ways w JOIN le e ON e.src = w.node WHERE list_contains(w.way, e.dst))
         SELECT b.root, b.node, b.distance, c.node IS NOT NULL AS cyclic FROM best b
-          LEFT JOIN cyc c ON c.root = b.root AND c.node = b.node WHERE b.distance > 0""",
+          LEFT JOIN cyc c ON c.root = b.root AND c.node = b.node WHERE b.distance > 0 OR c.node IS NOT NULL""",
 )
 def impact(t: Frames):
-    return L.revocation_impact(t.lineage_edges, _roots(t))
+    rings = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 50 = 0").select(
+        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"),
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("dst"),
+    )
+    return L.revocation_impact(t.lineage_edges.select("src", "dst").unionByName(rings), _roots(t))
 
 
 @query(

@@ -176,6 +176,70 @@ def test_deep_chains_are_followed_to_the_end(spark):
     assert len(far) == 20 and [r.node for r in far if r.cyclic] == ["n4"]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_chains_between_joints(spark, seed):
+    """Long chains between few joints, rings, and roots inside of chains."""
+    rng = random.Random(seed)
+    edges, names = set(), iter(range(10**6))
+    for _ in range(9):
+        a, b = (f"j{rng.randrange(5)}" for _ in range(2))
+        way = [a, *(f"c{next(names)}" for _ in range(rng.randrange(12))), b]
+        edges |= set(zip(way, way[1:], strict=False))
+    ring = [f"ring{i}" for i in range(9)]
+    edges |= set(zip(ring, [*ring[1:], ring[0]], strict=True)) | {("in", "x1"), ("x1", "x2")}
+    frame = spark.createDataFrame(sorted(edges), "src string, dst string")
+    inner = sorted(a for a, _ in edges if a.startswith("c"))
+    roots = ["j0", "ring3", "in", "absent", *rng.sample(inner, min(3, len(inner)))]
+    got = lineage.downstream(frame, spark.createDataFrame([(r,) for r in roots], "node string")).collect()
+    straight = {e for e in edges if e[0] != e[1]}
+    for root in roots:
+        want = closure(straight, root)
+        want.pop(root, None)
+        assert {r.node: r.distance for r in got if r.root == root} == want, root
+        far = {**want, root: 0}
+        for r in got:
+            if r.root == root:
+                assert r.upstream == min(a for a, b in straight if b == r.node and far.get(a) == r.distance - 1)
+
+
+def test_ten_thousand_nodes_in_few_rounds(spark, monkeypatch):
+    edges = spark.range(10_000).selectExpr("concat('n', id) AS src", "concat('n', id + 1) AS dst")
+    root = spark.createDataFrame([("n0",)], "node string")
+    rounds = []
+    plain = lineage.durable
+    monkeypatch.setattr(lineage, "durable", lambda df, label="": rounds.append(label) or plain(df, label))
+    got = lineage.downstream(edges, root)
+    ends = got.agg(F.count("*"), F.max("distance"), F.sum(F.when(F.col("node") == F.concat(F.lit("n"), "distance"), 1))).first()
+    assert tuple(ends) == (10_000, 10_000, 10_000)
+    assert sum(r in ("closure", "jumps") for r in rounds) <= 20
+
+
+def plain_impact(edges, root):
+    """Breadth first with whole paths; nodes of a round are entered from the smallest source."""
+    found, paths, cyclic, frontier, far = {root: 0}, {root: [root]}, set(), [root], 0
+    while frontier:
+        far, new = far + 1, {}
+        for a in sorted(frontier):
+            for b in sorted(b for x, b in edges if x == a):
+                if b in paths[a]:
+                    cyclic.add(b)
+                elif b not in found:
+                    new.setdefault(b, a)
+        for b, a in new.items():
+            found[b], paths[b] = far, [*paths[a], b]
+        frontier = list(new)
+    return {n: (d, n in cyclic) for n, d in found.items() if d or n in cyclic}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cycles_of_any_length(spark, seed):
+    rng = random.Random(seed)
+    edges = {(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(18)}
+    edges |= {(f"m{i}", f"m{i + 1}") for i in range(11)} | {("m11", f"m{rng.randrange(9)}"), ("n1", "m2"), ("m5", "m1")}
+    for root in ("n1", "m0"):
+        assert impact(spark, sorted(edges), root) == plain_impact(edges, root)
+
+
 def impact(spark, edges, root):
     frame = spark.createDataFrame(edges, "src string, dst string")
     out = lineage.revocation_impact(frame, spark.createDataFrame([(root,)], "node string")).collect()
