@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from consentry.functions import text as X
 from consentry.operators import relevance as R
+from consentry.operators.matching import best_matches
 from consentry.queries.base import Frames, query
 from consentry.session import durable, spread
 
@@ -277,4 +278,4 @@ def relevance(t: Frames):
 def pick(t: Frames):
     queries = t.benchmark.select(F.col("item_id").alias("query"), "text")
     items = t.documents.select(F.col("doc_id").alias("item"), "text", (F.col("doc_id") % 50 == 0).alias("boosted"))
-    return R.pick_within_budget(R.with_fillers(durable(_scored(t), "scored"), queries, items))
+    return R.pick_within_budget(R.with_fillers(best_matches(queries, items), queries, items))
