@@ -28,7 +28,7 @@ def _last_start(times: np.ndarray, size: int) -> np.ndarray:
 
 def first_request_windows(df: DataFrame, client: str, at: str, seconds: int = 60) -> DataFrame:
     """(client, window_start, requests): a window opens at the first request after the last
-    one closed and takes ``seconds``.
+    one closed and takes ``seconds``. Rows without a time take no part; those without a client are one client.
 
     Where a window starts depends on all windows before, so a client is a serial chain.
     The rows are range-partitioned by (client, time), and a busy client simply spans many
@@ -38,10 +38,12 @@ def first_request_windows(df: DataFrame, client: str, at: str, seconds: int = 60
     """
     size = seconds * 1_000_000
     moment = F.unix_micros(F.col(at).cast("timestamp"))
-    counted = df.groupBy(F.col(client).alias("_c"), moment.alias("_t")).agg(F.count("*").alias("_n"))
+    # A missing client is a client too; pandas compares no nulls, so clients go by a text that is never null.
+    named = F.coalesce(F.concat(F.lit("c"), F.col(client).cast("string")), F.lit(""))
+    counted = df.where(moment.isNotNull()).groupBy(named.alias("_c"), moment.alias("_t")).agg(F.count("*").alias("_n"))
     placed = counted.repartitionByRange("_c", "_t").withColumn("_part", F.spark_partition_id())
     placed = durable(placed, "windows")
-    kind = dict(placed.dtypes)["_c"]
+    kind = dict(df.dtypes)[client]
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_c", "_t"])
@@ -61,7 +63,7 @@ def first_request_windows(df: DataFrame, client: str, at: str, seconds: int = 60
             }
         )
 
-    shape = f"_part int, first {kind}, last {kind}, until array<bigint>, left array<bigint>, final bigint"
+    shape = "_part int, first string, last string, until array<bigint>, left array<bigint>, final bigint"
     parts = durable(placed.groupBy("_part").applyInPandas(summary, shape), "windows")
     entries, holder, start = [], None, None
     # One short row per partition, read one after the other.
@@ -97,7 +99,8 @@ def first_request_windows(df: DataFrame, client: str, at: str, seconds: int = 60
 
     # As many rows as there were tasks.
     rows = placed.join(F.broadcast(reached), "_part")
-    found = rows.groupBy("_part").applyInPandas(windows, f"c {kind}, s bigint, n bigint")
-    return found.groupBy(F.col("c").alias(client), F.timestamp_micros("s").alias("window_start")).agg(
+    found = rows.groupBy("_part").applyInPandas(windows, "c string, s bigint, n bigint")
+    back = F.when(F.col("c") != "", F.substring("c", 2, 1 << 30)).cast(kind)
+    return found.groupBy(back.alias(client), F.timestamp_micros("s").alias("window_start")).agg(
         F.sum("n").alias("requests")
     )

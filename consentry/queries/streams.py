@@ -13,6 +13,7 @@ from consentry.queries.base import Frames, query
 from consentry.session import scratch_path
 from consentry.sources.tables import stream_files
 from consentry.streaming import cdc as S
+from consentry.streaming.state import first_request_table, last_events
 
 PEOPLE = TableMeta(
     "crm.dbo.people",
@@ -190,21 +191,8 @@ def no_duplicates(t: Frames):
          ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 50""",
 )
 def history(t: Frames):
-    root = scratch_path(t.spark, "history")
-
-    def keep(batch, number: int) -> None:
-        # Each batch reads the state the one before left, and writes its own.
-        before = t.spark.read.parquet(f"{root}/state-{number - 1}") if number else None
-        rows = batch.select(F.col("event_type").alias("topic"), "event_id", "ts")
-        S.merge_history(before, rows, "ts", "event_id").write.mode("overwrite").parquet(f"{root}/state-{number}")
-
-    query_ = (
-        _events(t).writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/offsets")
-        .trigger(availableNow=True).start()
-    )
-    query_.awaitTermination()
-    last = query_.lastProgress["batchId"]
-    return t.spark.read.parquet(f"{root}/state-{last}").select("topic", "event_id")
+    rows = _events(t).withColumnRenamed("event_type", "topic")
+    return last_events(rows, "topic", "ts", "event_id").select("topic", "event_id")
 
 
 @query(
@@ -262,19 +250,27 @@ def breaches(t: Frames):
     return _ntz(S.session_breaches(rows, "user_id", "ts", 4, 86400), "window_start")
 
 
-@query(
-    "st12_first_request_windows",
-    """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id
+FIRST_REQUESTS = """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id
          UNION ALL SELECT w.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 6 HOUR)
            FROM w WHERE w.s IS NOT NULL)
        SELECT w.user_id, w.s AS window_start, count(*) AS requests FROM w JOIN events e ON e.user_id = w.user_id
-         AND e.ts >= w.s AND e.ts < w.s + INTERVAL 6 HOUR WHERE w.s IS NOT NULL GROUP BY ALL""",
+         AND e.ts >= w.s AND e.ts < w.s + INTERVAL 6 HOUR WHERE w.s IS NOT NULL GROUP BY ALL"""
+
+
+@query(
+    "st12_first_request_windows",
+    FIRST_REQUESTS,
 )
 def first_request(t: Frames):
     rows = first_request_windows(t.events, "user_id", "ts", 6 * 3600)
     return _ntz(rows, "window_start")
 
 
+@query("st12_first_request_stream", FIRST_REQUESTS)
+def first_request_state(t: Frames):
+    return _ntz(first_request_table(_events(t), "user_id", "ts", 6 * 3600), "window_start")
+
+
 @query(
     "st13_running_spend",
     """SELECT date_trunc('day', ts) AS period_start, event_type AS tenant, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2)
