@@ -207,7 +207,7 @@ def lag(t: Frames):
         (F.col("event_id") * 1000000).alias("position"),
         (F.col("user_id") * 1000).alias("acknowledged"),
     )
-    return S.to_table(S.lag_report(rows, "position", "acknowledged"), mode="complete")
+    return S.to_table(S.lag_report(rows, "position", "acknowledged"), mode="update", keys=["slot"])
 
 
 @query(
@@ -236,7 +236,7 @@ def checkpoint(t: Frames):
 )
 def windows(t: Frames):
     rows = _events(t).withWatermark("ts", S.WATERMARK)
-    counted = S.to_table(S.request_windows(rows, "user_id", "ts", 3600), mode="complete")
+    counted = S.to_table(S.request_windows(rows, "user_id", "ts", 3600), mode="update", keys=["window_start", "user_id"])
     return _ntz(S.breaches(counted, 2), "window_start")
 
 
@@ -278,7 +278,7 @@ def first_request_state(t: Frames):
 )
 def spend(t: Frames):
     rows = _events(t).select("ts", F.col("event_type").alias("tenant"), F.col("value").cast("decimal(18,2)").alias("cost"))
-    totals = S.to_table(S.running_spend(rows, "tenant", "cost", "ts"), mode="complete")
+    totals = S.to_table(S.running_spend(rows, "tenant", "cost", "ts"), mode="update", keys=["period_start", "tenant"])
     return _ntz(totals.withColumn("spend", F.round(F.col("spend").cast("double"), 2)), "period_start")
 
 

@@ -235,14 +235,17 @@ def lag_report(df: DataFrame, position: str, acknowledged: str, limit: int = 1 <
     )
 
 
-def to_table(stream: DataFrame, mode: str = "append", label: str = "stream") -> DataFrame:
+def to_table(
+    stream: DataFrame, mode: str = "append", label: str = "stream", keys: Sequence[str] = (), root: str | None = None
+) -> DataFrame:
     """Runs a stream over everything available and returns the table it wrote.
 
     The files and the checkpoint lie in the shared scratch folder, so a restart goes on
-    where the lost run stopped.
+    where the lost run stopped. In update mode a batch writes only the rows that it changed, and of each
+    key (``keys``) the row of its last batch counts; null keys are keys like any other.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, label)
+    root = root or scratch_path(spark, label)
     if mode == "append":
         query = (
             stream.writeStream.format("parquet")
@@ -272,6 +275,9 @@ def to_table(stream: DataFrame, mode: str = "append", label: str = "stream") ->
     if mode == "complete":
         last = rows.agg(F.max("batch")).first()[0]
         rows = rows.where(F.col("batch") == last)
+    elif keys:
+        newest = F.max_by(F.struct(*stream.columns), "batch").alias("_row")
+        rows = rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(newest).select("_row.*")
     return rows.drop("batch")
 
 

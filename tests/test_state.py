@@ -8,6 +8,7 @@ import numpy as np
 
 from consentry.operators.limits import first_request_windows
 from consentry.session import scratch_path
+from consentry.streaming import cdc
 from consentry.streaming import state as S
 
 SCHEMA = "event_id long, client string, at timestamp"
@@ -82,3 +83,18 @@ def test_times_may_be_missing(spark):
     assert got == {("a", 2), ("b", 3)}
     got = [(r["client"], r["requests"]) for r in S.first_request_table(stream, "client", "at", 5).collect()]
     assert got == [("a", 1)]
+
+
+def test_updates_give_the_last_row_of_each_key(spark):
+    """Batches write what they changed; the table is the same as that of the whole input."""
+    rows = requests(5, 3, 300, 40)
+    stream, table = written(spark, [rows[:100], rows[100:150], rows[150:]])
+
+    def spend(df):
+        return cdc.running_spend(df.selectExpr("client", "at", "event_id AS cost"), "client", "cost", "at", "1 second")
+
+    root = scratch_path(spark, "spend")
+    got = cdc.to_table(spend(stream), "update", keys=["period_start", "client"], root=root)
+    assert sorted(map(str, got.collect())) == sorted(map(str, spend(table).collect()))
+    sizes = {r["batch"]: r["count"] for r in spark.read.parquet(f"{root}/out").groupBy("batch").count().collect()}
+    assert len(sizes) == 3 and sizes[1] <= 50
