@@ -25,6 +25,8 @@ from consentry.session import durable
 WINDOW, SHINGLE = 10, 3
 #: Windows that are broadcast at once (about 300 bytes each); more windows take more blocks.
 BLOCK = 100_000
+#: Bytes of text that a task takes apart at once; its work arrays take some 40 times that.
+SLICE = 2_000_000
 
 
 class _Windows:
@@ -82,7 +84,7 @@ class _Count:
         wanted = {k: (v, np.zeros(len(v), np.int64)) for k, v in self.shingles.value.items()}
         for batch in batches:
             texts = batch.column("text")
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE):
                 words = Words(texts[i:j])
                 for k, (values, counts) in wanted.items():
                     found, _ = words.runs(k)
@@ -112,21 +114,21 @@ class _Match:
         block = self.block.value
         for batch in batches:
             texts = batch.column("row").field("text")
-            ranges, items = batch.column("ranges").to_pylist(), batch.column("items").to_pylist()
-            n_words = []
-            for i, j in slices(texts):
+            # A slice goes out as soon as it is done, so a large batch isn't held twice.
+            for i, j in slices(texts, SLICE):
+                part = batch.slice(i, j - i)
+                ranges, items = part.column("ranges").to_pylist(), part.column("items").to_pylist()
                 words = Words(texts[i:j])
-                n_words += np.diff(words.first).tolist()
-                self._one(block, words, ranges, items, i)
-            out = {"row": batch.column("row"), "n_words": pa.array(n_words, pa.int64())}
-            if self.last:
-                out |= _totals(ranges, items)
-            else:
-                out |= {"ranges": pa.array(ranges, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.record_batch(out)
+                self._one(block, words, ranges, items)
+                out = {"row": part.column("row"), "n_words": pa.array(np.diff(words.first), pa.int64())}
+                if self.last:
+                    out |= _totals(ranges, items)
+                else:
+                    out |= {"ranges": pa.array(ranges, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
+                yield pa.record_batch(out)
 
     @staticmethod
-    def _one(block: dict, words: Words, ranges: list, items: list, shift: int) -> None:
+    def _one(block: dict, words: Words, ranges: list, items: list) -> None:
         starts, windows = [], []
         for k, (prefixes, bounds, own, offset, size) in block["prefix"].items():
             hashes, where = words.runs(k)
@@ -157,9 +159,9 @@ class _Match:
             hit = own_starts[words.equal(own_starts, block["words"][number])]
             text = np.searchsorted(words.first, hit, side="right") - 1
             for t, s in zip(text.tolist(), (hit - words.first[text]).tolist(), strict=True):
-                ranges[shift + t] += [s, s + int(block["size"][number])]
+                ranges[t] += [s, s + int(block["size"][number])]
             for t in np.unique(text).tolist():
-                items[shift + t].append(block["item"][number])
+                items[t].append(block["item"][number])
 
 
 def _totals(ranges: list, items: list) -> dict[str, pa.Array]:

@@ -7,6 +7,7 @@ number, taken modulo 2**64 and mixed, so one pass of prefix sums gives the hash
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 5
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -70,6 +73,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], at - at[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on after its task, and waits beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most_bytes`` each, one row at least: what is worked on in memory at once."""
     if not len(texts):
@@ -81,13 +91,15 @@ def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int,
         last = min(max(last, first + 1), len(texts))
         yield first, last
         first = last
-    pa.default_memory_pool().release_unused()  # a worker lives on after its task
+    give_back()
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Hashes of the byte ranges ``start`` to ``end``; ``table`` has a random value for each byte."""
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(table[raw] * _powers_up(len(raw)), out=sums[1:])
+    values = table[raw]
+    values *= _powers_up(len(raw))
+    np.cumsum(values, out=sums[1:])
     total = (sums[end] - sums[start]) * _power_at(_DOWN, start, _INVERSE)
     return mix(total + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
