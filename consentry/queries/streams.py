@@ -13,6 +13,7 @@ from consentry.queries.base import Frames, query
 from consentry.session import scratch_path
 from consentry.sources.tables import stream_files
 from consentry.streaming import cdc as S
+from consentry.streaming.polling import change_stream, follow
 from consentry.streaming.state import first_request_table, last_events
 
 PEOPLE = TableMeta(
@@ -229,6 +230,43 @@ def checkpoint(t: Frames):
     return S.read_watermarks(t.spark, root, "name")
 
 
+def _poll_events(t: Frames, each):
+    """The events as a change table in several files, in five polls; returns the lag of each poll."""
+    root = scratch_path(t.spark, "polls")
+    changes = t.events.select((F.col("event_id") + 1).alias("version"), "event_type", "user_id")
+    changes.repartitionByRange(6, "version").write.parquet(f"{root}/table")
+    head = changes.agg(F.max("version")).first()[0]
+    stream = change_stream(t.spark, f"{root}/table", "version", f"{root}/position", (head or 0) // 5 + 1)
+    return follow(stream, lambda batch, number: each(batch, number, root), f"{root}/state"), root
+
+
+@query(
+    "s13_change_stream",
+    """SELECT event_id + 1 AS version, event_type, CAST(event_id // ((SELECT max(event_id) + 1 FROM events) // 5 + 1) AS INT) AS poll
+       FROM events""",
+)
+def polled(t: Frames):
+    def save(batch, number: int, root: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/told/poll={number}")
+
+    _, root = _poll_events(t, save)
+    return t.spark.read.parquet(f"{root}/told").select("version", "event_type", "poll")
+
+
+@query(
+    "st10_poll_lag",
+    """WITH e AS (SELECT max(event_id) + 1 AS head FROM events), k AS (SELECT unnest(generate_series(0, 4)) AS poll)
+       SELECT poll, poll * (head // 5 + 1) AS told_from, least((poll + 1) * (head // 5 + 1), head) AS told_to, head,
+              head - told_to AS lag, head - told_to > 500 AS over_limit FROM e, k""",
+)
+def poll_lag(t: Frames):
+    def skip(batch, number: int, root: str) -> None:
+        batch.write.format("noop").mode("overwrite").save()
+
+    lag, _ = _poll_events(t, skip)
+    return lag.withColumn("over_limit", F.col("lag") > 500)
+
+
 @query(
     "st12_request_windows",
     """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, count(*) AS requests FROM events
