@@ -11,6 +11,7 @@ from consentry.functions.text import client_type, is_ticket
 from consentry.operators import abac as B
 from consentry.operators import audit as A
 from consentry.operators import lineage as L
+from consentry.operators import merkle as M
 from consentry.operators.ordering import latest_per_key
 from consentry.queries.base import DERIVED, Frames, query
 from consentry.session import durable, scratch_path
@@ -547,3 +548,33 @@ def run_events(t: Frames):
         F.col("l_shipdate").alias("at"),
     )
     return L.run_events(edges)
+
+
+# Blocks of eight, so that chains take several rounds.
+TREE_DEPTH = 3
+
+
+@query(
+    "k4_merkle_roots",
+    f"""WITH {CHAIN},
+          tree AS (SELECT tenant_id, n - 1 AS i, sha256('0|' || tenant_id || '|' || n || '|' || entry_hash) AS h,
+              count(*) OVER (PARTITION BY tenant_id) AS width, 0 AS level FROM links
+            UNION ALL
+            SELECT tenant_id, i // 2, CASE WHEN count(*) = 2 THEN sha256('1|' || arg_min(h, i) || '|' || arg_max(h, i)) ELSE min(h) END,
+              (width + 1) // 2, level + 1 FROM tree WHERE width > 1 GROUP BY tenant_id, i // 2, width, level)
+        SELECT tenant_id, h AS root, (SELECT count(*) FROM audit a WHERE a.tenant_id = tree.tenant_id) AS entries
+        FROM tree WHERE width = 1""",
+)
+def merkle_roots(t: Frames):
+    return M.hash_tree(_chained(t), depth=TREE_DEPTH).roots().select("tenant_id", "root", "entries")
+
+
+@query(
+    "w1_merkle_proofs",
+    f"""WITH numbered AS ({_NUMBERED}) SELECT tenant_id, n AS seq, n % 97 <> 5 AS valid FROM numbered""",
+)
+def merkle_proofs(t: Frames):
+    # Some entries were exchanged after the roots had been signed.
+    tree = M.hash_tree(_chained(t), depth=TREE_DEPTH)
+    forged = F.when(F.col("seq") % 97 == 5, F.sha2(F.col("entry_hash"), 256)).otherwise(F.col("entry_hash"))
+    return M.verify_proofs(tree.proofs().withColumn("entry_hash", forged), tree.roots(KEY), key=KEY)
