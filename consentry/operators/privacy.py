@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from consentry.functions.crypto import hmac_text
 from consentry.operators.ordering import latest_per_key
 from consentry.operators.predicates import GovernanceError
 
@@ -54,6 +55,69 @@ def private_sums(
     )
 
 
+def _text(*columns: str) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+
+
+def contributions(
+    df: DataFrame, by: Sequence[str], client: str, value: str, key: bytes, most: int, bound: float
+) -> DataFrame:
+    """(client, by..., amount): what each client adds to at most ``most`` groups, each amount clipped to ``bound``.
+
+    A client's rows are summed per group first, so neither many rows nor many groups of one client move more than
+    ``most * bound``. The groups that count are those with the smallest keyed hashes: nobody without the key can steer the choice, and
+    it is the same each time. A hot client keeps ``most`` rows a task (window group limit). Rows without a client take no part;
+    null values add nothing.
+    """
+    each = df.where(F.col(client).isNotNull()).groupBy(client, *by).agg(F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("amount"))
+    chosen = hmac_text(F.concat_ws("|", F.lit("choice"), *_text(client, *by)), key)
+    kept = latest_per_key(each.withColumn("_choice", chosen), [client], [F.asc("_choice"), *[F.asc(c) for c in by]], most)
+    clipped = F.greatest(F.least("amount", F.lit(float(bound))), F.lit(-float(bound)))
+    return kept.select(client, *by, clipped.alias("amount"))
+
+
+def keyed_laplace(scale: float, key: bytes, *counter: Column) -> Column:
+    """Laplace noise from a keyed hash of a counter: 52 bits of HMAC-SHA256 as a uniform number.
+
+    The same counter draws the same noise, so asking again tells nothing new; without the key it can't be told from chance.
+    """
+    digest = hmac_text(F.concat_ws("|", F.lit("noise"), *counter), key)
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52) - 0.5
+    return -float(scale) * F.signum(u) * F.ln(1 - 2 * F.abs(u))
+
+
+def private_client_sums(
+    df: DataFrame,
+    by: Sequence[str],
+    client: str,
+    value: str,
+    epsilon: float,
+    bound: float,
+    key: bytes,
+    release: str,
+    most: int = 1,
+    min_cohort: int = MIN_COHORT,
+) -> DataFrame:
+    """Noisy sum per group that hides a whole client, not a row: (by..., suppressed, value, epsilon_spent).
+
+    A client moves all sums together by at most ``most * bound``, which is what the noise is scaled to. A cohort is the clients
+    that count in a group; below the minimum it is suppressed. ``release`` names the answer: another name draws other noise and must be
+    paid for again. Like in ``private_sums``, which groups there are is told as they are. The noise is a double; its last bits are not hardened.
+    """
+    if epsilon <= 0:
+        raise GovernanceError("epsilon must be positive")
+    if bound < MIN_SENSITIVITY or most < 1:
+        raise GovernanceError(f"the bound must be at least {MIN_SENSITIVITY}, and one group at least must count")
+    rows = contributions(df, by, client, value, key, most, bound)
+    groups = rows.groupBy(*by).agg(F.count("*").alias("_cohort"), F.sum("amount").alias("_sum"))
+    noise = keyed_laplace(most * bound / epsilon, key, F.lit(release), *_text(*by))
+    small = F.col("_cohort") < min_cohort
+    return groups.select(
+        *by, small.alias("suppressed"), F.when(~small, F.bround(F.col("_sum") + noise, 4)).alias("value"),
+        F.when(small, 0.0).otherwise(epsilon).alias("epsilon_spent"),
+    )
+
+
 def privacy_ledger(
     spends: DataFrame,
     client: str = "client",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from consentry.operators import finops as C
 from consentry.operators import privacy as P
 from consentry.queries.base import Frames, query
+from consentry.queries.masks import duck_hmac
 from consentry.sinks.export import focus_lines
 
 # Half-even rounding in whole millionths, in integers: prices are whole hundred-millionths.
@@ -111,6 +112,38 @@ def private_values(t: Frames):
     )
 
 
+RELEASE_KEY = b"release-key-for-registered-queries"
+
+
+# A client's three groups with the smallest keyed hashes, each amount at most 60.
+CHOSEN = f"""each AS (SELECT l_suppkey, l_partkey % 40 AS shelf, sum(l_quantity) AS amount FROM lineitem GROUP BY ALL),
+       ranked AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY
+           {duck_hmac("encode('choice|' || l_suppkey || '|' || shelf)", RELEASE_KEY)}) AS n FROM each),
+       chosen AS (SELECT l_suppkey, shelf, CAST(least(amount, 60) AS DOUBLE) AS amount FROM ranked WHERE n <= 3)"""
+
+
+def _shelves(t: Frames):
+    return t.lineitem.select("l_suppkey", (F.col("l_partkey") % 40).alias("shelf"), "l_quantity")
+
+
+@query("a14_contributions", f"WITH {CHOSEN} SELECT l_suppkey, shelf, amount FROM chosen")
+def bounded(t: Frames):
+    return P.contributions(_shelves(t), ["shelf"], "l_suppkey", "l_quantity", RELEASE_KEY, 3, 60.0)
+
+
+@query(
+    "a14_private_client_sums",
+    f"""WITH {CHOSEN}, g AS (SELECT shelf, count(*) AS n, sum(amount) AS total,
+             (CAST('0x' || left({duck_hmac("encode('noise|2024|' || shelf)", RELEASE_KEY)}, 13) AS BIGINT) + 0.5::DOUBLE)
+               / 4503599627370496::DOUBLE - 0.5::DOUBLE AS u FROM chosen GROUP BY shelf)
+       SELECT shelf, n < 5 AS suppressed, CASE WHEN n >= 5 THEN round(total - 360 * sign(u) * ln(1 - 2 * abs(u)), 2) END AS value,
+              CASE WHEN n >= 5 THEN CAST(0.5 AS DOUBLE) ELSE 0.0 END AS epsilon_spent FROM g""",
+)
+def client_sums(t: Frames):
+    sums = P.private_client_sums(_shelves(t), ["shelf"], "l_suppkey", "l_quantity", 0.5, 60.0, RELEASE_KEY, "2024", most=3)
+    return sums.withColumn("value", F.round("value", 2))
+
+
 SPENDS = """SELECT event_id AS id, user_id AS client, ts AS at,
     CASE event_id % 4 WHEN 0 THEN 5.0 WHEN 1 THEN 3.5 WHEN 2 THEN 0.75 ELSE 2.5 END AS epsilon FROM {events}"""
 
