@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from consentry.model import Condition, Consent, Hop
 from consentry.operators import joins as J
 from consentry.operators import predicates as P
+from consentry.operators.intervals import valid_at
 from consentry.queries.base import Frames, query
 from consentry.queries.metas import ANALYST, CUSTOMER, ORDERS, ORDERS_ROWS, governor
 
@@ -189,6 +190,37 @@ def temporal(t: Frames):
     return t.orders.where(P.condition(cond, t.orders.schema, tables={"span": span})).select("o_orderkey")
 
 
+# A third of the orders and a third of the spans share one key; spans of it overlap in many ways.
+HOT_SPANS = """SELECT CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END AS k,
+    {stamp} '1992-06-01' + CAST(c_custkey * 37 % 2300 AS INT) * INTERVAL '1' DAY AS valid_from,
+    CASE WHEN c_custkey % 41 = 7 THEN NULL ELSE {stamp} '1992-06-01' + CAST(c_custkey * 37 % 2300 + c_custkey % 30 - 3 AS INT)
+      * INTERVAL '1' DAY END AS valid_to FROM {customer}"""
+HOT_ORDERS = "SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS k FROM {orders}"
+
+
+@query(
+    "j4_interval_sweep",
+    f"""WITH span AS ({HOT_SPANS.format(stamp="TIMESTAMP", customer="customer")}), o AS ({HOT_ORDERS.format(orders="orders")})
+       SELECT o_orderkey, k FROM o WHERE EXISTS (SELECT 1 FROM span WHERE span.k = o.k
+         AND o_orderdate >= valid_from AND (valid_to IS NULL OR o_orderdate < valid_to))""",
+)
+def interval_sweep(t: Frames):
+    spans = t.sql(HOT_SPANS.replace("{stamp}", "TIMESTAMP_NTZ"))
+    return valid_at(t.sql(HOT_ORDERS), spans, [("k", "k")], "o_orderdate", "valid_from", "valid_to").select("o_orderkey", "k")
+
+
+@query(
+    "j4_outside_intervals",
+    f"""WITH span AS ({HOT_SPANS.format(stamp="TIMESTAMP", customer="customer")}), o AS ({HOT_ORDERS.format(orders="orders")})
+       SELECT o_orderkey, k FROM o WHERE NOT EXISTS (SELECT 1 FROM span WHERE span.k = o.k
+         AND o_orderdate >= valid_from AND (valid_to IS NULL OR o_orderdate < valid_to))""",
+)
+def outside_intervals(t: Frames):
+    spans = t.sql(HOT_SPANS.replace("{stamp}", "TIMESTAMP_NTZ"))
+    rows = valid_at(t.sql(HOT_ORDERS), spans, [("k", "k")], "o_orderdate", "valid_from", "valid_to", negate=True)
+    return rows.select("o_orderkey", "k")
+
+
 @query(
     "j5_child_lists",
     """WITH k AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderpriority < '4'),
