@@ -28,6 +28,8 @@ MAGIC = b"TOKENS01"
 FOOTER = struct.Struct("<8sIQQQqQQ")
 SAMPLE = 256
 READ_IDS = 2_000_000
+#: Values whose low bits are spread out at once; a multiple of eight.
+CHUNK = 1 << 16
 
 
 class EliasFano:
@@ -44,12 +46,17 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         low = max(0, (top // n).bit_length() - 1) if n else 0
-        bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        # In chunks of whole bytes: eight values more fill low bytes more.
+        steps = np.arange(low, dtype=np.uint64)
+        lows = [
+            np.packbits(((values[i : i + CHUNK, None] >> steps) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+            for i in range(0, n, CHUNK)
+        ]
         places = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(places[-1]) + 1 if n else 0, dtype=np.uint8)
         high[places] = 1
         return cls(
-            n, low, np.packbits(bits.ravel(), bitorder="little"), np.packbits(high, bitorder="little"),
+            n, low, np.concatenate(lows) if lows else np.empty(0, np.uint8), np.packbits(high, bitorder="little"),
             places[::SAMPLE].astype(np.uint64),
         )
 
@@ -173,13 +180,16 @@ def write_indexed(documents: DataFrame, tokenizer: str, end: int, label: str = "
     """Writes all texts as indexed token files in ascending ``doc_id`` order; one row per file, with ``base``, the number of
     ids in the files before it.
 
-    Null ids come first, equal ids in the order of their texts; null texts are empty and hold ``end`` alone; an empty table
-    gives no file. Documents are range-partitioned by id, so many tasks write, each a file of ascending ids; a task streams
-    its ids to the file and holds only places and document ids.
+    Null ids come first, equal ids in the order of their texts (by a hash from the 64th character on); null texts are empty and hold ``end`` alone; an empty table
+    gives no file. Documents are range-partitioned by this order, so many tasks write, each a file of ascending ids, and one
+    id with many texts spreads as well (equal texts under it stay together); a task streams its ids to the file and holds
+    only places and document ids.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("head", F.left("text", F.lit(64))).withColumn("digest", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "head", "digest").sortWithinPartitions("doc_id", "head", "digest", "text")
+    ordered = ordered.select("doc_id", "text")
     writer = _WriteIndexed(_make_folder(spark, label), tokenizer, end)
     files = durable(ordered.mapInArrow(writer, writer.SCHEMA), f"{label}-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file

@@ -79,6 +79,32 @@ def test_indexed_files(spark):
     assert tokenfiles.read_indexed(tokenfiles.write_indexed(frame.limit(0), WORD, end=2)).count() == 0
 
 
+def test_one_id_spreads_over_files(spark):
+    same = "the same beginning of every text of this id, as long as a line of a license, "
+    rows = [(7, f"{same}{i}") for i in range(1500)] + [(None, f"{i} zzz") for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = tokenfiles.write_indexed(frame, WORD, end=2)
+        assert files.count() == 4 and files.agg({"n_docs": "max"}).first()[0] < 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    got = tokenfiles.read_indexed(files).orderBy("start").collect()
+    crc = lambda t: zlib.crc32(np.array([*plain(WORD, t), 2], "<u4").tobytes())
+    assert [r.doc_id for r in got] == [None] * 500 + [7] * 1500
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc(t) for _, t in rows)
+    starts = [r.start for r in got]
+    assert starts == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def test_elias_fano_in_chunks():
+    values = np.cumsum(np.random.default_rng(2).integers(0, 2000, 2 * tokenfiles.CHUNK + 13))
+    coded = tokenfiles.EliasFano.from_bytes(tokenfiles.EliasFano.of(values).to_bytes())
+    assert (coded.select(0, len(values)) == values).all()
+    assert (coded.select(tokenfiles.CHUNK - 5, tokenfiles.CHUNK + 5) == values[tokenfiles.CHUNK - 5 : tokenfiles.CHUNK + 5]).all()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**40), max_size=700), st.data())
 def test_elias_fano(values, data):
