@@ -26,7 +26,8 @@ HEADLINE = [
     "u6_downstream_closure", "u7_revocation_impact", "u2_schema_diff", "s7_table_metadata",
     # cost, privacy, text, streams
     "a11_billed_cost", "w5_privacy_ledger", "t1_scrub_personal_data", "t4_injection_flags",
-    "l5_pick_within_budget", "s11_change_envelope", "st5_stream_mask",
+    "l5_pick_within_budget", "s11_change_envelope", "st5_stream_mask", "k4_merkle_roots", "w1_merkle_proofs",
+    "j4_interval_sweep", "a14_private_client_sums", "s13_change_stream",
 ]
 
 
