@@ -136,12 +136,11 @@ def bounded(t: Frames):
     f"""WITH {CHOSEN}, g AS (SELECT shelf, count(*) AS n, sum(amount) AS total,
              (CAST('0x' || left({duck_hmac("encode('noise|2024|' || shelf)", RELEASE_KEY)}, 13) AS BIGINT) + 0.5::DOUBLE)
                / 4503599627370496::DOUBLE - 0.5::DOUBLE AS u FROM chosen GROUP BY shelf)
-       SELECT shelf, n < 5 AS suppressed, CASE WHEN n >= 5 THEN round(total - 360 * sign(u) * ln(1 - 2 * abs(u)), 2) END AS value,
+       SELECT shelf, n < 5 AS suppressed, CASE WHEN n >= 5 THEN round(total - 360 * sign(u) * ln(1 - 2 * abs(u)), 4) END AS value,
               CASE WHEN n >= 5 THEN CAST(0.5 AS DOUBLE) ELSE 0.0 END AS epsilon_spent FROM g""",
 )
 def client_sums(t: Frames):
-    sums = P.private_client_sums(_shelves(t), ["shelf"], "l_suppkey", "l_quantity", 0.5, 60.0, RELEASE_KEY, "2024", most=3)
-    return sums.withColumn("value", F.round("value", 2))
+    return P.private_client_sums(_shelves(t), ["shelf"], "l_suppkey", "l_quantity", 0.5, 60.0, RELEASE_KEY, "2024", most=3)
 
 
 SPENDS = """SELECT event_id AS id, user_id AS client, ts AS at,
