@@ -13,7 +13,13 @@ from pyspark.sql import types as T
 from consentry.model import CLEAR, DENY, MASK, Consent, Subject, TableMeta
 from consentry.model import Column as MetaColumn
 from consentry.operators.predicates import combined_row_filter
-from consentry.session import durable
+from consentry.session import checked_broadcast, durable
+
+# A principal that more holders than these hold is resolved for all of them at once.
+SHARED_FROM = 8
+# Holders whose rows one task writes out.
+HOLDERS_PER_TASK = 1000
+_HELD = ["holder", "table_id", "effect", "filter_key"]
 
 
 @dataclass
@@ -172,48 +178,34 @@ def subject_profiles(principals: DataFrame, consents: DataFrame) -> tuple[DataFr
     return keyed.select("sid", "profile"), parts
 
 
-def access_matrix(consents: DataFrame, rules: DataFrame, holders: DataFrame) -> DataFrame:
-    """Access of every holder to every table: (holder, table_id, column_name, level).
-
-    ``consents``: active ones, with ``filter_key`` (canonical row filter, NULL for none).
-    ``rules``: (consent_id, column_name, access_level).
-    ``holders``: (holder, kind, principal).
-    Column ``*`` carries the level of columns no consent mentions. Tables without an
-    allow, or with an unconditional deny, do not appear.
-
-    Maximum inside a filter group and minimum across groups both are associative, so
-    consents are folded per principal before they meet the holders; no stage holds
-    a group in memory.
-    """
+def _folded_consents(consents: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Consents and their column rules, folded per principal: this is where most of the rows disappear."""
     known = _principal_of(consents).select(
         "consent_id", "table_id", F.upper("effect").alias("effect"), "filter_key", "kind", "principal"
     )
     rule_rows = rules.select("consent_id", F.lower("column_name").alias("column_name"), "access_level")
     with_rules = rule_rows.groupBy("consent_id").agg(F.count("*").alias("n_rules"))
-    known = known.join(with_rules, "consent_id", "left").withColumn(
-        "full", F.col("n_rules").isNull()
-    )
+    full = known.join(with_rules, "consent_id", "left").withColumn("full", F.col("n_rules").isNull())
     keys = ["kind", "principal", "table_id", "effect", "filter_key"]
-
-    # Per principal first: this is where most of the rows disappear.
-    grants = known.groupBy(*keys).agg(F.bool_or("full").alias("full"))
+    grants = full.groupBy(*keys).agg(F.bool_or("full").alias("full"))
     levels = (
         known.join(rule_rows, "consent_id")
         .groupBy(*keys, "column_name")
         .agg(F.max("access_level").alias("hi"), F.min("access_level").alias("lo"))
     )
-    hk = ["holder", "table_id", "effect", "filter_key"]
-    # Read twice below, so it is computed once and written down.
-    grants = durable(
-        grants.join(holders, ["kind", "principal"]).groupBy(*hk).agg(F.bool_or("full").alias("full")),
-        "grants",
-    )
-    levels = (
-        levels.join(holders, ["kind", "principal"])
-        .groupBy(*hk, "column_name")
-        .agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-    )
+    return durable(grants, "grants"), durable(levels, "levels")
+
+
+def _fold_grants(grants: DataFrame) -> DataFrame:
+    return grants.groupBy(*_HELD).agg(F.bool_or("full").alias("full"))
+
+
+def _fold_levels(levels: DataFrame) -> DataFrame:
+    return levels.groupBy(*_HELD, "column_name").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
 
+
+def _resolved(grants: DataFrame, levels: DataFrame) -> DataFrame:
+    """(holder, table_id, column_name, level) of folded grants, which are read twice, and folded levels."""
     allow = F.col("effect") == "ALLOW"
     unfiltered = F.col("filter_key").isNull()
     outcome = (
@@ -238,9 +230,9 @@ def access_matrix(consents: DataFrame, rules: DataFrame, holders: DataFrame) ->
     )
     # Rules of a group with a rule-free consent add nothing: that group releases everything.
     per_column = levels.alias("l").join(
-        grants.alias("g"), [F.col(f"l.{k}").eqNullSafe(F.col(f"g.{k}")) for k in hk]
+        grants.alias("g"), [F.col(f"l.{k}").eqNullSafe(F.col(f"g.{k}")) for k in _HELD]
     ).select(
-        *[F.col(f"l.{k}").alias(k) for k in hk], "l.column_name", "l.hi", "l.lo", "g.full"
+        *[F.col(f"l.{k}").alias(k) for k in _HELD], "l.column_name", "l.hi", "l.lo", "g.full"
     )
     per_column = per_column.join(outcome, ["holder", "table_id"]).groupBy(
         "holder", "table_id", "column_name", "needed"
@@ -274,6 +266,79 @@ def access_matrix(consents: DataFrame, rules: DataFrame, holders: DataFrame) ->
     return resolved.unionByName(rest)
 
 
+def _shared_matrix(consents: DataFrame, rules: DataFrame, holders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The matrix with everything said once that holders have in common.
+
+    Principals that more than SHARED_FROM holders hold are shared; holders with the same shared ones form a class, named by
+    its first holder. Returns (holder, class, own), where ``own`` lists the tables on which a principal of the holder's own
+    has a consent, the levels of the classes, which hold on all other tables, and the levels of the holders on their own ones.
+    """
+    grants, levels = _folded_consents(consents, rules)
+    sizes = holders.groupBy("kind", "principal").agg(F.count("*").alias("n"))
+    marked = holders.join(sizes, ["kind", "principal"]).withColumn("shared", F.col("n") > SHARED_FROM)
+    marked = durable(marked.select("holder", "kind", "principal", "shared"), "holders")
+    common = F.collect_set(F.when(F.col("shared"), F.struct("kind", "principal")))
+    sets = marked.groupBy("holder").agg(F.sha2(F.to_json(F.array_sort(common)), 256).alias("held"))
+    named = sets.groupBy("held").agg(F.min("holder").alias("class"))
+    members = durable(sets.join(named, "held").select("holder", "class"), "classes")
+
+    firsts = members.where(F.col("holder") == F.col("class")).select("holder")
+    of_class = marked.where("shared").join(firsts, "holder").drop("shared")
+    own = marked.where("NOT shared").drop("shared")
+    principal = ["kind", "principal"]
+    class_grants = durable(_fold_grants(grants.join(of_class, principal)), "grants")
+    class_levels = durable(_fold_levels(levels.join(of_class, principal)), "levels")
+    own_grants = durable(_fold_grants(grants.join(own, principal)), "grants")
+    own_levels = _fold_levels(levels.join(own, principal))
+
+    # On a table of its own, a holder also has what its class has there.
+    pairs = own_grants.select("holder", "table_id").distinct().join(members, "holder")
+    pairs = durable(pairs.select("holder", "class", "table_id"), "pairs")
+    with_class = lambda rows: pairs.join(rows.withColumnRenamed("holder", "class"), ["class", "table_id"]).drop("class")
+    pair_grants = durable(_fold_grants(with_class(class_grants).unionByName(own_grants)), "grants")
+    pair_levels = _fold_levels(with_class(class_levels).unionByName(own_levels))
+
+    tables = pairs.groupBy("holder").agg(F.collect_list("table_id").alias("own"))
+    members = durable(members.join(tables, "holder", "left"), "classes")
+    return members, _resolved(class_grants, class_levels), _resolved(pair_grants, pair_levels)
+
+
+def _to_holders(members: DataFrame, by_class: DataFrame, by_pair: DataFrame, about: DataFrame | None) -> DataFrame:
+    """Rows of classes and of holders' own tables as rows of each holder, with the columns of ``about`` (holder, ...).
+
+    The rows of a class and table travel as one; they are written out where their holder is, without another shuffle.
+    """
+    cells = [c for c in by_class.columns if c not in ("holder", "table_id")]
+    packed = by_class.groupBy(F.col("holder").alias("class"), "table_id").agg(F.collect_list(F.struct(*cells)).alias("cells"))
+    packed = checked_broadcast(durable(packed, "cells"))
+    if about is not None:
+        members = durable(members.join(about, "holder"), "classes")
+        by_pair = by_pair.join(about, "holder")
+    cores = members.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, members.count() // HOLDERS_PER_TASK)
+    carried = [c for c in members.columns if c not in ("holder", "class", "own")]
+    elsewhere = ~F.coalesce(F.array_contains("own", F.col("table_id")), F.lit(False))
+    shared = members.repartition(parts).join(packed, "class").where(elsewhere).select("holder", "table_id", F.inline("cells"), *carried)
+    return shared.unionByName(by_pair)
+
+
+def access_matrix(consents: DataFrame, rules: DataFrame, holders: DataFrame, about: DataFrame | None = None) -> DataFrame:
+    """Access of every holder to every table: (holder, table_id, column_name, level).
+
+    ``consents``: active ones, with ``filter_key`` (canonical row filter, NULL for none).
+    ``rules``: (consent_id, column_name, access_level).
+    ``holders``: (holder, kind, principal).
+    ``about``: (holder, ...), one row a holder, whose columns are carried along.
+    Column ``*`` carries the level of columns no consent mentions. Tables without an
+    allow, or with an unconditional deny, do not appear.
+
+    Maximum inside a filter group and minimum across groups both are associative, so
+    consents are folded per principal before they meet the holders; no stage holds
+    a group in memory. What holders have in common is resolved once (``_shared_matrix``).
+    """
+    return _to_holders(*_shared_matrix(consents, rules, holders), about)
+
+
 def table_outcomes(consents: DataFrame, rules: DataFrame, holders: DataFrame) -> DataFrame:
     """(holder, table_id, outcome): hard deny, no consent, or allowed."""
     bare = (
@@ -305,15 +370,20 @@ def table_outcomes(consents: DataFrame, rules: DataFrame, holders: DataFrame) ->
     )
 
 
-def visible_catalog(consents: DataFrame, rules: DataFrame, holders: DataFrame) -> DataFrame:
+def visible_catalog(consents: DataFrame, rules: DataFrame, holders: DataFrame, about: DataFrame | None = None) -> DataFrame:
     """Tables a holder sees, with the number of readable and masked named columns."""
-    matrix = access_matrix(consents, rules, holders)
     named = F.col("column_name") != "*"
-    return matrix.groupBy("holder", "table_id").agg(
-        F.count_if(named & (F.col("level") == CLEAR)).alias("clear_columns"),
-        F.count_if(named & (F.col("level") == MASK)).alias("masked_columns"),
-        F.max(F.when(~named, F.col("level"))).alias("other_columns"),
-    )
+
+    def counted(matrix: DataFrame) -> DataFrame:
+        return matrix.groupBy("holder", "table_id").agg(
+            F.count_if(named & (F.col("level") == CLEAR)).alias("clear_columns"),
+            F.count_if(named & (F.col("level") == MASK)).alias("masked_columns"),
+            F.max(F.when(~named, F.col("level"))).alias("other_columns"),
+        )
+
+    # A table lies as a whole either in the matrix of the class or in that of the holder.
+    members, by_class, by_pair = _shared_matrix(consents, rules, holders)
+    return _to_holders(members, counted(by_class), counted(by_pair), about)
 
 
 def decision_lifetime(sensitive: Column, earliest_expiry: Column, now: Column) -> Column:

@@ -86,10 +86,17 @@ def _by_profile(t: Frames):
     return members, parts.withColumnRenamed("profile", "holder")
 
 
+def _firsts(members):
+    return members.groupBy(F.col("profile").alias("holder")).agg(F.min("sid").alias("first"))
+
+
+def _named(rows):
+    return rows.drop("holder").withColumnRenamed("first", "holder")
+
+
 def _represented(members, rows):
     """Names each profile by its first subject. Subjects are never multiplied by tables."""
-    first = members.groupBy(F.col("profile").alias("holder")).agg(F.min("sid").alias("first"))
-    return rows.join(first, "holder").drop("holder").withColumnRenamed("first", "holder")
+    return _named(rows.join(_firsts(members), "holder"))
 
 
 @query(
@@ -128,7 +135,7 @@ def profiles(t: Frames):
 )
 def column_levels(t: Frames):
     members, holders = _by_profile(t)
-    return _represented(members, C.access_matrix(_live(t), _rules(t), holders))
+    return _named(C.access_matrix(_live(t), _rules(t), holders, _firsts(members)))
 
 
 @query(
@@ -149,13 +156,9 @@ def table_outcome(t: Frames):
 def matrix(t: Frames):
     """Computed per profile; subjects are only counted, never paired with tables."""
     members, holders = _by_profile(t)
-    levels = C.access_matrix(_live(t), _rules(t), holders)
     sizes = members.groupBy(F.col("profile").alias("holder")).agg(F.count("*").alias("n"))
-    return (
-        levels.join(sizes, "holder")
-        .groupBy("table_id", "column_name", "level")
-        .agg(F.sum("n").alias("subjects"))
-    )
+    levels = C.access_matrix(_live(t), _rules(t), holders, sizes)
+    return levels.groupBy("table_id", "column_name", "level").agg(F.sum("n").alias("subjects"))
 
 
 @query(
@@ -168,7 +171,7 @@ def matrix(t: Frames):
 )
 def visible(t: Frames):
     members, holders = _by_profile(t)
-    return _represented(members, C.visible_catalog(_live(t), _rules(t), holders))
+    return _named(C.visible_catalog(_live(t), _rules(t), holders, _firsts(members)))
 
 
 @query(

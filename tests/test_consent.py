@@ -162,6 +162,54 @@ def test_matrix_equals_single_resolution(spark):
     assert got == want
 
 
+def test_what_holders_share_is_resolved_once(spark, monkeypatch):
+    """Many holders of few groups, some with consents of their own: same levels, and no frame written with holders times tables."""
+    rng = random.Random(5)
+    sids = [f"u{i:03}" for i in range(120)]
+    groups = {s: frozenset(["g1", "g2"] if int(s[1:]) % 3 else ["g1"]) for s in sids}
+    consents, rows, rules = [], [], []
+    for i in range(160):
+        kind, who = ("USER", rng.choice(sids[:9])) if i % 13 == 0 else ("GROUP", rng.choice(["g1", "g2"]))
+        effect = "DENY" if rng.random() < 0.15 else "ALLOW"
+        table = f"d.s.t{rng.randrange(12)}"
+        columns = {n: rng.randrange(3) for n in rng.sample(["a", "b", "c"], rng.randrange(4))}
+        cond = rng.choice([None, EU, US])
+        consents.append(Consent(table, effect, kind, who, columns=columns, filters=(cond,) if cond else ()))
+        rows.append((i, table, effect, kind, who, None, cond.value if cond else None))
+        rules += [(i, n, v) for n, v in columns.items()]
+    frame = spark.createDataFrame(
+        rows,
+        "consent_id int, table_id string, effect string, grantee_type string, grantee_sid string, "
+        "role_name string, filter_key string",
+    )
+    rule_frame = spark.createDataFrame(rules, "consent_id int, column_name string, access_level int")
+    holders = [(s, "SELF", s) for s in sids] + [(s, "GROUP", g) for s in sids for g in groups[s]]
+    written, durable = [], C.durable
+
+    def counted(df, label="cut"):
+        out = durable(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "durable", counted)
+    about = spark.createDataFrame([(s, int(s[1:])) for s in sids], "holder string, n int")
+    matrix = C.access_matrix(frame, rule_frame, spark.createDataFrame(holders, "holder string, kind string, principal string"), about)
+    got = {(r.holder, r.n, r.table_id, r.column_name): r.level for r in matrix.collect()}
+    # Subjects after the ninth differ by their groups alone.
+    alike, want = {}, {}
+    for s in sids:
+        key = s if s in sids[:9] else groups[s]
+        for k in range(12):
+            if (key, k) not in alike:
+                alike[key, k] = C.resolve(consents, Subject(s, groups=groups[s]), f"d.s.t{k}", SCHEMA, NOW)
+            d = alike[key, k]
+            if d.allowed:
+                found = {"*": d.default_level} | d.levels
+                want |= {(s, int(s[1:]), f"d.s.t{k}", n): v for n, v in found.items()}
+    assert got == want
+    assert max(written) < 500 < len(sids) * 12
+
+
 def test_profiles_share_equal_holdings(spark):
     principals = spark.createDataFrame(
         [("u1", "GROUP", "g"), ("u2", "GROUP", "g"), ("u3", "GROUP", "g"), ("u3", "SELF", "u3"), ("u4", "GROUP", "x")],
