@@ -440,3 +440,14 @@ def test_gaps(spark):
     got = {tuple(r) for r in A.chain_gaps(frame).collect()}
     # Chains start at 1, so what lies before the first entry is missing too.
     assert got == {("a", 3, 4), ("a", 7, 8), ("a", 11, 14), ("b", 1, 2)}
+
+
+def test_votes_are_dealt_by_their_number(spark, monkeypatch):
+    from consentry.operators import audit as A
+
+    monkeypatch.setattr(A, "VOTES_PER_TASK", 10)
+    steps = spark.range(2000).selectExpr("id % 500 AS request_id", "'u' || id % 3 AS approver_sid", "'APPROVED' AS decision")
+    requests = spark.range(500).selectExpr("id AS request_id", "'u0' AS requester_sid", "id % 2 = 0 AS four_eyes")
+    status = A.approval_status(requests, steps)
+    assert ", 200), REPARTITION_BY_NUM" in status._jdf.queryExecution().toString()
+    assert {r.status for r in status.collect()} <= {"APPROVED", "PENDING_SECOND_APPROVAL"}
