@@ -168,6 +168,32 @@ def test_downstream_with_a_hub(spark):
         assert {r.node: r.distance for r in got if r.root == root} == closure(edges, root)
 
 
+@pytest.mark.parametrize("nodes", (4, 4096))
+def test_what_lies_behind_shared_nodes_is_not_written_per_root(spark, monkeypatch, nodes):
+    rng = random.Random(nodes)
+    monkeypatch.setattr(lineage, "MANY_ROOTS", 10, raising=False)
+    monkeypatch.setattr(lineage, "PACKED_NODES", nodes, raising=False)
+    edges = {(f"o{i}", f"m{rng.randrange(6)}") for i in range(60) for _ in range(2)}
+    edges |= {(f"m{rng.randrange(6)}", f"n{rng.randrange(30)}") for _ in range(20)}
+    edges |= {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(50)}
+    edges |= {("n3", "o5"), ("m1", "n3"), ("m2", "m1"), ("o7", "o7"), ("o9", "o5")}
+    frame = spark.createDataFrame(sorted(edges), "src string, dst string")
+    roots = [f"o{i}" for i in range(61)]
+    written, plain = [], lineage.durable
+    monkeypatch.setattr(lineage, "durable", lambda df, label="": written.append((label, plain(df, label))) or written[-1][1])
+    got = lineage.downstream(frame, spark.createDataFrame([(r,) for r in roots], "node string")).collect()
+    straight = {e for e in edges if e[0] != e[1]}
+    for root in roots:
+        mine = {r.node: r for r in got if r.root == root}
+        want = closure(straight, root)
+        want.pop(root, None)
+        assert {n: r.distance for n, r in mine.items()} == want and len(mine) == sum(r.root == root for r in got)
+        far = {**want, root: 0}
+        for r in mine.values():
+            assert r.upstream == min(a for a, b in straight if b == r.node and far.get(a) == r.distance - 1)
+    assert sum(df.count() for label, df in written if label == "closure") < len(got) / 2
+
+
 def test_deep_chains_are_followed_to_the_end(spark):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(20)]
     frame, root = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("n0",)], "node string")
