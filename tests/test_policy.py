@@ -58,6 +58,17 @@ def problems(frame, tails=None):
     return sorted((r.tenant_id, r.seq, r.problem) for r in A.verify_chain(frame, KEY, segment_rows=16, tails=tails).collect())
 
 
+def test_only_hashes_move_and_tasks_get_entries_by_number(log, monkeypatch):
+    monkeypatch.setattr(A, "ENTRIES_PER_TASK", 2, raising=False)
+    forged = log.withColumn("event_type", F.when(F.col("seq") == 33, "other").otherwise(F.col("event_type"))).where("seq <> 70")
+    tails = A.signed_tails(A.chain_tails(log), KEY)
+    found = A.verify_chain(forged, KEY, segment_rows=16, tails=tails)
+    want = {(t, n, p) for t in ("t0", "t1") for n, p in ((33, "TAMPERED"), (71, "GAP"))}
+    assert {tuple(r) for r in found.collect()} == want
+    moved = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in x]
+    assert moved and all(x.rstrip().endswith(", 99") for x in moved)
+
+
 def test_missing_parts_are_seen(log):
     tails = A.signed_tails(A.chain_tails(log), KEY)
     assert problems(log, tails) == []
