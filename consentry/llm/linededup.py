@@ -53,7 +53,7 @@ def soft_ends(hashes: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     n = len(hashes)
     each = np.arange(n)
     begin = np.flatnonzero(fresh)
-    nth = np.searchsorted(begin, each, side="right")
+    nth = np.cumsum(fresh)
     least = (each - begin[nth - 1] >= EDGE) & (np.append(begin, n)[nth] - each >= EDGE)
     for step in (1, 2):
         least[step:] &= hashes[step:] < hashes[:-step]
@@ -69,7 +69,8 @@ class Lines:
         raw = words.raw
         blank = np.append((raw == 10) | (raw == 32) | (raw == 9) | (raw == 13), True)
         ends = (raw == 10) | (((raw == 46) | (raw == 33) | (raw == 63)) & blank[1:])
-        marks = np.concatenate([[0], np.cumsum(ends)])
+        marks = np.zeros(len(raw) + 1, dtype=np.int32)
+        np.cumsum(ends, out=marks[1:])
         fresh = np.ones(len(words.hash), dtype=bool)
         if len(fresh):
             fresh[1:] = marks[words.start[1:]] > marks[words.end[:-1]]
@@ -106,9 +107,9 @@ class Lines:
         if not len(a):
             return a
         # Ranks stand for (hash, later first), so that minima are places as well.
-        order = np.lexsort((-np.arange(n), self.hash))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.arange(n)
+        order = n - 1 - np.argsort(self.hash[::-1], kind="stable")
+        rank = np.empty(n, dtype=np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
         levels = [rank]
         width = int((b - a).max())
         while 1 << len(levels) <= width:
