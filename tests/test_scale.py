@@ -194,6 +194,16 @@ def test_what_lies_behind_shared_nodes_is_not_written_per_root(spark, monkeypatc
     assert sum(df.count() for label, df in written if label == "closure") < len(got) / 2
 
 
+def test_ways_are_not_moved_where_only_nodes_are_read(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "MANY_ROOTS", 10)
+    edges = spark.createDataFrame([*((f"o{i}", f"m{i % 3}") for i in range(30)), ("m0", "n"), ("m1", "n"), ("n", "k")], "src string, dst string")
+    got = lineage.downstream(edges, edges.where("src LIKE 'o%'").select(F.col("src").alias("node")))
+    kept = got.groupBy("root").agg(F.count("node").alias("n"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\b(ways|codes)#", plan) and re.search(r"\bnumbers#", plan)
+    assert {r.root: r.n for r in kept.collect()} == {f"o{i}": 1 if i % 3 == 2 else 3 for i in range(30)}
+
+
 def test_deep_chains_are_followed_to_the_end(spark):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(20)]
     frame, root = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("n0",)], "node string")
@@ -272,6 +282,15 @@ def impact(spark, edges, root):
     return {r.node: (r.distance, r.cyclic) for r in out}
 
 
+def test_cycles_of_a_root_are_tested_without_joins(spark, monkeypatch):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "b"), ("c", "d"), ("b", "d"), ("d", "e"), ("e", "d"), ("a", "e"), ("e", "b")]
+    labels, plain = [], lineage.durable
+    monkeypatch.setattr(lineage, "durable", lambda df, label="": labels.append(label) or plain(df, label))
+    assert impact(spark, edges, "a") == plain_impact(edges, "a") and "climb" not in labels
+    monkeypatch.setattr(lineage, "TESTED", 0)
+    assert impact(spark, edges, "a") == plain_impact(edges, "a") and "climb" in labels
+
+
 def test_cycles_and_diamonds(spark):
     assert impact(spark, [("a", "b"), ("b", "c"), ("c", "a")], "a") == {
         "b": (1, False), "c": (2, False), "a": (0, True)
