@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from consentry.model import GOVERNANCE_SCHEMAS
 from consentry.operators.lineage import downstream
+from consentry.session import durable
 
 
 def parse_policy(lines: Sequence[str], tenant: str) -> tuple[list[tuple], list[tuple[str, str]]]:
@@ -139,8 +140,27 @@ def object_keys(name: Column, shapes: Sequence[str]) -> Column:
     return F.array_compact(F.array(*keys))
 
 
+# From so many rules on, pairs of subject and key are looked up in a table of bits: so many for a rule, in all, and in a word.
+FILTERED, RULE_BITS, MOST_BITS, WORD = 50_000, 16, 1 << 27, 64
+
+
+def _place(subject: Column, key: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(subject, key), F.lit(size))
+
+
+def _known_keys(ready: DataFrame, rules: int) -> tuple[Column, int]:
+    """Table of bits, one row of at most MOST_BITS, in which the places of all rules' subjects and keys are set; and its size."""
+    size = WORD << max(0, (min(MOST_BITS, rules * RULE_BITS) // WORD - 1).bit_length())
+    place = _place(F.col("_rule_sub"), F.col("_rule_key"), size)
+    bit = F.expr(f"shiftleft(1L, CAST(_place % {WORD} AS INT))")
+    words = ready.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / WORD).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    every = ready.sparkSession.range(size // WORD).select(F.col("id").alias("_word")).join(words, "_word", "left")
+    listed = every.agg(F.array_sort(F.collect_list(F.struct("_word", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits")))).alias("_all"))
+    return durable(listed.select(F.col("_all._bits").alias("_bits")), "keys").scalar(), size
+
+
 def _candidates(requests: DataFrame, grouping: DataFrame, shapes: Sequence[str]) -> DataFrame:
-    """Every request with its possible rule subjects and object keys, one pair a row.
+    """Every request with its possible rule subjects and object keys, one pair a row; ``_first`` marks one row of a request.
 
     An actor's roles are listed once per actor (there are few), so requests meet them
     in one join and fan out without another shuffle.
@@ -155,9 +175,10 @@ def _candidates(requests: DataFrame, grouping: DataFrame, shapes: Sequence[str])
     subjects = F.array_distinct(
         F.concat(F.array(F.lit("*"), F.col("_actor")), F.coalesce("_roles", none))
     )
-    return known.select(
-        *requests.columns, F.explode(subjects).alias("_sub"), object_keys(F.col("object"), shapes).alias("_all")
-    ).select(*requests.columns, "_sub", F.explode_outer("_all").alias("_key"))
+    keyed = known.select(
+        *requests.columns, F.posexplode(subjects).alias("_nth", "_sub"), object_keys(F.col("object"), shapes).alias("_all")
+    ).select(*requests.columns, "_sub", "_nth", F.posexplode_outer("_all").alias("_at", "_key"))
+    return keyed.withColumn("_first", (F.col("_nth") == 0) & (F.coalesce("_at", F.lit(0)) == 0)).drop("_nth", "_at")
 
 
 def _with_rules(
@@ -176,6 +197,14 @@ def _with_rules(
         F.when(pattern_needs_regex(obj), pattern_regex(obj)).alias("_regex"),
         *[F.col(c) for c in rules.columns],
     )
+    count = rules.count()
+    if count >= FILTERED:
+        # Most keys belong to no rule: they go before the rows move. A left join keeps one row of each request.
+        bits, size = _known_keys(ready, count)
+        at = _place(F.col("_sub"), F.col("_key"), size)
+        hit = F.col("_key").isNotNull() & (F.getbit(F.get(bits, F.floor(at / WORD).cast("int")), F.pmod(at, F.lit(WORD)).cast("int")) == 1)
+        keyed = keyed.where(hit if how == "inner" else hit | F.col("_first"))
+    keyed = keyed.drop("_first")
     # A regex is compiled per candidate; it is left to the patterns a key cannot decide.
     fits = F.when(F.col("_regex").isNull(), True).otherwise(F.expr("object rlike _regex"))
     on = (F.col("_sub") == F.col("_rule_sub")) & (F.col("_key") == F.col("_rule_key"))

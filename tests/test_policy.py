@@ -171,3 +171,30 @@ def test_every_query_gets_its_places(spark):
     assert got[1] == [("a", 1.0), ("d", 1.0), ("b", 0.0)]
     assert got[2] == got[3] == [(x, 0.5) for x in "abcd"]
     assert got[4] == [("d", 1.0), ("a", 0.0), ("b", 0.0)]
+
+
+def test_keys_of_no_rule_go_before_the_join(spark, monkeypatch):
+    requests = spark.createDataFrame(
+        [("Ann", "t", f"s.d.t{i}x", "read") for i in range(20)] + [("bob", "t", "*", "read"), ("eve", "u", "none", "write")],
+        "actor string, tenant string, object string, action string",
+    )
+    rules = spark.createDataFrame(
+        [("*", "t", "s.d.t1*", "read", "true", "allow"), ("staff", "t", "s.*.t7x", "*", "true", "deny"), ("ann", "t", "s.d.t3x", "*", "true", "allow")],
+        "sub string, rule_tenant string, obj string, act string, sub_rule string, eft string",
+    )
+    grouping = spark.createDataFrame([("ANN", "Staff")], "sid string, role string")
+
+    def found():
+        return sorted(B.match_rules(requests, rules, grouping).collect()), sorted(B.evaluate(requests, rules, grouping).collect())
+
+    plain = found()
+    assert len(plain[0]) == 13 and len(plain[1]) == 22
+    monkeypatch.setattr(B, "FILTERED", 1)
+    assert found() == plain
+    shapes = sorted(r[0] for r in rules.select(B.pattern_shape(F.col("obj"))).distinct().collect())
+    ready = rules.select(F.lower("sub").alias("_rule_sub"), B.pattern_key(F.col("obj")).alias("_rule_key"))
+    bits, size = B._known_keys(ready, 1000)
+    keyed = B._candidates(requests, grouping, shapes).where("_key IS NOT NULL")
+    at = B._place(F.col("_sub"), F.col("_key"), size)
+    kept = keyed.where(F.getbit(F.get(bits, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
+    assert 13 <= kept.count() < keyed.count() / 4
