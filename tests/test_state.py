@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 
 from consentry.operators.limits import first_request_windows
 from consentry.session import scratch_path
@@ -98,3 +99,68 @@ def test_updates_give_the_last_row_of_each_key(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, spend(table).collect()))
     sizes = {r["batch"]: r["count"] for r in spark.read.parquet(f"{root}/out").groupBy("batch").count().collect()}
     assert len(sizes) == 3 and sizes[1] <= 50
+
+
+class Held:
+    """One state variable, or the timers, of a client; tells each message."""
+
+    def __init__(self, told, name, empty):
+        self.told, self.name, self.empty, self.value = told, name, empty, empty
+
+    def __getattr__(self, call):
+        def send(*args):
+            self.told.append((self.name, call))
+            if call == "get":
+                return iter(list(self.value)) if self.name == "pending" else self.value
+            if call == "exists":
+                return self.value != self.empty
+            if call == "appendList":
+                self.value = [*self.value, *args[0]]
+            else:
+                self.value = args[0] if args else self.empty
+
+        return send
+
+
+class Handle:
+    def __init__(self):
+        self.told, self.timers = [], []
+
+    def getValueState(self, name, schema):
+        return Held(self.told, name, None)
+
+    def getListState(self, name, schema):
+        return Held(self.told, name, [])
+
+    def listTimers(self):
+        self.told.append(("timers", "list"))
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):
+        self.told.append(("timers", "register"))
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.told.append(("timers", "delete"))
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_a_client_sends_few_messages():
+    handle, windows = Handle(), S.FirstRequestWindows(10_000)
+    windows.init(handle)
+    rows = pd.DataFrame({"moment": [1_000, 5_000, 12_000, 40_000], "requests": [1, 2, 1, 1]})
+    assert not list(windows.handleInputRows(("a",), iter([rows]), None)) and handle.timers == [11]
+    handle.told.clear()
+    out = pd.concat(windows.handleExpiredTimer(("a",), Clock(25), None))
+    assert out.values.tolist() == [["a", 1_000, 3], ["a", 12_000, 1]]
+    assert handle.timers == [11, 50] and windows.pending.value == [(40_000, 1)]
+    # What is held, the open window, the rest, the next timer. Spark deletes the expired timer itself.
+    assert len(handle.told) == 4
