@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from consentry.functions.text import token_estimate
 from consentry.operators.relevance import (
-    BASELINE_ITEMS, BOOST, EXACT, MAX_ITEMS, MAX_TOKENS, MIN_SCORE, term_pairs, terms,
+    BASELINE_ITEMS, BOOST, EXACT, MAX_ITEMS, MAX_TOKENS, MIN_SCORE, PASS_TERMS, asked_terms, item_words, passes,
 )
-from consentry.session import checked_broadcast, durable, spread
+from consentry.session import durable
 
-# Query terms that are searched in one pass over the items; they are held by every task.
-PASS_TERMS = 200_000
 # From this many tasks on, the items of one in SEED_SHARE are searched first.
 SEED_SHARE = 64
 
@@ -93,21 +91,28 @@ def front(found: Found, limits: Limits) -> Found:
 
 
 class Block:
-    """Postings of some items, by term, with the largest points of each list."""
+    """Postings of some items, by term, with the largest points of each list.
 
-    def __init__(self, batch: pa.RecordBatch, limits: Limits):
+    ``points`` has them by term and item; without it the column ``hits`` lists the terms and points of each item.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, limits: Limits, points: np.ndarray | None = None):
         self.item = batch.column("item").to_numpy(zero_copy_only=False)
         self.tokens = batch.column("tokens").to_numpy(zero_copy_only=False)
         self.size = np.minimum(self.tokens, limits.tokens + 1)
         self.boosted = batch.column("boosted").to_numpy(zero_copy_only=False).astype(bool)
-        hits = batch.column("hits")
-        owner = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy(zero_copy_only=False))
-        cells = hits.flatten()
-        term = cells.field("term").to_numpy(zero_copy_only=False)
-        points = cells.field("points").to_numpy(zero_copy_only=False)
-        by_term = np.argsort(term, kind="stable")
-        self.owner, self.points = owner[by_term], points[by_term].astype(np.int64)
-        self.terms, self.first = np.unique(term[by_term], return_index=True)
+        if points is None:
+            hits = batch.column("hits")
+            owner = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy(zero_copy_only=False))
+            cells = hits.flatten()
+            term = cells.field("term").to_numpy(zero_copy_only=False)
+            by_term = np.argsort(term, kind="stable")
+            term, self.owner = term[by_term], owner[by_term]
+            self.points = cells.field("points").to_numpy(zero_copy_only=False)[by_term].astype(np.int64)
+        else:
+            term, self.owner = np.nonzero(points)
+            self.points = points[term, self.owner].astype(np.int64)
+        self.terms, self.first = np.unique(term, return_index=True)
         self.last = np.append(self.first[1:], len(term))
         self.top = np.maximum.reduceat(self.points, self.first) if len(term) else np.empty(0, np.int64)
         self.least_size = int(self.size.min()) if len(self.size) else 0
@@ -178,16 +183,16 @@ def _numpy(kind: pa.DataType):
     return np.int64 if pa.types.is_integer(kind) else object
 
 
-def _searcher(asked, kind: pa.DataType, limits: Limits, seeds=None):
+def _searcher(sent, kind: pa.DataType, limits: Limits, seeds=None):
     """A task: blocks of items in ascending size, so that what was found bounds what comes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = asked.value
+        known, _, wanted = sent.value
         start = seeds.value if seeds is not None else {}
         found = {}
         for batch in batches:
-            if batch.num_rows:
-                block = Block(batch, limits)
-                for number, ids in wanted.items():
+            for first, points in known.points(batch.column("words"), batch.num_rows):
+                block = Block(batch.slice(first, points.shape[1]), limits, points)
+                for number, ids in enumerate(wanted):
                     before = found.get(number) or start.get(number) or Found.none(_numpy(kind))
                     after, _ = search(block, ids, before, limits)
                     if after is not before:
@@ -220,61 +225,26 @@ def best_matches(
     item (a text or whole number), text, boosted; each id once. Sizes above the budget count as one more than it, which no
     choice can tell apart. Null ids take no part, null texts have no terms, null boosts are none.
 
-    The items' postings are written once per pass, one row per item. Every task holds the terms of one pass (at most
-    ``pass_terms`` and those of one query), goes through its items in ascending size, and keeps the front of each query.
-    From ``seed_share`` tasks on the items of one share are searched first and their fronts are the start of all others, so
-    the rows that leave the tasks grow with the queries, hardly with the tasks.
+    The items' words are written once, one row per item. Every task holds the terms of one pass (at most ``pass_terms`` and
+    those of one query), looks up the words of its items, goes through these in ascending size, and keeps the front of each
+    query. From ``seed_share`` tasks on the items of one share are searched first and their fronts are the start of all others,
+    so the rows that leave the tasks grow with the queries, hardly with the tasks.
     """
     limits = Limits(max_items, max_tokens, threshold, min(BASELINE_ITEMS, max_items))
-    asked = queries.where("query IS NOT NULL").select("query", F.explode(terms(F.col("text"))).alias("query_term"))
-    asked = durable(asked.distinct(), "terms")
-    taken = durable(
-        spread(items.where("item IS NOT NULL")).select(
-            "item",
-            F.coalesce("boosted", F.lit(False)).alias("boosted"),
-            token_estimate(F.length("text")).cast("long").alias("tokens"),
-            terms(F.col("text")).alias("words"),
-        ),
-        "items",
-    )
-    words = durable(taken.select(F.explode("words").alias("word")).distinct(), "words")
-    pairs = durable(term_pairs(asked.select(F.col("query_term").alias("word")).distinct(), words), "pairs")
-    passes = max(1, -(-asked.count() // pass_terms))
-    turn = F.pmod(F.xxhash64("query"), F.lit(passes))
-    out = None
-    for n in range(passes):
-        # Bounded by ``pass_terms`` on average: the queries are dealt by hash.
-        rows = asked.where(turn == n).toPandas()
-        part = _one_pass(rows, taken, pairs, queries.schema["query"].dataType, limits, seed_share)
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = asked_terms(queries)
+    taken = item_words(items).withColumns({
+        "boosted": F.coalesce("boosted", F.lit(False)), "early": F.pmod(F.xxhash64("item"), F.lit(seed_share)) == 0
+    })
+    # Sorted, so that the footers tell where the early items lie.
+    taken = durable(taken.sortWithinPartitions(F.desc("early"), "tokens", "item"), "items")
+    return reduce(DataFrame.unionByName, [_one_pass(known, taken, limits, seed_share) for known in passes(asked, pass_terms)])
 
 
-def _one_pass(rows, taken: DataFrame, pairs: DataFrame, label: T.DataType, limits: Limits, seed_share: int) -> DataFrame:
-    """Matches of the queries in ``rows`` (query, query_term), on the driver and bounded."""
+def _one_pass(known, taken: DataFrame, limits: Limits, seed_share: int) -> DataFrame:
+    """Matches of the queries of a pass, which is on the driver and bounded."""
     spark = taken.sparkSession
-    vocabulary = sorted(set(rows["query_term"]))
-    number = {w: i for i, w in enumerate(vocabulary)}
-    names, wanted = [], {}
-    for name, group in rows.groupby("query", sort=True)["query_term"]:
-        wanted[len(names)] = np.sort(np.array([number[w] for w in group], np.int64))
-        names.append((len(names), name.item() if hasattr(name, "item") else name))
-    numbers = spark.createDataFrame(list(number.items()), "query_term string, term int")
-    # Both tables are bounded by the terms of a pass.
-    known = durable(pairs.join(F.broadcast(numbers), "query_term").select("item_term", "term", "points"), "known")
-    held = taken.repartition("item").select("item", "boosted", "tokens", F.explode("words").alias("item_term"))
-    index = (
-        held.join(checked_broadcast(known), "item_term")
-        .groupBy("item", "boosted", "tokens", "term")
-        .agg(F.max("points").alias("points"))
-        .groupBy("item", "boosted", "tokens")
-        .agg(F.collect_list(F.struct("term", "points")).alias("hits"))
-        .withColumn("early", F.pmod(F.xxhash64("item"), F.lit(seed_share)) == 0)
-    )
-    # Sorted, so that the footers tell where the early items lie.
-    index = durable(index.sortWithinPartitions(F.desc("early"), "tokens", "item"), "postings")
-    sent = spark.sparkContext.broadcast(wanted)
-    item = index.schema["item"].dataType
+    sent = spark.sparkContext.broadcast(known)
+    item = taken.schema["item"].dataType
     kind, shape = (pa.string(), "string") if isinstance(item, T.StringType) else (pa.int64(), "bigint")
     shape = f"_number int, item {shape}, score double, tokens bigint, boosted boolean"
 
@@ -282,14 +252,14 @@ def _one_pass(rows, taken: DataFrame, pairs: DataFrame, label: T.DataType, limit
         ordered = df.withColumn("item", F.col("item").cast("string" if kind == pa.string() else "bigint")).sortWithinPartitions("tokens", "item")
         return durable(ordered.mapInArrow(_searcher(sent, kind, limits, seeds), shape), "matches")
 
-    if index.rdd.getNumPartitions() < seed_share:
-        matches = found(index)
+    if taken.rdd.getNumPartitions() < seed_share:
+        matches = found(taken)
     else:
-        first = found(index.where("early"))
+        first = found(taken.where("early"))
         seeds = spark.sparkContext.broadcast(_fronts(first, kind, limits))
-        matches = first.unionByName(found(index.where("NOT early"), seeds))
-    labels = spark.createDataFrame(names, T.StructType([T.StructField("_number", T.IntegerType()), T.StructField("query", label)]))
-    matches = matches.join(F.broadcast(labels), "_number")
+        matches = first.unionByName(found(taken.where("NOT early"), seeds))
+    names = pa.table({"_number": pa.array(np.arange(len(known[1]), dtype=np.int32)), "query": known[1]})
+    matches = matches.join(F.broadcast(spark.createDataFrame(names)), "_number")
     return matches.select("query", F.col("item").cast(item).alias("item"), "score", "tokens", "boosted")
 
 

@@ -157,3 +157,19 @@ def test_scores_are_found_where_the_items_are(spark):
     unique = items.where("item < 40").dropDuplicates(["item"]).localCheckpoint()
     plan = R.relevance_scores(queries, unique)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashpartitioning" not in plan
+
+
+def test_no_words_are_joined_for_the_search(spark, monkeypatch):
+    plans = {}
+
+    def written(df, label="cut", durable=R.durable):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return durable(df, label)
+
+    for module in (M, R):
+        monkeypatch.setattr(module, "durable", written)
+    queries, items = tables(spark, 6, 200)
+    assert M.best_matches(queries, items).count() > 0
+    # Words of items meet the terms inside a task: no vocabulary, no pairs and no postings are written.
+    assert set(plans) == {"terms", "shared", "items", "matches"}
+    assert not [label for label in ("items", "matches") if "Join" in plans[label] or "hashpartitioning" in plans[label]]
