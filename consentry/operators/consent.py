@@ -304,16 +304,18 @@ def _shared_matrix(consents: DataFrame, rules: DataFrame, holders: DataFrame) ->
 
 
 def _to_holders(members: DataFrame, by_class: DataFrame, by_pair: DataFrame, about: DataFrame | None) -> DataFrame:
-    """Rows of classes and of holders' own tables as rows of each holder, with the columns of ``about`` (holder, ...).
+    """Rows of classes and of holders' own tables as rows of each holder, once for each of its rows in ``about`` (holder, ...).
 
     The rows of a class and table travel as one; they are written out where their holder is, without another shuffle.
     """
     cells = [c for c in by_class.columns if c not in ("holder", "table_id")]
-    packed = by_class.groupBy(F.col("holder").alias("class"), "table_id").agg(F.collect_list(F.struct(*cells)).alias("cells"))
+    listed = F.collect_list(F.struct(*cells)).alias("cells")
+    packed = by_class.groupBy(F.col("holder").alias("class"), "table_id").agg(listed)
     packed = checked_broadcast(durable(packed, "cells"))
     if about is not None:
         members = durable(members.join(about, "holder"), "classes")
-        by_pair = by_pair.join(about, "holder")
+        more = [c for c in about.columns if c != "holder"]
+        by_pair = by_pair.groupBy("holder", "table_id").agg(listed).join(about, "holder").select("holder", "table_id", F.inline("cells"), *more)
     cores = members.sparkSession.sparkContext.defaultParallelism
     parts = max(cores, members.count() // HOLDERS_PER_TASK)
     carried = [c for c in members.columns if c not in ("holder", "class", "own")]
@@ -328,7 +330,8 @@ def access_matrix(consents: DataFrame, rules: DataFrame, holders: DataFrame, abo
     ``consents``: active ones, with ``filter_key`` (canonical row filter, NULL for none).
     ``rules``: (consent_id, column_name, access_level).
     ``holders``: (holder, kind, principal).
-    ``about``: (holder, ...), one row a holder, whose columns are carried along.
+    ``about``: (holder, ...), whose columns are carried along; a holder of several rows, such as the subjects of a
+    profile, is written out for each of them.
     Column ``*`` carries the level of columns no consent mentions. Tables without an
     allow, or with an unconditional deny, do not appear.
 

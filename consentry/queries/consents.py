@@ -90,13 +90,18 @@ def _firsts(members):
     return members.groupBy(F.col("profile").alias("holder")).agg(F.min("sid").alias("first"))
 
 
-def _named(rows):
-    return rows.drop("holder").withColumnRenamed("first", "holder")
-
-
 def _represented(members, rows):
     """Names each profile by its first subject. Subjects are never multiplied by tables."""
-    return _named(rows.join(_firsts(members), "holder"))
+    return rows.join(_firsts(members), "holder").drop("holder").withColumnRenamed("first", "holder")
+
+
+def _subjects(members):
+    return members.select(F.col("profile").alias("holder"), "sid")
+
+
+def _each(rows):
+    """Rows of profiles that carry the subjects of ``_subjects``, as rows of the subjects."""
+    return rows.drop("holder").withColumnRenamed("sid", "holder")
 
 
 @query(
@@ -131,11 +136,12 @@ def profiles(t: Frames):
 
 @query(
     "a1_column_levels",
-    f"WITH {MATRIX}, {MEMBERS} SELECT sid AS holder, table_id, column_name, level FROM matrix WHERE sid IN (SELECT holder FROM members)",
+    f"WITH {MATRIX} SELECT sid AS holder, table_id, column_name, level FROM matrix",
 )
 def column_levels(t: Frames):
+    """Resolved per profile, written out for every subject."""
     members, holders = _by_profile(t)
-    return _named(C.access_matrix(_live(t), _rules(t), holders, _firsts(members)))
+    return _each(C.access_matrix(_live(t), _rules(t), holders, _subjects(members)))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from consentry.model import CLEAR, DENY, MASK, Column, Condition, Consent, Subject, TableMeta, table_key
 from consentry.operators import consent as C
 from consentry.plans.governed import masked_projection
+from consentry.queries import QUERIES
 
 NOW = dt.datetime(2024, 1, 1)
 SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("a", "b", "c")])
@@ -210,6 +211,16 @@ def test_what_holders_share_is_resolved_once(spark, monkeypatch):
     assert max(written) < 500 < len(sids) * 12
 
 
+def test_levels_are_written_for_every_subject(frames):
+    """Not only for the first subject of a profile."""
+    levels = QUERIES["a1_column_levels"](frames)
+    per_level = levels.groupBy("table_id", "column_name", "level").count()
+    assert sorted(map(tuple, per_level.collect())) == sorted(map(tuple, QUERIES["g1_access_matrix"](frames).collect()))
+    profiles = QUERIES["j9_subject_profiles"](frames)
+    seen, all_, first = levels.select("holder").distinct(), profiles.select("sid").count(), profiles.select("holder").distinct().count()
+    assert first < seen.count() <= all_
+
+
 def test_profiles_share_equal_holdings(spark):
     principals = spark.createDataFrame(
         [("u1", "GROUP", "g"), ("u2", "GROUP", "g"), ("u3", "GROUP", "g"), ("u3", "SELF", "u3"), ("u4", "GROUP", "x")],
