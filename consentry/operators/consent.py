@@ -374,7 +374,7 @@ def table_outcomes(consents: DataFrame, rules: DataFrame, holders: DataFrame) ->
 
 
 def visible_catalog(consents: DataFrame, rules: DataFrame, holders: DataFrame, about: DataFrame | None = None) -> DataFrame:
-    """Tables a holder sees, with the number of readable and masked named columns."""
+    """Tables a holder sees, with the number of readable and masked named columns; ``about`` as in ``access_matrix``."""
     named = F.col("column_name") != "*"
 
     def counted(matrix: DataFrame) -> DataFrame:

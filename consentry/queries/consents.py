@@ -169,15 +169,15 @@ def matrix(t: Frames):
 
 @query(
     "u8_visible_catalog",
-    f"""WITH {MATRIX}, {MEMBERS} SELECT sid AS holder, table_id,
+    f"""WITH {MATRIX} SELECT sid AS holder, table_id,
           count(*) FILTER (column_name <> '*' AND level = 2) AS clear_columns,
           count(*) FILTER (column_name <> '*' AND level = 1) AS masked_columns,
-          max(level) FILTER (column_name = '*') AS other_columns FROM matrix
-        WHERE sid IN (SELECT holder FROM members) GROUP BY ALL""",
+          max(level) FILTER (column_name = '*') AS other_columns FROM matrix GROUP BY ALL""",
 )
 def visible(t: Frames):
+    """Resolved per profile, written out for every subject."""
     members, holders = _by_profile(t)
-    return _named(C.visible_catalog(_live(t), _rules(t), holders, _firsts(members)))
+    return _each(C.visible_catalog(_live(t), _rules(t), holders, _subjects(members)))
 
 
 @query(

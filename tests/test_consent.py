@@ -221,6 +221,12 @@ def test_levels_are_written_for_every_subject(frames):
     assert first < seen.count() <= all_
 
 
+def test_every_subject_sees_its_catalog(frames):
+    rest = QUERIES["g1_access_matrix"](frames).where("column_name = '*'").groupBy("table_id").agg({"subjects": "sum"})
+    seen = QUERIES["u8_visible_catalog"](frames).groupBy("table_id").count()
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, rest.collect()))
+
+
 def test_profiles_share_equal_holdings(spark):
     principals = spark.createDataFrame(
         [("u1", "GROUP", "g"), ("u2", "GROUP", "g"), ("u3", "GROUP", "g"), ("u3", "SELF", "u3"), ("u4", "GROUP", "x")],
