@@ -194,6 +194,31 @@ def test_what_lies_behind_shared_nodes_is_not_written_per_root(spark, monkeypatc
     assert sum(df.count() for label, df in written if label == "closure") < len(got) / 2
 
 
+@pytest.mark.parametrize("light", (0, 16))
+def test_next_nodes_are_no_ways_of_their_own(spark, monkeypatch, light):
+    """The table of ways does not grow with the next nodes, and many shared nodes are still merged, as arrays or as rows."""
+    rng = random.Random(light)
+    monkeypatch.setattr(lineage, "MANY_ROOTS", 10)
+    monkeypatch.setattr(lineage, "LIGHT", light, raising=False)
+    edges = {(f"o{i}", f"m{rng.randrange(9)}") for i in range(80) for _ in range(3)}
+    edges |= {(f"m{i}", f"s{j}") for i in range(9) for j in range(40) if rng.random() < 0.6}
+    edges |= {(f"s{j}", f"n{j % 3}") for j in range(40)} | {("n0", "k"), ("n1", "k"), ("k", "n2"), ("n2", "m1"), ("m3", "m4")}
+    rows = {}
+    plain = lineage.durable
+    monkeypatch.setattr(lineage, "durable", lambda df, label="": rows.setdefault(label, []).append(plain(df, label)) or rows[label][-1])
+    roots = [f"o{i}" for i in range(80)]
+    frame = spark.createDataFrame(sorted(edges), "src string, dst string")
+    got = lineage.downstream(frame, spark.createDataFrame([(r,) for r in roots], "node string")).collect()
+    for root in roots:
+        mine, want = {r.node: r for r in got if r.root == root}, closure(edges, root)
+        want.pop(root, None)
+        assert {n: r.distance for n, r in mine.items()} == want and len(mine) == sum(r.root == root for r in got)
+        far = {**want, root: 0}
+        for r in mine.values():
+            assert r.upstream == min(a for a, b in edges if b == r.node and far.get(a) == r.distance - 1)
+    assert not [r for way in rows["way"] for r in way.collect() if r.distance == 1]
+
+
 def test_ways_are_not_moved_where_only_nodes_are_read(spark, monkeypatch):
     monkeypatch.setattr(lineage, "MANY_ROOTS", 10)
     edges = spark.createDataFrame([*((f"o{i}", f"m{i % 3}") for i in range(30)), ("m0", "n"), ("m1", "n"), ("n", "k")], "src string, dst string")
