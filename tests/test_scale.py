@@ -316,6 +316,30 @@ def test_cycles_of_a_root_are_tested_without_joins(spark, monkeypatch):
     assert impact(spark, edges, "a") == plain_impact(edges, "a") and "climb" in labels
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_what_lies_behind_hubs_of_cycles_is_found_once(spark, monkeypatch, seed):
+    """Many roots that reach few hubs: each node behind these is found per hub, not merged per root, with the same rows."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(lineage, "MANY_ROOTS", 10)
+    monkeypatch.setattr(lineage, "HUB_EDGES", 6, raising=False)
+    edges = {(f"o{i}", f"p{rng.randrange(12)}") for i in range(60) for _ in range(3)}
+    edges |= {(f"p{i}", f"s{rng.randrange(40)}") for i in range(12) for _ in range(5)}
+    edges |= {(f"s{i}", f"n{i % 5}") for i in range(40)} | {(f"n{i}", f"r{i % 2}") for i in range(5)}
+    edges |= {(f"r{i % 2}", f"s{i}") for i in range(seed, 40, 2)} | {("r0", "n1"), ("p3", "r1"), ("o4", "r0"), ("o5", "n3"), ("s7", "s7"), ("s9", "end")}
+    # Roots on cycles, roots that are only entered, or lead nowhere.
+    edges |= {("s3", "o8"), ("r1", "o9"), ("o9", "o10"), ("o7", "o7"), ("n2", "last"), ("o61", "o61"), ("r0", "p5")}
+    labels, plain = [], lineage.durable
+    monkeypatch.setattr(lineage, "durable", lambda df, label="": labels.append(label) or plain(df, label))
+    frame, roots = spark.createDataFrame(sorted(edges), "src string, dst string"), [f"o{i}" for i in range(62)] + ["last"]
+    got = {}
+    for r in lineage.revocation_impact(frame, spark.createDataFrame([(r,) for r in roots], "node string")).collect():
+        assert r.node not in got.setdefault(r.root, {})
+        got[r.root][r.node] = (r.distance, r.cyclic)
+    for root in roots:
+        assert got.get(root, {}) == plain_impact(edges, root), root
+    assert "beyond" in labels and "impact" not in labels
+
+
 def test_cycles_and_diamonds(spark):
     assert impact(spark, [("a", "b"), ("b", "c"), ("c", "a")], "a") == {
         "b": (1, False), "c": (2, False), "a": (0, True)
